@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming code (no event time, watermarks, state or
+late data); its dashboard re-runs batch queries when a user changes an input,
+which ``spark.sql(text, args=...)`` / the parameterised operators cover.  No
+streaming operator is built, so none is invented here.
+"""
