@@ -10,10 +10,11 @@ one bounded group, whatever the corpus size.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.prefix import running_sums
+
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
 DEFAULT_BLOCK = 1 << 16  # characters per block (plus the halo)
 
@@ -25,33 +26,11 @@ def corpus_lines(df: DataFrame, text_col: str = "text", order_col: str = "id") -
         "len", F.length("line").cast("bigint"))
 
 
-def _quantile_buckets(lines: DataFrame, n_buckets: int) -> DataFrame:
-    """Bucket rows by approximate quantiles of the order key (n-1 bounds collected: bounded)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(lines.approxQuantile("ord", probs, 0.001))) if probs else []
-    splits = [-float("inf"), *[float(b) for b in bounds], float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_ordd", outputCol="_bucket", handleInvalid="keep")
-    out = b.transform(lines.withColumn("_ordd", F.col("ord").cast("double")))
-    return out.withColumn("bucket", F.col("_bucket").cast("int")).drop("_ordd", "_bucket")
-
-
 def corpus_offsets(lines: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """Add ``off``: the global character offset of each line in ``ord`` order.
-
-    Two-level prefix sum: per-bucket totals (one row per bucket, a bounded
-    table) give each bucket's base; a running sum inside each bucket gives the
-    rest.  Buckets are balanced quantile ranges of ``ord`` (which must be unique).
-    """
-    spark = lines.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bl = _quantile_buckets(lines, max(n, 1))
-    totals = bl.groupBy("bucket").agg(F.sum("len").alias("blen"))
-    base = totals.select("bucket", F.coalesce(F.sum("blen").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    w = Window.partitionBy("bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    inner = bl.withColumn("off_in", F.coalesce(F.sum("len").over(w), F.lit(0)))
-    return inner.join(F.broadcast(base), "bucket").select(
-        "ord", "line", "len", (F.col("base") + F.col("off_in")).cast("bigint").alias("off"))
+    """Add ``off``: the global character offset of each line in ``ord`` order
+    (a distributed running sum of the line lengths; ``ord`` must be unique)."""
+    out = running_sums(lines, "ord", ["len"], n_buckets, suffix="_off")
+    return out.select("ord", "line", "len", F.col("len_off").cast("bigint").alias("off"))
 
 
 def corpus_blocks(offsets: DataFrame, seq: int, block: int = DEFAULT_BLOCK) -> DataFrame:

@@ -36,6 +36,9 @@ def get_session(master: str | None = None, app: str = "caseflow",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor (no effect once a JVM runs)
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
