@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from caseflow.operators.prefix import running_sums
 
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
-DEFAULT_BLOCK = 1 << 16  # characters per block (plus the halo)
+# characters per block (plus the halo). Kept small on purpose: substring on a
+# UTF-8 string walks from its start, so cutting windows costs O(block) each.
+DEFAULT_BLOCK = 1 << 10
 
 
 def corpus_lines(df: DataFrame, text_col: str = "text", order_col: str = "id") -> DataFrame:
@@ -171,21 +173,37 @@ def t_seed_pick(windows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return windows.orderBy(key).limit(n)
 
 
+def _model_table(argmax: DataFrame, n_buckets: int) -> DataFrame:
+    """Write the argmax table once, partitioned by a hash bucket of the context,
+    to the shared checkpoint folder and read it back: every generation step
+    then joins against files, and dynamic partition pruning reads only the
+    buckets of the current contexts."""
+    import uuid
+    spark = argmax.sparkSession
+    from caseflow.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-model-{uuid.uuid4().hex}"
+    (argmax.select(F.pmod(F.xxhash64("ctx"), F.lit(n_buckets)).alias("b"), "ctx", "next_char")
+     .write.partitionBy("b").parquet(path))
+    return spark.read.parquet(path)
+
+
 def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
-               checkpoint_every: int = 10) -> DataFrame:
+               checkpoint_every: int = 10, n_buckets: int = 64) -> DataFrame:
     """Greedy generation: repeatedly look up the last ``n`` characters in the
     argmax table and append the predicted character, for every seed at once.
 
     Seeds are few (a bounded parameter) and the argmax table is only joined,
-    never collected.  A seed whose context has no continuation stops.  The
-    lineage is cut every ``checkpoint_every`` steps with a reliable checkpoint
-    (``spark.checkpoint.dir``)."""
+    never collected: it is written once (partitioned by context hash) and each
+    step's join prunes to the partitions of the current contexts.  A seed whose
+    context has no continuation stops.  The lineage is cut every
+    ``checkpoint_every`` steps with a reliable checkpoint (``spark.checkpoint.dir``)."""
+    table = _model_table(argmax, n_buckets).select("b", "ctx", F.col("next_char").alias("_nx"))
     g = seeds.select("pos", F.col("window").alias("text"), F.lit("").alias("generated"),
-                     F.lit(False).alias("done"))
-    table = argmax.select("ctx", F.col("next_char").alias("_nx"))
+                     F.lit(False).alias("done")).checkpoint(eager=True)
     for i in range(steps):
         ctx = F.expr(f"substring(text, -{n}, {n})")
-        g = g.withColumn("ctx", ctx).join(table, "ctx", "left")
+        g = (g.withColumn("ctx", ctx).withColumn("b", F.pmod(F.xxhash64("ctx"), F.lit(n_buckets)))
+             .join(table, ["b", "ctx"], "left"))
         stop = F.col("done") | F.col("_nx").isNull()
         g = g.select("pos",
                      F.when(stop, F.col("text")).otherwise(F.concat("text", "_nx")).alias("text"),
