@@ -228,3 +228,13 @@ def q_ml_stack(spark, d):
 def q_ml_rank_models(spark, d):
     oof, names = _oof(spark, d)
     return EV.rank_models(EV.ml_col_auc(oof, names, F.col("y") == 1.0))
+
+
+@register("ml_nb_counts", with_ctes("""
+SELECT status, 'party' AS feature, party AS level, count(*) AS cnt FROM bf GROUP BY status, party
+UNION ALL
+SELECT status, 'state' AS feature, state AS level, count(*) AS cnt FROM bf GROUP BY status, state
+""", **_BF), ctes=False)
+def q_ml_nb_counts(spark, d):
+    """The categorical naive-Bayes count table: rows per (class, feature, level)."""
+    return EV.nb_counts(q_bill_features(spark, d), ["party", "state"], "status")

@@ -523,3 +523,25 @@ alias("xtabs", "topk_monthly_wide")
 alias("avg_expr", "title_stats")
 alias("f_substr", "distinct_expr")
 alias("f_case", "case_label")
+
+
+@register("event_transitions", """
+SELECT event_type AS activity, next_activity, count(*) AS cnt,
+       round(avg((epoch_us(next_ts) - epoch_us(ts)) / 1e6), 6) AS avg_seconds
+FROM (SELECT ts, event_type,
+             lead(ts, 1) OVER (PARTITION BY user_id ORDER BY ts ASC NULLS LAST) AS next_ts,
+             lead(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts ASC NULLS LAST) AS next_activity
+      FROM events) e
+WHERE next_activity IS NOT NULL GROUP BY event_type, next_activity
+""", ctes=False)
+def q_event_transitions(spark, d):
+    from caseflow.sources.tables import raw_table
+    ev = raw_table(spark, d, "events")
+    return r6(P.directly_follows(ev, "user_id", "ts", "event_type"), "avg_seconds")
+
+
+alias("f_upper", "f_upper_lower")
+alias("f_lower", "f_upper_lower")
+alias("f_row_label", "topk_monthly_wide")
+alias("kpi_max_actions", "kpis")
+alias("kpi_max_days", "kpis")

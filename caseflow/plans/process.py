@@ -285,3 +285,20 @@ def title_stats(titles: DataFrame, col: str = "title") -> DataFrame:
     from caseflow.functions.exprs import f_length, f_token_count
     return titles.agg(F.avg(f_length(col)).alias("avg_length"),
                       F.avg(f_token_count(col)).alias("avg_tokens"))
+
+
+# --- generic event logs ------------------------------------------------------
+
+def directly_follows(log: DataFrame, case: str, time: str, activity: str,
+                     tiebreak: Sequence[str] = (), skew: str = "auto") -> DataFrame:
+    """Directly-follows graph of any event log: per (activity, next activity),
+    how often one follows the other within a case and the mean gap in seconds.
+    Same plan as ``transitions``: one shuffle on the case key (heavy cases
+    split), then a partial aggregate on the activity pair."""
+    ev = log.select(case, time, activity, *tiebreak)
+    s = lead_step(ev, case, [time], tiebreak, [time, activity], ["_next_t", "next_activity"], skew=skew)
+    gap = (F.unix_micros(F.col("_next_t").cast("timestamp"))
+           - F.unix_micros(F.col(time).cast("timestamp"))) / F.lit(1e6)
+    return (s.where(F.col("next_activity").isNotNull())
+            .groupBy(F.col(activity).alias("activity"), "next_activity")
+            .agg(F.count(F.lit(1)).alias("cnt"), F.avg(gap).alias("avg_seconds")))

@@ -44,3 +44,26 @@ def test_json_feed(spark, tmp_path):
     m = {r["bioguideid"]: r for r in members.collect()}
     assert m["X1"]["party"] == "D" and m["X0"]["party"] == "R"
     assert sponsors.count() == 2
+
+
+def test_text_source_sink_and_catalog(spark, tmp_path):
+    from caseflow.operators.relational import is_empty
+    from caseflow.sources.tables import table_exists
+    p = tmp_path / "titles.txt"
+    p.write_text("First title\nsecond  title\n\nlast\n")
+    t = docs.src_text(spark, str(p))
+    rows = [r["text"] for r in t.orderBy("id").collect()]
+    assert rows == ["First title", "second  title", "", "last"]
+    out = tmp_path / "out"
+    t.write.mode("overwrite").parquet(str(out))        # sink
+    assert spark.read.parquet(str(out)).count() == 4
+    t.createOrReplaceTempView("titles_tmp")
+    assert table_exists(spark, "titles_tmp") and not table_exists(spark, "no_such_table")
+    assert is_empty(t.where("text = 'missing'")) and not is_empty(t)
+
+
+def test_one_hot(spark):
+    from caseflow.operators import text as TX
+    enc = spark.createDataFrame([(0, 2), (1, 0)], "pos long, y int")
+    v = TX.t_one_hot(enc, 4).orderBy("pos").collect()
+    assert v[0]["y_onehot"].size == 4 and v[0]["y_onehot"][2] == 1.0
