@@ -64,6 +64,9 @@ def order_struct(df: DataFrame, order: Sequence[str], tiebreak: Sequence[str] =
     return F.struct(*fields)
 
 
+MAX_HOT_KEYS = 1000
+
+
 def detect_hot_keys(df: DataFrame, key: str, fraction: float = 0.01, min_share: float = 0.001,
                     min_sampled: int = 100, seed: int = 17) -> DataFrame:
     """Keys that hold at least ``min_share`` of a sample (and ``min_sampled`` sampled rows).
@@ -133,10 +136,15 @@ def lead_step(df: DataFrame, part: str = "bill_id", order: Sequence[str] = ("act
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if skew == "all":
         return _lead_split(df, part, order_cols, cols, names, n)
-    hot = hot_keys if hot_keys is not None else detect_hot_keys(df, part)
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), part, "left")
-    cold = _lead_window(flagged.where(F.col("_hot").isNull()).drop("_hot"), part, ordering, cols, names)
-    heavy = _lead_split(flagged.where(F.col("_hot")).drop("_hot"), part, order_cols, cols, names, n)
+    # heavy keys are found by a small sampled job at plan time; the list is
+    # bounded (<= 1 / min_share keys), so it becomes a literal set in the plan
+    hk = hot_keys if hot_keys is not None else detect_hot_keys(df, part)
+    hot = [r[0] for r in hk.limit(MAX_HOT_KEYS).collect()]
+    if not hot:
+        return _lead_window(df, part, ordering, cols, names)
+    is_hot = F.col(part).isin(hot)
+    cold = _lead_window(df.where(~is_hot | F.col(part).isNull()), part, ordering, cols, names)
+    heavy = _lead_split(df.where(is_hot), part, order_cols, cols, names, n)
     return cold.unionByName(heavy)
 
 

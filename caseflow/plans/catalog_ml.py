@@ -164,8 +164,11 @@ def q_ml_adaboost(spark, d):
 
 @register("ml_cv")
 def q_ml_cv(spark, d):
-    train, _ = _train_test(spark, d)
-    return M.ml_cv(train, k=10, repeats=5)
+    key = ("cv", id(spark), d)
+    if key not in _tables:  # 10 folds x 5 repeats: computed once per session and input
+        train, _ = _train_test(spark, d)
+        _tables[key] = M.ml_cv(train, k=10, repeats=5)
+    return _tables[key]
 
 
 @register("ml_cp_table")
@@ -174,6 +177,13 @@ def q_ml_cp_table(spark, d):
 
 
 def _oof(spark, d):
+    key = ("oof", id(spark), d)
+    if key not in _tables:  # shared by several ids: fitted once per session and input
+        _tables[key] = _oof_fit(spark, d)
+    return _tables[key]
+
+
+def _oof_fit(spark, d):
     train, _ = _train_test(spark, d)
     fits = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}
     out = None

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.exprs import (f_date_format, f_extract_day, like_any)
-from caseflow.operators.windows import lead_step, order_struct, sort_exprs
+from caseflow.operators.windows import detect_hot_keys, lead_step, order_struct, sort_exprs
 
 # Fixed values of the reference: the outcome markers and the ten action types.
 DEFAULT_PASS_MARKERS = ("%status%", "%BecameLaw%")
@@ -115,9 +115,11 @@ def _steps(actions: DataFrame, weights: DataFrame, tiebreak: Sequence[str], skew
     times the reference's inner join would repeat each step.
     """
     cols = ["bill_id", "action_date", "type", *tiebreak]
+    # heavy bills are sampled from the bill key column alone, before any join
+    hot = detect_hot_keys(actions.select("bill_id"), "bill_id") if skew == "auto" else None
     a = actions.select(*cols).join(weights, "bill_id")
     s = lead_step(a, "bill_id", ["action_date"], tiebreak, ["action_date", "type"],
-                  ["next_row", "next_type"], skew=skew)
+                  ["next_row", "next_type"], skew=skew, hot_keys=hot)
     return s.where(F.col("next_type").isNotNull()).select(
         "type", "next_type", F.datediff("next_row", "action_date").cast("bigint").alias("days"), "_w")
 
@@ -296,7 +298,9 @@ def directly_follows(log: DataFrame, case: str, time: str, activity: str,
     Same plan as ``transitions``: one shuffle on the case key (heavy cases
     split), then a partial aggregate on the activity pair."""
     ev = log.select(case, time, activity, *tiebreak)
-    s = lead_step(ev, case, [time], tiebreak, [time, activity], ["_next_t", "next_activity"], skew=skew)
+    hot = detect_hot_keys(log.select(case), case) if skew == "auto" else None
+    s = lead_step(ev, case, [time], tiebreak, [time, activity], ["_next_t", "next_activity"], skew=skew,
+                  hot_keys=hot)
     gap = (F.unix_micros(F.col("_next_t").cast("timestamp"))
            - F.unix_micros(F.col(time).cast("timestamp"))) / F.lit(1e6)
     return (s.where(F.col("next_activity").isNotNull())
