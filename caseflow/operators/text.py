@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import reliable_checkpoint
+
 from caseflow.operators.prefix import running_sums
 
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
@@ -198,8 +200,8 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
     context has no continuation stops.  The lineage is cut every
     ``checkpoint_every`` steps with a reliable checkpoint (``spark.checkpoint.dir``)."""
     table = _model_table(argmax, n_buckets).select("b", "ctx", F.col("next_char").alias("_nx"))
-    g = seeds.select("pos", F.col("window").alias("text"), F.lit("").alias("generated"),
-                     F.lit(False).alias("done")).checkpoint(eager=True)
+    g = reliable_checkpoint(seeds.select("pos", F.col("window").alias("text"), F.lit("").alias("generated"),
+                                         F.lit(False).alias("done")))
     for i in range(steps):
         ctx = F.expr(f"substring(text, -{n}, {n})")
         g = (g.withColumn("ctx", ctx).withColumn("b", F.pmod(F.xxhash64("ctx"), F.lit(n_buckets)))
@@ -210,5 +212,5 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
                      F.when(stop, F.col("generated")).otherwise(F.concat("generated", "_nx")).alias("generated"),
                      stop.alias("done"))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < steps:
-            g = g.checkpoint(eager=True)
+            g = reliable_checkpoint(g)
     return g.select("pos", "generated")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.session import reliable_checkpoint
+
 from caseflow.plans import evaluate as EV
 from caseflow.plans import ml as M
 from caseflow.plans.catalog import BILL_FEATURES_SQL, q_bill_features, r6, register
@@ -19,7 +21,7 @@ def model_table(spark, d):
     """The model table, checkpointed once per session and input (it feeds many fits)."""
     key = (id(spark), d)
     if key not in _tables:
-        _tables[key] = q_bill_features(spark, d).select(*MODEL_COLS).checkpoint(eager=True)
+        _tables[key] = reliable_checkpoint(q_bill_features(spark, d).select(*MODEL_COLS))
     return _tables[key]
 
 
@@ -187,12 +189,12 @@ def _oof_fit(spark, d):
     train, _ = _train_test(spark, d)
     fits = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}
     out = None
-    base = train.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    base = reliable_checkpoint(train.withColumn("_rid", F.monotonically_increasing_id()))
     for name, fn in fits.items():
         o = M.ml_oof(base, fn, k=5, id_cols=["_rid"], name=name)
         out = o if out is None else out.join(o.select("_rid", name), "_rid")
     # the out-of-fold table feeds several aggregates: materialise it once
-    out = out.withColumn("y", F.when(F.col("label") == 0.0, 1.0).otherwise(0.0)).checkpoint(eager=True)
+    out = reliable_checkpoint(out.withColumn("y", F.when(F.col("label") == 0.0, 1.0).otherwise(0.0)))
     return out, list(fits)
 
 
@@ -215,7 +217,7 @@ def q_ml_resamples(spark, d):
 @register("ml_predict_proba")
 def q_ml_predict_proba(spark, d):
     train, test = _train_test(spark, d)
-    test = test.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    test = reliable_checkpoint(test.withColumn("_rid", F.monotonically_increasing_id()))
     models = {"tree": M.ml_tree(train), "logit": M.ml_logit(train), "forest": M.ml_random_forest(train)}
     return M.ml_predict_proba(models, test, ["_rid", "bill_id"])
 

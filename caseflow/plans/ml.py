@@ -28,6 +28,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.session import reliable_checkpoint
+
 NUM_COLS = ("no_days", "ac_count")
 CAT_COLS = ("party", "state")
 LABEL = "status"
@@ -201,7 +203,7 @@ def ml_svm(train: DataFrame, dim_out: int = 64, gamma: float = 0.5, reg: float =
     d = len(encoded.select("features").first()["features"])
     rff = RandomFourierFeatures(d, dim_out, gamma)
     # the projected table is scanned once per solver iteration: materialise it once
-    z = rff.transform(encoded).select("rff", "label").checkpoint(eager=True)
+    z = reliable_checkpoint(rff.transform(encoded).select("rff", "label"))
     svm = LinearSVC(featuresCol="rff", regParam=reg, maxIter=100).fit(z)
     return SvmRadialModel(enc, rff, svm)
 
@@ -229,7 +231,7 @@ def ml_adaboost(train: DataFrame, rounds: int = 10, max_depth: int = 2,
             break
         data = pred.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
         if checkpoint:
-            data = data.checkpoint(eager=True)
+            data = reliable_checkpoint(data)
     return [(a, PipelineModel(stages=[enc, m])) for a, m in models]
 
 
@@ -270,7 +272,7 @@ def ml_cv(df: DataFrame, k: int = 10, repeats: int = 5, depths: Sequence[int] =
                                        metricName="areaUnderROC")
     rows = []
     for r in range(repeats):
-        data = fold_column(encoded, k, seed + r).checkpoint(eager=True)
+        data = reliable_checkpoint(fold_column(encoded, k, seed + r))
         cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
                             parallelism=parallelism, numFolds=k)
         model = cv.fit(data)
