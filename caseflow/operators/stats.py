@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # quantile probabilities of R's summary(): min, Q1, median, Q3, max
 SUMMARY_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
+# above this many distinct values a quantile buffer is not kept in one task
+MAX_LOCAL_DISTINCT = 1_000_000
 
 
 def xtabs(long: DataFrame, row: str, col: str, value: str, values: Sequence[str]) -> DataFrame:
@@ -26,27 +28,78 @@ def xtabs(long: DataFrame, row: str, col: str, value: str, values: Sequence[str]
                               for v in vals]).orderBy(F.col(row).asc_nulls_last())
 
 
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(variable, v, c): rows per distinct non-NULL value of each column, in one
+    pass over ``df`` (columns stacked, partial aggregation before the shuffle)."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s"))
+    return (stacked.where(F.col("s.v").isNotNull())
+            .groupBy(F.col("s.variable").alias("variable"), F.col("s.v").alias("v"))
+            .agg(F.count(F.lit(1)).alias("c")))
+
+
+def exact_quantiles(counts: DataFrame, probs: Sequence[float] = SUMMARY_PROBS) -> DataFrame:
+    """Exact linear-interpolation quantiles (R type 7) from a (v, c) value-count
+    table, without gathering values: a distributed running sum gives each
+    distinct value's rank range and each quantile reads the two order
+    statistics around rank (n-1)p.  Memory per task stays bounded whatever the
+    number of distinct values.  One row: n, mean, q0, q1, ..."""
+    from caseflow.operators.prefix import running_sums
+    n = counts.select(F.sum("c")).scalar()
+    r = running_sums(counts, "v", ["c"])
+    aggs = [F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")]
+    for i, p in enumerate(probs):
+        h = (n - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        at = lambda k: (F.col("c_before") <= k) & (k < F.col("c_before") + F.col("c"))
+        aggs += [F.max(F.when(at(lo), F.col("v"))).alias(f"lo{i}"),
+                 F.max(F.when(at(hi), F.col("v"))).alias(f"hi{i}"), F.first(h).alias(f"h{i}")]
+    row = r.agg(*aggs)
+    return row.select("n", "mean", *[(F.col(f"lo{i}") + (F.col(f"h{i}") - F.floor(F.col(f"h{i}")))
+                                      * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}")
+                                     for i in range(len(probs))])
+
+
 def summary_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                   accuracy: int = 10000) -> DataFrame:
     """R ``summary()`` per numeric column: min, Q1, median, mean, Q3, max.
 
-    ``exact`` uses ``percentile`` (linear interpolation, R's default type 7);
-    at scale ``exact=False`` switches to ``percentile_approx`` with bounded memory.
-    Output is long: one row per column name.
+    ``exact`` (default): one pass over ``df`` builds the value-count table of
+    all columns (materialised once in the shared checkpoint folder), and exact
+    type-7 quantiles come from it with bounded memory.  ``exact=False`` uses
+    ``percentile_approx``.  Output is long: one row per column name.
     """
-    aggs = []
+    if not exact:
+        aggs = [F.struct(F.percentile_approx(F.col(c).cast("double"), list(SUMMARY_PROBS), accuracy).alias("q"),
+                         F.avg(F.col(c).cast("double")).alias("m")).alias(f"s{i}") for i, c in enumerate(cols)]
+        wide = df.agg(*aggs)
+        out = None
+        for i, c in enumerate(cols):
+            q = F.col(f"s{i}.q")
+            row = wide.select(F.lit(c).alias("variable"), q[0].alias("min"), q[1].alias("q1"), q[2].alias("median"),
+                              F.col(f"s{i}.m").alias("mean"), q[3].alias("q3"), q[4].alias("max"))
+            out = row if out is None else out.unionByName(row)
+        return out
+    from caseflow.session import reliable_checkpoint
+    counts = reliable_checkpoint(value_counts(df, cols))
+    # few distinct values (the usual case for day and action counts): Spark's
+    # exact ``percentile`` with a frequency column, whose buffer holds one entry
+    # per distinct value, so its size is checked first; otherwise the distributed path
+    n_distinct = counts.groupBy("variable").count().agg(F.max("count")).first()[0] or 0
+    if n_distinct <= MAX_LOCAL_DISTINCT:
+        q = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in SUMMARY_PROBS]), F.col("c"))
+        wide = counts.groupBy("variable").agg(q.alias("q"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+        rows = wide.select("variable", F.col("q")[0].alias("min"), F.col("q")[1].alias("q1"),
+                           F.col("q")[2].alias("median"), "mean", F.col("q")[3].alias("q3"), F.col("q")[4].alias("max"))
+        return rows
+    out = None
     for c in cols:
-        x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(*[F.lit(p) for p in SUMMARY_PROBS])) if exact
-             else F.percentile_approx(x, list(SUMMARY_PROBS), accuracy))
-        aggs.append(F.struct(F.lit(c).alias("variable"), q.alias("q"), F.avg(x).alias("mean"))
-                    .alias(f"s_{c}"))
-    wide = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.col(f"s_{c}") for c in cols])).alias("s")
-    return wide.select(rows).select(
-        F.col("s.variable").alias("variable"),
-        F.col("s.q")[0].alias("min"), F.col("s.q")[1].alias("q1"), F.col("s.q")[2].alias("median"),
-        F.col("s.mean").alias("mean"), F.col("s.q")[3].alias("q3"), F.col("s.q")[4].alias("max"))
+        q = exact_quantiles(counts.where(F.col("variable") == F.lit(c)).select("v", "c"))
+        row = q.select(F.lit(c).alias("variable"), F.col("q0").alias("min"), F.col("q1").alias("q1"),
+                       F.col("q2").alias("median"), F.col("mean"), F.col("q3").alias("q3"),
+                       F.col("q4").alias("max"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -54,3 +54,15 @@ def test_greedy_ensemble_prefers_better_model(spark):
     df = spark.createDataFrame(rows, "y double, good double, bad double")
     w = M.ml_greedy_ensemble(df, ["good", "bad"], "y", iters=20)
     assert w[0] > w[1]
+
+
+def test_exact_quantiles_both_paths(spark):
+    import numpy as np
+    from caseflow.operators import stats as S
+    vals = [float(x) for x in [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9]]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    exp = [float(np.quantile(vals, p)) for p in S.SUMMARY_PROBS]
+    got = S.summary_stats(df, ["x"]).first()
+    assert [got["min"], got["q1"], got["median"], got["q3"], got["max"]] == exp
+    q = S.exact_quantiles(S.value_counts(df, ["x"]).select("v", "c")).first()
+    assert [q[f"q{i}"] for i in range(5)] == exp and abs(q["mean"] - sum(vals) / len(vals)) < 1e-12
