@@ -148,6 +148,13 @@ def lead_step(df: DataFrame, part: str = "bill_id", order: Sequence[str] = ("act
     return cold.unionByName(heavy)
 
 
+def _join_back(df: DataFrame, per_key: DataFrame, part: str) -> DataFrame:
+    """Join a one-row-per-key aggregate back to its rows; NULL keys match each
+    other, as rows with a NULL key share one window partition in SQL."""
+    k = per_key.withColumnRenamed(part, "_k")
+    return df.join(k, df[part].eqNullSafe(k["_k"]), "inner").drop("_k")
+
+
 def max_over(df: DataFrame, part: str, col: str, alias: str = "max_thing") -> DataFrame:
     """``max(col) OVER (PARTITION BY part)`` as an aggregate joined back.
 
@@ -155,13 +162,13 @@ def max_over(df: DataFrame, part: str, col: str, alias: str = "max_thing") -> Da
     heavy keys AQE splits (skew join), so no group is buffered in one task.
     """
     m = df.groupBy(part).agg(F.max(col).alias(alias))
-    return df.join(m, part, "inner")
+    return _join_back(df, m, part)
 
 
 def filter_eq_window_max(df: DataFrame, part: str = "bill_id", col: str = "action_date") -> DataFrame:
     """Rows whose ``col`` equals the maximum of their group (all ties kept)."""
     m = df.groupBy(part).agg(F.max(col).alias("_max"))
-    return df.join(m, part, "inner").where(F.col(col) == F.col("_max")).drop("_max")
+    return _join_back(df, m, part).where(F.col(col) == F.col("_max")).drop("_max")
 
 
 def latest_per_key(df: DataFrame, key: str = "bill_id", order: str = "action_date",

@@ -97,3 +97,12 @@ def test_latest_and_anti(spark):
     assert ls["B3"] is None                # latest dated action has NULL text
     rj = rows(P.rejected_not_public(t.actions), "bill_id")
     assert rj == [("B4",)]                 # B5 became public
+
+
+def test_window_max_keeps_null_key_group(spark):
+    from caseflow.operators.windows import filter_eq_window_max, max_over
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 2), ("a", 2), ("b", None)], "k string, v int")
+    mo = sorted((tuple(r) for r in max_over(df, "k", "v", "m").collect()), key=repr)
+    assert mo == sorted([(None, 1, 3), (None, 3, 3), ("a", 2, 2), ("a", 2, 2), ("b", None, None)], key=repr)
+    fm = sorted((tuple(r) for r in filter_eq_window_max(df, "k", "v").collect()), key=repr)
+    assert fm == sorted([(None, 3), ("a", 2), ("a", 2)], key=repr)
