@@ -195,17 +195,23 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
     argmax table and append the predicted character, for every seed at once.
 
     Seeds are few (a bounded parameter) and the argmax table is only joined,
-    never collected: it is written once (partitioned by context hash) and each
-    step's join prunes to the partitions of the current contexts.  A seed whose
-    context has no continuation stops.  The lineage is cut every
-    ``checkpoint_every`` steps with a reliable checkpoint (``spark.checkpoint.dir``)."""
+    never collected.  It is written once, partitioned by a context hash; each
+    step gathers the buckets of the current contexts (at most one per seed)
+    and reads only those partitions.  A seed whose context has no
+    continuation stops.  Each step's small seed table is cached, and the
+    lineage is cut every ``checkpoint_every`` steps with a reliable checkpoint
+    (``spark.checkpoint.dir``)."""
     table = _model_table(argmax, n_buckets).select("b", "ctx", F.col("next_char").alias("_nx"))
     g = reliable_checkpoint(seeds.select("pos", F.col("window").alias("text"), F.lit("").alias("generated"),
                                          F.lit(False).alias("done")))
+    cached = []
     for i in range(steps):
-        ctx = F.expr(f"substring(text, -{n}, {n})")
-        g = (g.withColumn("ctx", ctx).withColumn("b", F.pmod(F.xxhash64("ctx"), F.lit(n_buckets)))
-             .join(table, ["b", "ctx"], "left"))
+        g = (g.withColumn("ctx", F.expr(f"substring(text, -{n}, {n})"))
+             .withColumn("b", F.pmod(F.xxhash64("ctx"), F.lit(n_buckets))))
+        live = [r[0] for r in g.where(~F.col("done")).select("b").distinct().collect()]  # <= #seeds
+        if not live:
+            break
+        g = g.join(table.where(F.col("b").isin(live)), ["b", "ctx"], "left")
         stop = F.col("done") | F.col("_nx").isNull()
         g = g.select("pos",
                      F.when(stop, F.col("text")).otherwise(F.concat("text", "_nx")).alias("text"),
@@ -213,4 +219,10 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
                      stop.alias("done"))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < steps:
             g = reliable_checkpoint(g)
+            for c in cached:
+                c.unpersist()
+            cached = []
+        else:
+            g = g.cache()
+            cached.append(g)
     return g.select("pos", "generated")
