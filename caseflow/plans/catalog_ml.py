@@ -10,7 +10,7 @@ from caseflow.session import reliable_checkpoint
 from caseflow.plans import evaluate as EV
 from caseflow.plans import ml as M
 from caseflow.plans.catalog import BILL_FEATURES_SQL, q_bill_features, r6, register
-from caseflow.plans.catalog_relational import alias, with_ctes
+from caseflow.plans.catalog_relational import with_ctes
 
 _BF = {"bf": BILL_FEATURES_SQL}
 MODEL_COLS = ["bill_id", "no_days", "party", "ac_count", "state", "status"]

@@ -12,14 +12,13 @@ from caseflow.operators import stats as S
 from caseflow.operators import windows as W
 from caseflow.plans import process as P
 from caseflow.plans.catalog import (BILL_FEATURES_SQL, BINDING_CTES, CHAMBER, M_HI, M_LO, PARTY,
-                                    PUBLIC, QUERIES, REJECT, STATE, TIE_SQL, TIMELINE_BILL,
-                                    TRANSITIONS_SQL, YEAR, T, _lead_sql, _topk_sql,
-                                    q_bill_features, q_topk_monthly, r6, register)
+                                    QUERIES, REJECT, STATE, TIE_SQL, TIMELINE_BILL, YEAR, T,
+                                    _lead_sql, _topk_sql, q_bill_features, q_topk_monthly, r6,
+                                    register)
 from caseflow.sources.tables import (TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK,
                                      register_views)
 
 TB = list(TEST_TIEBREAK)
-ACT_COLS = ["bill_id", "action_date", "type", "text", "action_code", "committee", "line_no", "part_id"]
 
 
 def with_ctes(body: str, **ctes: str) -> str:

@@ -67,3 +67,15 @@ def test_one_hot(spark):
     enc = spark.createDataFrame([(0, 2), (1, 0)], "pos long, y int")
     v = TX.t_one_hot(enc, 4).orderBy("pos").collect()
     assert v[0]["y_onehot"].size == 4 and v[0]["y_onehot"][2] == 1.0
+
+
+def test_kpi_youngest_sponsor_from_documents(spark, tmp_path):
+    from caseflow.operators.stats import kpis
+    feed = {"objects": [_bill(1, "Democrat", [], []), _bill(2, "Republican", [], [])]}
+    p = tmp_path / "bill.json"
+    p.write_text(json.dumps(feed))
+    members, _ = docs.json_members(docs.json_bills(spark, str(p)))
+    feats = spark.createDataFrame([(3, 10), (7, 2)], "ac_count long, no_days int")
+    r = kpis(feats, members).first()
+    # X0 (bill 2, born 1960-03-01) is younger than X1 (bill 1, born 1960-02-01)
+    assert (r["max_actions"], r["max_days"], r["youngest_sponsor"]) == (7, 10, "Member 0")

@@ -28,3 +28,14 @@ def test_bill_features_single_aggregate_over_actions(spark):
     # lineitem is read twice: once as actions (one aggregate gives count, latest
     # date and outcome) and once by the test binding for bills.updatedate
     assert p.count("Relation [l_orderkey") == 2
+
+
+def test_heavy_key_takes_range_split_path(spark):
+    from pyspark.sql import functions as F
+    from caseflow.operators.windows import lead_step
+    df = spark.range(400000).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+                                   F.col("id").alias("t"))
+    out = lead_step(df, "k", ["t"], (), ["t"], ["next_t"], skew="auto")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in p.lower()          # the heavy key 0 is split by range
+    assert out.where("k = 0 AND next_t IS NULL").count() == 1
