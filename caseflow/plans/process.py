@@ -301,8 +301,8 @@ def directly_follows(log: DataFrame, case: str, time: str, activity: str,
     hot = detect_hot_keys(log.select(case), case) if skew == "auto" else None
     s = lead_step(ev, case, [time], tiebreak, [time, activity], ["_next_t", "next_activity"], skew=skew,
                   hot_keys=hot)
-    gap = (F.unix_micros(F.col("_next_t").cast("timestamp"))
-           - F.unix_micros(F.col(time).cast("timestamp"))) / F.lit(1e6)
+    # timestampdiff works on wall-clock (NTZ) values directly: no session time zone involved
+    gap = F.expr(f"timestampdiff(MICROSECOND, `{time}`, `_next_t`)") / F.lit(1e6)
     return (s.where(F.col("next_activity").isNotNull())
             .groupBy(F.col(activity).alias("activity"), "next_activity")
             .agg(F.count(F.lit(1)).alias("cnt"), F.avg(gap).alias("avg_seconds")))
