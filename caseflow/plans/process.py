@@ -40,19 +40,25 @@ def bill_outcomes(actions: DataFrame, markers: Sequence[str] = DEFAULT_PASS_MARK
     The reference joins the types of the latest-date actions with blanks and
     matches the markers against that string.  When no marker can span the
     blank, that equals "some latest-date type matches", which one aggregate
-    computes: ``max(struct(date, matched))`` is the latest date together with
-    whether any action on it matched.  One shuffle of (bill, date, flag), with
+    computes: the max of ``2 * day + matched`` is the latest date together
+    with whether any action on it matched.  One hash-aggregated shuffle with
     partial aggregation, whatever the number of actions per bill.
     Bills without any dated action drop out, as in the reference.
     """
     if _markers_token_safe(markers):
-        matched = F.coalesce(like_any(type_col, markers), F.lit(False))
+        matched = F.coalesce(like_any(type_col, markers), F.lit(False)).cast("long")
+        # (date, matched) packed into one long, 2 * day + flag: its max is the
+        # latest date with "any match on that date" in the low bit.  A numeric
+        # max keeps the aggregate hash-based (a struct max would sort).
+        dtype = dict(actions.dtypes).get(date, "date")
+        day = F.unix_micros(F.col(date).cast("timestamp")) if dtype.startswith("timestamp") \
+            else F.unix_date(F.col(date))
         agg = actions.groupBy(bill).agg(
             F.count(F.lit(1)).alias("ac_count"),
-            F.max(F.struct(F.col(date).alias("d"), matched.alias("m"))).alias("_last"))
-        return agg.where(F.col("_last.d").isNotNull()).select(
+            F.max(day.cast("long") * F.lit(2) + matched).alias("_last"))
+        return agg.where(F.col("_last").isNotNull()).select(
             bill, "ac_count",
-            F.when(F.col("_last.m"), F.lit(yes)).otherwise(F.lit(no)).alias("status"))
+            F.when(F.pmod(F.col("_last"), F.lit(2)) == 1, F.lit(yes)).otherwise(F.lit(no)).alias("status"))
     # general markers: build the joined string of the latest-date types exactly
     counts = actions.groupBy(bill).agg(F.count(F.lit(1)).alias("ac_count"),
                                        F.max(date).alias("_max"))
