@@ -28,14 +28,35 @@ BASE_CONF = {
 }
 
 
+# Sizing for a ~100 TB run on ~1000 executors.  The largest shuffle (actions
+# keyed by bill: a few tens of bytes x ~10^12 rows, tens of TB) is cut into
+# ~256 MB partitions: 100k initial partitions, which AQE coalesces for the
+# many small shuffles (per-bill aggregates, type pairs, top-k).  Scan splits
+# of 512 MB keep task counts sane; the skew-join threshold matches the
+# advisory size so a heavy key is split rather than run in one task.
+# Broadcasts stay at AQE's measured-size threshold.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_session(master: str | None = None, app: str = "caseflow",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings above."""
+                extra: dict | None = None, profile: str = "local") -> SparkSession:
+    """Build (or reuse) a session with the settings above (``profile="cluster"``
+    adds the 100 TB sizing; on a cluster the submitter's own settings win)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor (no effect once a JVM runs)
         conf["spark.driver.memory"] = "12g"
