@@ -79,3 +79,11 @@ def test_kpi_youngest_sponsor_from_documents(spark, tmp_path):
     r = kpis(feats, members).first()
     # X0 (bill 2, born 1960-03-01) is younger than X1 (bill 1, born 1960-02-01)
     assert (r["max_actions"], r["max_days"], r["youngest_sponsor"]) == (7, 10, "Member 0")
+
+
+def test_jdbc_partitioned_read_needs_bounds(spark):
+    import pytest
+    from caseflow.sources.tables import src_jdbc
+    # no database is started in tests; only the option checking is exercised
+    with pytest.raises(ValueError):
+        src_jdbc(spark, "jdbc:postgresql://db.invalid/x", "actions", partition_column="id")
