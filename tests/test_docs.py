@@ -87,3 +87,9 @@ def test_jdbc_partitioned_read_needs_bounds(spark):
     # no database is started in tests; only the option checking is exercised
     with pytest.raises(ValueError):
         src_jdbc(spark, "jdbc:postgresql://db.invalid/x", "actions", partition_column="id")
+
+
+def test_schema_info(spark):
+    from caseflow.operators.stats import schema_info
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    assert [tuple(r) for r in schema_info(df).collect()] == [(1, "id", "bigint", True), (2, "name", "string", True)]
