@@ -106,3 +106,14 @@ def test_window_max_keeps_null_key_group(spark):
     assert mo == sorted([(None, 1, 3), (None, 3, 3), ("a", 2, 2), ("a", 2, 2), ("b", None, None)], key=repr)
     fm = sorted((tuple(r) for r in filter_eq_window_max(df, "k", "v").collect()), key=repr)
     assert fm == sorted([(None, 3), ("a", 2), ("a", 2)], key=repr)
+
+
+def test_month_window_edges(spark):
+    import datetime as dt
+    from caseflow.operators.relational import filter_year_months, month_window
+    assert month_window(2015, 0, 12) == (dt.date(2015, 1, 1), dt.date(2016, 1, 1))
+    assert month_window(2015, 3, 3) == (dt.date(2015, 3, 1), dt.date(2015, 4, 1))
+    assert month_window(2015, 7, 6) is None
+    t = tables(spark)
+    assert filter_year_months(t.actions, "action_date", 2015, 0, 1).count() == 5  # January, NULL date excluded
+    assert filter_year_months(t.actions, "action_date", 2015, 7, 6).count() == 0
