@@ -160,7 +160,9 @@ def q_ml_svm(spark, d):
 def q_ml_adaboost(spark, d):
     train, test = _train_test(spark, d)
     models = M.ml_adaboost(train, rounds=5)
-    p = M.adaboost_predict(models, test.withColumn("_rid", F.monotonically_increasing_id()), ["_rid", "bill_id"])
+    # the row key feeds a join of several model outputs: materialise it once
+    keyed = reliable_checkpoint(test.withColumn("_rid", F.monotonically_increasing_id()))
+    p = M.adaboost_predict(models, keyed, ["_rid", "bill_id"])
     return p.select("bill_id", "label", "prediction")
 
 
