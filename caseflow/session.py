@@ -8,7 +8,9 @@ used as is.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -74,8 +76,10 @@ def get_session(master: str | None = None, app: str = "caseflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is made.
+    On a cluster this setting names a shared file system and is used as is; a
+    cluster session without it is an error, because a folder on one machine
+    cannot be read by the others.  Only a local master (tests) gets a fresh
+    scratch folder, removed when the process ends.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -84,8 +88,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: tests and single-machine runs only
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
