@@ -93,12 +93,15 @@ def chunk_bounds(texts: pa.Array, limit: int = CHUNK_BYTES) -> list[tuple[int, i
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: a-z after folding, digits and every byte of a non-ASCII character
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+#: letters, digits and every byte of a non-ASCII character
+WORD = np.zeros(256, bool)
+WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: anything but blank and \t \n \v \f \r
-_NONSPACE = np.ones(256, bool)
-_NONSPACE[[32, *range(9, 14)]] = False
+NONSPACE = np.ones(256, bool)
+NONSPACE[[32, *range(9, 14)]] = False
+#: anything but a line end
+INLINE = np.ones(256, bool)
+INLINE[10] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -125,12 +128,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray, spaces: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word of a chunk, and the n + 1 word offsets of its texts.
 
-    Words are runs of letters, digits and non-ASCII characters, or with
-    ``spaces`` runs of anything but white space.  Words never cross texts."""
-    m = (_NONSPACE if spaces else _WORD)[buf]
+    A word is a longest run of bytes that are in the table ``member``; words
+    never cross texts."""
+    m = member[buf]
     before = np.empty_like(m)
     before[:1] = False
     before[1:] = m[:-1]
@@ -163,3 +166,22 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     offs = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), values)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, text_col: str = "text",
+                  id_col: str = "doc_id", max_chars: int | None = None) -> DataFrame:
+    """Columns id, text, label of at most ``bound`` labelled documents that are not
+    held out: those with the smallest id hash, so the sample does not depend on
+    partitioning.  Null or contradicting labels are left out, repeated ones count
+    once; documents longer than ``max_chars`` are left out of the sample if given."""
+    lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    lab = lab.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    lab = lab.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("top"))
+    lab = lab.where(F.col("label") == F.col("top")).select("id", "label")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    if max_chars is not None:
+        rows = rows.where(F.length("text") <= max_chars)
+    # a document id that occurs twice may give two rows here; the bound holds for ids
+    picked = lab.join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(bound)
+    return rows.join(F.broadcast(picked), "id").dropDuplicates(["id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn
+from caseflow.llm import lang_cnn, quality_gbt, toxicity_ftrl
 
 QUERIES = {}
 ORACLE = {}
@@ -17,6 +17,25 @@ def query(fn):
     return fn
 
 
+def _scored(out: DataFrame, threshold: float) -> DataFrame:
+    return out.select("row.doc_id", C.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    model = quality_gbt.train(docs, C.table(spark, sf_dir, "labels"))
+    return _scored(quality_gbt.score(docs, model, keep=["doc_id"]), 0.7)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    model = toxicity_ftrl.train(docs, C.table(spark, sf_dir, "labels"))
+    return _scored(toxicity_ftrl.score(docs, model, keep=["doc_id"]), 0.3)
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
