@@ -91,8 +91,8 @@ def chunk_bounds(texts: pa.Array, limit: int = CHUNK_BYTES) -> list[tuple[int, i
     return out
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: letters, digits and every byte of a non-ASCII character
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -106,7 +106,7 @@ INLINE[10] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: one 64-bit value per byte, the same for A-Z and a-z
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[_LOWER]
+_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[LOWER]
 _powers = {"n": 0, "up": None, "down": None}
 
 
@@ -185,3 +185,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, bound: int
     # a document id that occurs twice may give two rows here; the bound holds for ids
     picked = lab.join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(bound)
     return rows.join(F.broadcast(picked), "id").dropDuplicates(["id"])
+
+
+#: Rows of one long (and their hash table) that are small enough to be sent to every executor.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (narrow rows, read from a written table) with a broadcast hint if its
+    counted size allows; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

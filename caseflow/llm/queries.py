@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn, quality_gbt, toxicity_ftrl
+from caseflow.llm import lang_cnn, quality_gbt, simhash_blocks, toxicity_ftrl, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -42,3 +42,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lang_cnn.train(docs.where(~C.held_out(F.col("doc_id"))))
     out = lang_cnn.identify(docs, model, keep=["doc_id"])
     return out.select("row.doc_id", C.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow.decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLE["op3_decontamination"] = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, len, array_to_string(w[i:i + len - 1], ' ') AS s FROM (
+    SELECT item_id, w, least(len(w), 10) AS len, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+    FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+lens AS (SELECT DISTINCT len FROM win),
+cand AS (
+  SELECT rid, i, len, array_to_string(w[i:i + len - 1], ' ') AS s FROM (
+    SELECT rid, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM doc, lens WHERE len(w) >= len)),
+hit AS (SELECT c.rid, c.i, c.len, w.item_id FROM cand c JOIN win w ON c.s = w.s AND c.len = w.len),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + len)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit WHERE item_id IS NOT NULL GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(i.ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(i.ids, ','), '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM doc d LEFT JOIN covered c USING (rid) LEFT JOIN items i USING (rid)
+"""
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_blocks.near_duplicates(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("row.doc_id", simhash_blocks.hex16("fp").alias("fingerprint"), "component_id")
