@@ -49,20 +49,22 @@ def packed(df: DataFrame, text_col: str, keep: list[str] | None = None) -> DataF
     return df.select(F.struct(*cols).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def annotate(src: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
+def annotate(src: DataFrame, fields: str, fn: Callable, per_task: bool = False) -> DataFrame:
     """Scan ``packed`` rows in Arrow batches; ``fn(texts)`` gets the text array of
-    a batch and returns one array per field of the DDL string ``fields``.
-    The result has ``row`` and the fields."""
+    a chunk and returns one array per field of the DDL string ``fields``.  With
+    ``per_task`` each task calls ``fn()`` once for the function to use (state of
+    the task).  The result has ``row`` and the fields."""
     extra = T.StructType.fromDDL(fields)
     schema = T.StructType([src.schema["row"], *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = fn() if per_task else fn
         for batch in batches:
             if not batch.num_rows:
                 continue
             for lo, hi in chunk_bounds(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                out = fn(part.column(1))
+                out = judge(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *out], names=["row", *extra.names])
 
     return src.mapInArrow(run, schema)
@@ -184,7 +186,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, bound: int
         rows = rows.where(F.length("text") <= max_chars)
     # a document id that occurs twice may give two rows here; the bound holds for ids
     picked = lab.join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(bound)
-    return rows.join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    # repeated ids: the smallest text stands for all
+    return rows.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
 #: Rows of one long (and their hash table) that are small enough to be sent to every executor.

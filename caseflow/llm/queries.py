@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn, quality_gbt, simhash_blocks, toxicity_ftrl, winnow
+from caseflow.llm import lang_cnn, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -79,3 +79,72 @@ FROM doc d LEFT JOIN covered c USING (rid) LEFT JOIN items i USING (rid)
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_blocks.near_duplicates(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", simhash_blocks.hex16("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_rows(C.table(spark, sf_dir, "documents"))
+
+
+def packing_rows(docs: DataFrame) -> DataFrame:
+    out = pattern_packing.pack(docs, keep=["doc_id"])
+    return out.select("row.doc_id", F.col("piece").cast("int").alias("piece"), "start", "length",
+                      F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_owners.scan(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def count(i):
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+
+    def flag(name):
+        return F.size(F.filter("spans", lambda s: s[name])).cast("long")
+
+    return out.select("row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                      F.sha2(secret_owners.joined(F.col("spans"), 3), 256).alias("base_sha256"),
+                      secret_owners.joined(F.col("spans")).alias("spans"),
+                      flag("live").alias("n_live"), flag("example").alias("n_example"))
+
+
+_CANDIDATES = ",\n".join(
+    f"c{i} AS (SELECT rid, doc_id, source, {i} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS gap FROM doc)"
+    for i, p in enumerate([
+        r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
+        "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_-]{20,}"]))
+
+ORACLE["op1_secret_scans"] = f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+{_CANDIDATES},
+found AS (
+  SELECT rid, doc_id, source, kind, m[i] AS s,
+         CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM
+        (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3))),
+valued AS (
+  SELECT *, a + length(s) AS b,
+         CASE kind WHEN 0 THEN regexp_extract(s, '[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END AS v FROM found),
+random AS (
+  SELECT *, len(list_distinct(string_split(v, ''))) >= {secret_owners.MIN_DISTINCT} AND regexp_matches(v, '[0-9]')
+         AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AS rnd
+  FROM valued WHERE (kind = 0 AND length(v) >= {secret_owners.ASSIGN_MIN}) OR (kind = 1 AND length(v) >= {secret_owners.ACCESS_MIN})
+         OR (kind = 2 AND length(v) >= {secret_owners.HEX_MIN}) OR kind = 3),
+cand AS (
+  SELECT * FROM random r WHERE kind < 3 OR (rnd AND NOT EXISTS (
+    SELECT 1 FROM random o WHERE o.rid = r.rid AND o.kind < 3 AND o.a < r.b AND r.a < o.b))),
+freq AS (SELECT v, count(DISTINCT source) AS owners FROM cand GROUP BY v),
+span AS (
+  SELECT c.*, owners = 1 AND (rnd OR kind = 2) AS live, owners >= {secret_owners.EXAMPLE_OWNERS} AS example
+  FROM cand c JOIN freq USING (v) WHERE kind < 3 OR (rnd AND owners = 1)),
+txt AS (SELECT *, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || a || ':' || b AS x FROM span),
+per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(x, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY a, kind) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example
+  FROM txt GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM doc d LEFT JOIN per USING (rid)
+"""

@@ -175,20 +175,36 @@ def components(edges: DataFrame) -> DataFrame:
         e = C.written(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None,
-                    k: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """Every row of ``docs`` as ``row`` with ``rid``, ``fp``, ``root`` (the component's
-    fingerprint) and ``component_id`` (its smallest document id)."""
-    keep = docs.columns if keep is None else keep
-    rows = scan(docs, text_col, keep, k)
+def _components_of(rows: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of a ``scan`` table, as a written table."""
     fps = C.written(rows.groupBy("fp").agg(F.min(F.col(f"row.`{id_col}`")).alias("low")), "distinct-fingerprints")
     comp = components(links(fps, bits))
     labelled = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     labelled = C.written(labelled, "labelled-fingerprints")
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = C.written(labelled.select("fp", "root").join(ids, "root"), "component-ids")
-    return rows.join(names, "fp").select("rid", "row", "fp", "root", "component_id")
+    return C.written(labelled.select("fp", "root").join(ids, "root"), "component-ids")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None,
+                    k: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """Every row of ``docs`` as ``row`` with ``rid``, ``fp``, ``root`` (the component's
+    fingerprint) and ``component_id`` (its smallest document id)."""
+    rows = scan(docs, text_col, keep, k)
+    return rows.join(_components_of(rows, id_col, bits), "fp").select("rid", "row", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE,
+                bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest id (a null id
+    comes last; among rows that share the id, the first read)."""
+    rows = scan(docs, text_col, None, k)
+    narrow = rows.select("rid", "fp", F.col(f"row.`{id_col}`").alias("id"))
+    narrow = narrow.join(_components_of(rows, id_col, bits), "fp").select("rid", "root", "id")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
+    first = narrow.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.rid").alias("rid"))
+    gone = C.written(narrow.select("rid").join(first, "rid", "left_anti"), "near-copies")
+    return rows.join(C.small(gone), "rid", "left_anti").select("row.*")
 
 
 def hex16(fp):

@@ -166,3 +166,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark."""
+    rows, hit = hits(docs, benchmark, **options)
+    return rows.join(C.small(hit.select("rid")), "rid", "left_anti").select("row.*")
