@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, winnow
+from caseflow.llm import lang_cnn, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -148,3 +148,28 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM doc d LEFT JOIN per USING (rid)
 """
+
+
+#: Rules of the query: fixed values.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = url_cascade.judge(C.table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op4_url_filters"] = f"""
+WITH rules(h, p, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+page AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+best AS (
+  SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM page JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM page LEFT JOIN best USING (rid)
+"""

@@ -5,8 +5,8 @@ the ``GRAM``-word grams in it (its fingerprint), so two texts that share such a
 span always share a fingerprint.  Fingerprints of the documents that are not in
 a Bloom filter of the benchmark's fingerprints are dropped in the scan; the rest
 is joined with the benchmark's on (fingerprint, hash of the whole window), which
-extends a hit to the window around it.  The filter has at most ``MAX_BITS`` bits
-whatever the benchmark's size, and only spares work: the join decides.
+extends a hit to the window around it.  The filter has at most
+``bloom.MAX_BITS`` bits whatever the benchmark's size, and only spares work: the join decides.
 
 An item of fewer than ``SPAN`` words is one window of its own length: for each
 such length in the benchmark, every gram of that length takes the same way.
@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.llm import bloom as filters
 from caseflow.llm import common as C
 
 SPAN = 10
 GRAM = 5
-MAX_BITS = 1 << 28
-_HASHES = 3
 
 
 def _gram_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -52,11 +51,6 @@ def _window_prints(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(fp: np.ndarray, bits: int) -> list[np.ndarray]:
-    step = C.mix64(fp) | np.uint64(1)
-    return [((fp + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(_HASHES)]
-
-
 def _candidates(texts: pa.Array, shorts: list[int], bloom: np.ndarray | None) -> tuple:
     """Per text: word count, then flat (text, fingerprint, window hash, length, start) of the windows that pass."""
     buf, offs = C.text_buffer(texts)
@@ -68,9 +62,7 @@ def _candidates(texts: pa.Array, shorts: list[int], bloom: np.ndarray | None) ->
 
     def add(at, fp, n):
         if bloom is not None and len(at):
-            ok = np.ones(len(at), bool)
-            for b in _bits(fp, len(bloom) * 64):
-                ok &= (bloom[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+            ok = filters.probe(bloom, fp, fp)
             at, fp = at[ok], fp[ok]
         win = _gram_at(h, at, SPAN) if n == SPAN else fp
         parts.append((doc[at], fp, win, np.full(len(at), n, np.int32), (at - woffs[:-1][doc[at]]).astype(np.int64)))
@@ -119,21 +111,9 @@ def benchmark_windows(benchmark: DataFrame, text_col: str = "text", id_col: str
 
 
 def _bloom(windows: DataFrame) -> np.ndarray:
-    """Bit array over the benchmark's distinct fingerprints: 16 bits for each, at most ``MAX_BITS`` in all."""
-    n = windows.select("fp").distinct().count()
-    bits = 1 << 10
-    while bits < 16 * n and bits < MAX_BITS:
-        bits *= 2
-
-    def words(batches):
-        for b in batches:
-            at = np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), C.signed(np.uint64(1) << (at & 63).astype(np.uint64))], names=["w", "v"])
-
-    got = windows.select("fp").distinct().mapInArrow(words, "w long, v long").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
-    return out
+    """Filter over the benchmark's distinct fingerprints: 16 bits for each, up to the bound of a filter."""
+    prints = C.written(windows.select("fp").distinct(), "bench-prints")
+    return filters.build(prints, filters.bits_for(prints.count(), 16))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None,
