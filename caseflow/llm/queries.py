@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
+from caseflow.llm import lang_cnn, multi_index, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -173,3 +173,9 @@ best AS (
   FROM page JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM page LEFT JOIN best USING (rid)
 """
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = C.table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
