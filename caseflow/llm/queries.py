@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import lang_cnn, multi_index, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
+from caseflow.llm import html_lstm, lang_cnn, multi_index, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -179,3 +179,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM pag
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = C.table(spark, sf_dir, "embeddings")
     return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = C.table(spark, sf_dir, "pages")
+    out = html_lstm.extract(pages, html_lstm.train(pages), keep=["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", "n_chars")
