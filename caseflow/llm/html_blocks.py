@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Fixed sets of element names (HTML standard).
 RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea"}
@@ -21,6 +22,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "html", "body", "article", "section", "div"}
 
+#: A path holds at most so many of the outermost and of the innermost open elements.
+OUTER, INNER = 8, 16
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -41,7 +45,7 @@ def _name(tag: str, attrs: str) -> str:
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of every leaf with text, in page order."""
-    out, stack, names, parts = [], [], [], []
+    out, stack, names, parts, held = [], [], [], [], Counter()
     links = link_chars = 0
     page = page or ""
 
@@ -50,11 +54,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(names), text, min(link_chars, len(text))))
+                path = tuple(names) if len(names) <= OUTER + INNER else (*names[:OUTER], *names[-INNER:])
+                out.append((path, text, min(link_chars, len(text))))
             parts.clear()
         link_chars = 0
 
     def pop(n):
+        for name in stack[n:]:
+            held[name] -= 1
         del stack[n:]
         del names[n:]
 
@@ -83,8 +90,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     links = max(0, links - 1)
                 continue
             flush()
-            if close in stack:
-                pop(len(stack) - 1 - stack[::-1].index(close))
+            if held[close]:
+                n = len(stack) - 1
+                while stack[n] != close:
+                    n -= 1
+                pop(n)
                 links = 0
             continue
         if not tag:
@@ -106,13 +116,16 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if stack and stack[-1] == "p":
             pop(len(stack) - 1)
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in ENDS.get(tag, ()):
+        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - INNER), -1):
+            if tag not in ENDS:
+                break
+            if stack[i] in ENDS[tag]:
                 pop(i)
                 break
             if stack[i] in SCOPE:
                 break
         stack.append(tag)
+        held[tag] += 1
         names.append(_name(tag, attrs))
     flush()
     return out

@@ -89,11 +89,16 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.column_stack([a[ok], b[ok], c[ok]])
 
 
-def nnls(pats: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the lengths used by the patterns near ``hist``
-    (least squares, each length scaled by the root of its count; accelerated projected gradient)."""
-    scale = 1 / np.sqrt(np.maximum(hist, 1.0))
-    scale[0] = 0  # the third place of a pair
+#: Gradient cost of a triple's use, in shares of a length's count: pairs come first, so that short pieces stay for the residual.
+TRIPLE_COST = 0.3
+
+
+def nnls(pats: np.ndarray, hist: np.ndarray, steps: int = 300, cost: float = TRIPLE_COST) -> np.ndarray:
+    """Repeat counts x >= 0 that bring the lengths used by the patterns near ``hist``: least
+    squares by accelerated projected gradient steps, each length scaled by the root of its
+    count and weighted by its size (long pieces are the hard ones to place)."""
+    scale = np.arange(len(hist)) / len(hist) / np.sqrt(np.maximum(hist, 1.0))  # the empty third place of a pair weighs 0
+    extra = cost * (pats[:, 2] > 0)
 
     def use(x):
         return scale * sum(np.bincount(pats[:, j], x, len(hist)) for j in range(3))
@@ -103,20 +108,26 @@ def nnls(pats: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
 
     goal = scale * hist
     v = np.ones(len(pats))
-    for _ in range(20):
+    for _ in range(20):  # largest eigenvalue, for the step size
         v = back(use(v))
         norm = np.linalg.norm(v)
         v /= norm
     x = y = np.zeros(len(pats))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(y - back(use(y) - goal) / (1.05 * norm), 0)
+        new = np.maximum(y - (back(use(y) - goal) + extra) / (1.05 * norm), 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
     return x
 
 
+def rounded(pats: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the patterns by length, and whole counts whose running sums are those of x, rounded."""
+    order = np.lexsort((-pats[:, 1], -pats[:, 0]))
+    return order, np.diff(np.floor(np.cumsum(x[order]) + 0.5), prepend=0).astype(np.int64)
+
+
 def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over counts: (lengths in a bin, number of such bins)."""
     open_bins = [[] for _ in range(size + 1)]  # by free room
@@ -149,10 +160,8 @@ def plan(hist: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]
     pats = patterns(np.flatnonzero(left), size)
     if len(pats):
         x = nnls(pats, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
-            k = int(np.rint(x[i]))
-            if not k:
-                break
+        order, count = rounded(pats, x)
+        for i, k in zip(order[count > 0], count[count > 0].tolist()):
             held = tuple(int(v) for v in pats[i] if v)
             need = {v: held.count(v) for v in held}
             k = min(k, *(int(left[v]) // m for v, m in need.items()))
