@@ -86,6 +86,14 @@ def like_any(c, patterns: Iterable[str], case_insensitive: bool = True) -> Colum
     return out if out is not None else F.lit(False)
 
 
+def f_case(*branches: tuple[Column, Column], default: Column) -> Column:
+    """``CASE WHEN c1 THEN v1 WHEN c2 THEN v2 ... ELSE default END``."""
+    out = F
+    for cond, value in branches:
+        out = out.when(cond, value)
+    return out.otherwise(default)
+
+
 def f_case_label(c, patterns: Iterable[str], yes: str = "Passed", no: str = "REFERRED") -> Column:
     """CASE WHEN upper(c) LIKE any pattern THEN yes ELSE no END (NULL -> no)."""
     return F.when(like_any(c, patterns), F.lit(yes)).otherwise(F.lit(no))

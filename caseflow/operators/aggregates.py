@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,13 @@ def count_of_distinct(df: DataFrame, cols: Sequence[str], alias: str = "cnt") ->
     return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias(alias))
 
 
-def avg_expr(df: DataFrame, **named_exprs: Column) -> DataFrame:
+def avg_expr(df: DataFrame | GroupedData, **named_exprs: Column) -> DataFrame:
+    """The mean of each named expression, over all rows or per group."""
     return df.agg(*[F.avg(e).alias(n) for n, e in named_exprs.items()])
 
 
 def string_agg_by(df: DataFrame, key: str, col: str, sep: str = " ",
-                  alias: str = "text_string") -> DataFrame:
+                  alias: str = "joined") -> DataFrame:
     """``string_agg(col, sep)`` per key, values in ascending order, NULLs skipped,
     NULL when every value is NULL (``listagg`` semantics)."""
     return df.groupBy(key).agg(

@@ -1,46 +1,59 @@
-"""Distributed running sums in a global order (no single-partition window over data).
+"""Global orders without a single-partition window: range partitions and running sums.
 
-Rows are bucketed by approximate quantiles of the order key; per-bucket totals
-(one row per bucket: a bounded table) give each bucket's base, and a running
-sum inside each bucket gives the rest.  Used for corpus character offsets and
-for cumulative class counts in rank statistics.
+``ranged`` cuts rows into consecutive ranges of bounded size in a given order and
+writes them once with their range number, so every later use sees the same
+bounds.  Running sums then need one row per range (a table of rows / range size
+entries) and a window inside each range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import shared_table
 
-def quantile_buckets(df: DataFrame, order_col: str, n_buckets: int, out: str = "bucket",
-                     rel_error: float = 0.001) -> DataFrame:
-    """Add ``out``: the quantile bucket of numeric ``order_col`` (n-1 bounds gathered: bounded)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, rel_error))) if probs else []
-    splits = [-float("inf"), *[float(b) for b in bounds], float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_ordd", outputCol="_bkt", handleInvalid="keep")
-    res = b.transform(df.withColumn("_ordd", F.col(order_col).cast("double")))
-    return res.withColumn(out, F.col("_bkt").cast("int")).drop("_ordd", "_bkt")
+#: Rows that one task orders at a time.
+ROWS_PER_RANGE = 1 << 20
 
 
-def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], n_buckets: int | None = None,
-                 inclusive: bool = False, suffix: str = "_before") -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` with ``_rid``: consecutive ranges of about ``rows_per_range`` rows in ``order``.
+
+    The number of ranges follows the counted rows.  Rows that compare equal share
+    a range, so ``order`` should end in something unique.  The result is read
+    from a written table: the bounds are sampled once, not once per use."""
+    whole = shared_table(df, "unranged")
+    n = -(-whole.count() // max(1, rows_per_range))
+    if n <= 1:
+        return whole.withColumn("_rid", F.lit(0))
+    return shared_table(whole.repartitionByRange(n, *order).withColumn("_rid", F.spark_partition_id()), "ranged")
+
+
+def nulls_last(cols: Sequence[str]) -> list[Column]:
+    """Sort keys that put NULLs last and compare the same in a range partitioning."""
+    return [e for c in cols for e in (F.col(c).isNull().asc(), F.col(c).asc())]
+
+
+def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
+                 inclusive: bool = False, suffix: str = "_before", by: Sequence[str] = ()) -> DataFrame:
     """For each row, the sum of each ``value_col`` over all rows earlier in
-    ``order_col`` order (``inclusive`` adds the row itself).  ``order_col`` must
-    be unique and numeric."""
-    spark = df.sparkSession
-    n = max(n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bl = quantile_buckets(df, order_col, n)
-    totals = bl.groupBy("bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    base = totals.select("bucket", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_b_{v}")
-                                     for v in value_cols])
-    end = 0 if inclusive else -1
-    w = Window.partitionBy("bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    inner = bl.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_i_{v}") for v in value_cols])
-    return inner.join(F.broadcast(base), "bucket").select(
-        *[c for c in df.columns],
-        *[(F.col(f"_b_{v}") + F.col(f"_i_{v}")).alias(f"{v}{suffix}") for v in value_cols])
+    ``order_col`` order (``inclusive`` adds the row itself), within equal ``by``
+    columns.  ``order_col`` should be unique within ``by``; NULLs come last."""
+    by = list(by)
+    keys = nulls_last([*by, order_col])
+    rows = ranged(df, keys, rows_per_range)
+    totals = rows.groupBy(*by, "_rid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    # one row per range (and group in it)
+    wb = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_rid").alias("_k_rid"),
+                         *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_b_{v}") for v in value_cols])
+    w = Window.partitionBy(*by, "_rid").orderBy(*nulls_last([order_col])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = rows.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_i_{v}") for v in value_cols])
+    on = F.col("_rid") == F.col("_k_rid")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    return inner.join(base, on).select(
+        *df.columns, *[(F.col(f"_b_{v}") + F.col(f"_i_{v}")).alias(f"{v}{suffix}") for v in value_cols])

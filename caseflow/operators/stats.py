@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 # quantile probabilities of R's summary(): min, Q1, median, Q3, max
 SUMMARY_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
-# above this many distinct values a quantile buffer is not kept in one task
-MAX_LOCAL_DISTINCT = 1_000_000
 
 
 def xtabs(long: DataFrame, row: str, col: str, value: str, values: Sequence[str]) -> DataFrame:
@@ -39,25 +37,25 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(counts: DataFrame, probs: Sequence[float] = SUMMARY_PROBS) -> DataFrame:
-    """Exact linear-interpolation quantiles (R type 7) from a (v, c) value-count
-    table, without gathering values: a distributed running sum gives each
-    distinct value's rank range and each quantile reads the two order
-    statistics around rank (n-1)p.  Memory per task stays bounded whatever the
-    number of distinct values.  One row: n, mean, q0, q1, ..."""
+    """Exact linear-interpolation quantiles (R type 7) of every variable of a
+    (variable, v, c) value-count table, without gathering values: a distributed
+    running sum gives each distinct value's rank range and each quantile reads
+    the two order statistics around rank (n-1)p.  Memory per task stays bounded
+    whatever the number of distinct values.  Rows: variable, mean, q0, q1, ..."""
     from caseflow.operators.prefix import running_sums
-    n = counts.select(F.sum("c")).scalar()
-    r = running_sums(counts, "v", ["c"])
-    aggs = [F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")]
+    r = running_sums(counts, "v", ["c"], by=["variable"])
+    n = r.groupBy(F.col("variable").alias("_var")).agg(F.sum("c").alias("_n"))  # one row per variable
+    r = r.join(n, F.col("variable") == F.col("_var"))
+    aggs = [(F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")]
     for i, p in enumerate(probs):
-        h = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         at = lambda k: (F.col("c_before") <= k) & (k < F.col("c_before") + F.col("c"))
-        aggs += [F.max(F.when(at(lo), F.col("v"))).alias(f"lo{i}"),
-                 F.max(F.when(at(hi), F.col("v"))).alias(f"hi{i}"), F.first(h).alias(f"h{i}")]
-    row = r.agg(*aggs)
-    return row.select("n", "mean", *[(F.col(f"lo{i}") + (F.col(f"h{i}") - F.floor(F.col(f"h{i}")))
-                                      * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}")
-                                     for i in range(len(probs))])
+        aggs += [F.max(F.when(at(F.floor(h)), F.col("v"))).alias(f"lo{i}"),
+                 F.max(F.when(at(F.ceil(h)), F.col("v"))).alias(f"hi{i}"), F.max(h).alias(f"h{i}")]
+    row = r.groupBy("variable").agg(*aggs)
+    return row.select("variable", "mean", *[(F.col(f"lo{i}") + (F.col(f"h{i}") - F.floor(F.col(f"h{i}")))
+                                             * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}")
+                                            for i in range(len(probs))])
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
@@ -65,8 +63,8 @@ def summary_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
     """R ``summary()`` per numeric column: min, Q1, median, mean, Q3, max.
 
     ``exact`` (default): one pass over ``df`` builds the value-count table of
-    all columns (materialised once in the shared checkpoint folder), and exact
-    type-7 quantiles come from it with bounded memory.  ``exact=False`` uses
+    all columns, and exact type-7 quantiles come from its distributed running
+    sums with bounded memory.  ``exact=False`` uses
     ``percentile_approx``.  Output is long: one row per column name.
     """
     if not exact:
@@ -80,26 +78,9 @@ def summary_stats(df: DataFrame, cols: Sequence[str], exact: bool = True,
                               F.col(f"s{i}.m").alias("mean"), q[3].alias("q3"), q[4].alias("max"))
             out = row if out is None else out.unionByName(row)
         return out
-    from caseflow.session import reliable_checkpoint
-    counts = reliable_checkpoint(value_counts(df, cols))
-    # few distinct values (the usual case for day and action counts): Spark's
-    # exact ``percentile`` with a frequency column, whose buffer holds one entry
-    # per distinct value, so its size is checked first; otherwise the distributed path
-    n_distinct = counts.groupBy("variable").count().agg(F.max("count")).first()[0] or 0
-    if n_distinct <= MAX_LOCAL_DISTINCT:
-        q = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in SUMMARY_PROBS]), F.col("c"))
-        wide = counts.groupBy("variable").agg(q.alias("q"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-        rows = wide.select("variable", F.col("q")[0].alias("min"), F.col("q")[1].alias("q1"),
-                           F.col("q")[2].alias("median"), "mean", F.col("q")[3].alias("q3"), F.col("q")[4].alias("max"))
-        return rows
-    out = None
-    for c in cols:
-        q = exact_quantiles(counts.where(F.col("variable") == F.lit(c)).select("v", "c"))
-        row = q.select(F.lit(c).alias("variable"), F.col("q0").alias("min"), F.col("q1").alias("q1"),
-                       F.col("q2").alias("median"), F.col("mean"), F.col("q3").alias("q3"),
-                       F.col("q4").alias("max"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    q = exact_quantiles(value_counts(df, cols))
+    return q.select("variable", F.col("q0").alias("min"), F.col("q1").alias("q1"), F.col("q2").alias("median"),
+                    "mean", F.col("q3").alias("q3"), F.col("q4").alias("max"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -114,12 +95,11 @@ def schema_info(df: DataFrame) -> DataFrame:
 
 
 def factor_levels(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-NULL levels with their 0-based index (R factor order)."""
-    from pyspark.sql import Window
-    lv = df.select(col).where(F.col(col).isNotNull()).distinct()
-    # the level set is small (a factor); the ordinal window runs on distinct values only
-    return lv.select(col, (F.row_number().over(Window.orderBy(F.col(col).asc())) - 1)
-                     .cast("bigint").alias("level_index"))
+    """Sorted distinct non-NULL levels with their 0-based index (R factor order),
+    numbered by a distributed running count (any column may be passed)."""
+    from caseflow.operators.prefix import running_sums
+    lv = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    return running_sums(lv, col, ["_one"]).select(col, F.col("_one_before").cast("bigint").alias("level_index"))
 
 
 def kpis(features: DataFrame, members_born: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseflow.session import reliable_checkpoint
 
-from caseflow.operators.prefix import running_sums
+from caseflow.operators.prefix import ROWS_PER_RANGE, running_sums
 
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
 # characters per block (plus the halo). Kept small on purpose: substring on a
@@ -30,10 +30,10 @@ def corpus_lines(df: DataFrame, text_col: str = "text", order_col: str = "id") -
         "len", F.length("line").cast("bigint"))
 
 
-def corpus_offsets(lines: DataFrame, n_buckets: int | None = None) -> DataFrame:
+def corpus_offsets(lines: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``off``: the global character offset of each line in ``ord`` order
     (a distributed running sum of the line lengths; ``ord`` must be unique)."""
-    out = running_sums(lines, "ord", ["len"], n_buckets, suffix="_off")
+    out = running_sums(lines, "ord", ["len"], rows_per_range, suffix="_off")
     return out.select("ord", "line", "len", F.col("len_off").cast("bigint").alias("off"))
 
 
@@ -63,13 +63,13 @@ def corpus_length(lines: DataFrame) -> DataFrame:
 
 
 def t_windows(df: DataFrame, text_col: str = "text", order_col: str = "id", seq: int = SEQ_LENGTH,
-              block: int = DEFAULT_BLOCK, n_buckets: int | None = None) -> DataFrame:
+              block: int = DEFAULT_BLOCK, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Every window of ``seq`` characters of the corpus and the character after
     it, stride 1, crossing line boundaries: (pos, window, next_char), with
     ``n_chars - seq`` rows."""
     lines = corpus_lines(df, text_col, order_col)
     total = lines.select(F.sum("len")).scalar()
-    blocks = corpus_blocks(corpus_offsets(lines, n_buckets), seq, block)
+    blocks = corpus_blocks(corpus_offsets(lines, rows_per_range), seq, block)
     first = F.col("block") * block
     n_here = F.least(F.lit(block).cast("bigint"), total - F.lit(seq) - first)
     starts = blocks.where(n_here > 0).select(

@@ -7,10 +7,9 @@ first.
 
 Skew: a single bill may hold a large share of all actions.  ``latest_*`` and
 ``max_*`` are aggregates (partial aggregation, no group is ever buffered).
-``lead_step`` needs the rows of a bill in order; bills that a sample shows to
-be heavy are range-partitioned on the full ordering key so one bill is split
-over many tasks, and the few rows at task boundaries are stitched with a small
-per-(bill, task) table.
+``lead_step`` needs the rows of a bill in order; bills with more rows than one
+task should order are cut into ranges of the full ordering key, and the rows at
+the range borders are stitched with a per-(bill, range) table.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.prefix import ROWS_PER_RANGE, nulls_last, ranged
+from caseflow.session import shared_table
+
 
 def _as_list(x) -> list:
     if x is None:
@@ -64,21 +66,11 @@ def order_struct(df: DataFrame, order: Sequence[str], tiebreak: Sequence[str] =
     return F.struct(*fields)
 
 
-MAX_HOT_KEYS = 1000
-
-
-def detect_hot_keys(df: DataFrame, key: str, fraction: float = 0.01, min_share: float = 0.001,
-                    min_sampled: int = 100, seed: int = 17) -> DataFrame:
-    """Keys that hold at least ``min_share`` of a sample (and ``min_sampled`` sampled rows).
-
-    The result has at most ``1 / min_share`` rows by construction, so it is safe
-    to broadcast.  Only the key column is read.
-    """
-    s = df.select(key).sample(fraction=fraction, seed=seed)
-    total = s.select(F.count(F.lit(1))).scalar()
-    return (s.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where((F.col("_n") >= F.lit(min_sampled)) & (F.col("_n") >= total * F.lit(min_share)))
-            .select(key))
+def heavy_keys(df: DataFrame, key: str, max_rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """Keys (NULL included) with more than ``max_rows`` rows, by exact count, as a
+    written table: at most rows / ``max_rows`` of them.  Only the key column is read."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(max_rows))
+    return shared_table(n.select(key), "heavy-keys")
 
 
 def _lead_window(df: DataFrame, part: str, ordering: list[Column], cols, names) -> DataFrame:
@@ -86,66 +78,52 @@ def _lead_window(df: DataFrame, part: str, ordering: list[Column], cols, names)
     return df.select("*", *[F.lead(c, 1).over(w).alias(n) for c, n in zip(cols, names)])
 
 
-def _lead_split(df: DataFrame, part: str, order_cols: list[str], cols, names,
-                n_ranges: int) -> DataFrame:
-    """Exact ``lead`` for heavy keys: range-partition on (key, ordering) so a
-    key's rows spread over ``n_ranges`` tasks, lead within (key, range), then
-    take the missing next row of each range's last row from the first row of
-    the following range of the same key.
-    """
-    # (is-null, value) pairs make NULLs sort last and compare consistently in structs
-    key_exprs = [F.col(part).isNull(), F.col(part)]
-    for c in order_cols:
-        key_exprs += [F.col(c).isNull(), F.col(c)]
-    r = (df.repartitionByRange(n_ranges, *[e.asc() for e in key_exprs])
-         .withColumn("_rid", F.spark_partition_id()))
-    ordering = []
-    for c in order_cols:
-        ordering += [F.col(c).isNull().asc(), F.col(c).asc()]
-    w = Window.partitionBy(part, "_rid").orderBy(*ordering)
-    inner = r.select("*", F.lead(F.lit(True), 1).over(w).alias("_has_next"),
-                     *[F.lead(c, 1).over(w).alias(n) for c, n in zip(cols, names)])
+def _lead_split(df: DataFrame, part: str, order_cols: list[str], cols, names, max_rows: int) -> DataFrame:
+    """Exact ``lead`` for heavy keys: rows are cut into ranges of the full order
+    (key, order columns, read order), lead runs within each (key, range), and the
+    last row of a range takes the first row of the key's next range.
+
+    The ranges come from one written table, so all branches see the same bounds."""
+    rows = ranged(df.withColumn("_uid", F.monotonically_increasing_id()),
+                  nulls_last([part, *order_cols, "_uid"]), max_rows)
+    w = Window.partitionBy(part, "_rid").orderBy(*nulls_last([*order_cols, "_uid"]))
+    inner = rows.select("*", F.lead(F.lit(True), 1).over(w).alias("_has_next"),
+                        *[F.lead(c, 1).over(w).alias(n) for c, n in zip(cols, names)])
     # first row of every (key, range): one row per group, partial aggregation
-    skey = F.struct(*[e.alias(f"k{i}") for i, e in enumerate(key_exprs[2:])])
-    firsts = r.groupBy(part, "_rid").agg(
-        F.min_by(F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(cols)]), skey).alias("_first"))
-    # next range of the same key: at most n_ranges + (#heavy keys) rows in total
-    wr = Window.partitionBy(part).orderBy("_rid")
-    fix = firsts.select(part, "_rid", F.lead("_first", 1).over(wr).alias("_next_first"))
-    out = inner.join(F.broadcast(fix), [part, "_rid"], "left")
+    place = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(
+        e for c in (*order_cols, "_uid") for e in (F.col(c).isNull(), F.col(c)))])
+    firsts = rows.groupBy(part, "_rid").agg(
+        F.min_by(F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(cols)]), place).alias("_first"))
+    # the key's next range: at most (ranges + heavy keys) rows in total
+    after = F.lead("_first", 1).over(Window.partitionBy(part).orderBy("_rid"))
+    fix = firsts.select(F.col(part).alias("_k"), F.col("_rid").alias("_r"), after.alias("_next_first"))
+    out = inner.join(fix, F.col(part).eqNullSafe(F.col("_k")) & (F.col("_rid") == F.col("_r")), "left")
     fixed = [F.when(F.col("_has_next").isNull(), F.col("_next_first").getField(f"x{i}"))
              .otherwise(F.col(n)).alias(n) for i, n in enumerate(names)]
-    keep = [c for c in df.columns]
-    return out.select(*keep, *fixed)
+    return out.select(*df.columns, *fixed)
 
 
 def lead_step(df: DataFrame, part: str = "bill_id", order: Sequence[str] = ("action_date",),
               tiebreak: Sequence[str] = (), cols: Sequence[str] = ("action_date", "type"),
               names: Sequence[str] = ("next_row", "next_type"), skew: str = "auto",
-              n_ranges: int | None = None, hot_keys: DataFrame | None = None) -> DataFrame:
+              max_rows: int = ROWS_PER_RANGE, hot_keys: DataFrame | None = None) -> DataFrame:
     """``lead(c, 1) OVER (PARTITION BY part ORDER BY order, tiebreak)`` for each of ``cols``.
 
-    ``skew``: ``"auto"`` splits keys found heavy in a sample, ``"none"`` uses a
-    plain window, ``"all"`` sends every key through the split path.
-    """
+    ``skew``: ``"auto"`` splits the keys (NULL too) that have more than
+    ``max_rows`` rows, ``"none"`` uses a plain window, ``"all"`` sends every key
+    through the split path.  ``hot_keys`` passes the heavy keys if they are known."""
     order_cols = _as_list(order) + _as_list(tiebreak)
     ordering = sort_exprs(order_cols)
     if skew == "none":
         return _lead_window(df, part, ordering, cols, names)
-    spark = df.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if skew == "all":
-        return _lead_split(df, part, order_cols, cols, names, n)
-    # heavy keys are found by a small sampled job at plan time; the list is
-    # bounded (<= 1 / min_share keys), so it becomes a literal set in the plan
-    hk = hot_keys if hot_keys is not None else detect_hot_keys(df, part)
-    hot = [r[0] for r in hk.limit(MAX_HOT_KEYS).collect()]
-    if not hot:
+        return _lead_split(df, part, order_cols, cols, names, max_rows)
+    heavy = (hot_keys if hot_keys is not None else heavy_keys(df, part, max_rows)).select(F.col(part).alias("_k"))
+    if heavy.isEmpty():
         return _lead_window(df, part, ordering, cols, names)
-    is_hot = F.col(part).isin(hot)
-    cold = _lead_window(df.where(~is_hot | F.col(part).isNull()), part, ordering, cols, names)
-    heavy = _lead_split(df.where(is_hot), part, order_cols, cols, names, n)
-    return cold.unionByName(heavy)
+    same = F.col(part).eqNullSafe(F.col("_k"))
+    light = _lead_window(df.join(heavy, same, "left_anti"), part, ordering, cols, names)
+    return light.unionByName(_lead_split(df.join(heavy, same, "left_semi"), part, order_cols, cols, names, max_rows))
 
 
 def _join_back(df: DataFrame, per_key: DataFrame, part: str) -> DataFrame:
@@ -155,7 +133,7 @@ def _join_back(df: DataFrame, per_key: DataFrame, part: str) -> DataFrame:
     return df.join(k, df[part].eqNullSafe(k["_k"]), "inner").drop("_k")
 
 
-def max_over(df: DataFrame, part: str, col: str, alias: str = "max_thing") -> DataFrame:
+def max_over(df: DataFrame, part: str, col: str, alias: str = "group_max") -> DataFrame:
     """``max(col) OVER (PARTITION BY part)`` as an aggregate joined back.
 
     The aggregate has one row per key; the join back is a plain equi-join whose

@@ -12,11 +12,10 @@ from caseflow.operators import stats as S
 from caseflow.operators import windows as W
 from caseflow.plans import process as P
 from caseflow.plans.catalog import (BILL_FEATURES_SQL, BINDING_CTES, CHAMBER, M_HI, M_LO, PARTY,
-                                    QUERIES, REJECT, STATE, TIE_SQL, TIMELINE_BILL, YEAR, T,
-                                    _lead_sql, _topk_sql, q_bill_features, q_topk_monthly, r6,
-                                    register)
-from caseflow.sources.tables import (TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK,
-                                     register_views)
+                                    REJECT, STATE, TIE_SQL, TIMELINE_BILL, YEAR, T,
+                                    TRANSITIONS_FILTERED_SQL, _lead_sql, _topk_sql, best_sql, monthly_sql,
+                                    outcome_sql, q_bill_features, q_topk_monthly, r6, register)
+from caseflow.sources.tables import TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK, TEST_TYPES
 
 TB = list(TEST_TIEBREAK)
 
@@ -27,14 +26,6 @@ def with_ctes(body: str, **ctes: str) -> str:
     return BINDING_CTES + extra + "\n" + body
 
 
-def alias(new: str, old: str):
-    """Register an inventory id that is the same computation as another one."""
-    from caseflow.plans.catalog import ORACLE
-    QUERIES[new] = QUERIES[old]
-    if old in ORACLE:
-        ORACLE[new] = ORACLE[old]
-
-
 # --- 2.1 sources ---------------------------------------------------------------
 
 @register("scan_all", "SELECT * FROM bills")
@@ -42,31 +33,24 @@ def q_scan_all(spark, d):
     return T(spark, d).bills
 
 
-@register("sql_params", f"""
-SELECT type, next_type, round(avg(next_row - action_date), 6) AS no_days
-FROM ({_lead_sql()}) tb1 INNER JOIN bills ON bills.id = tb1.bill_id
-INNER JOIN sponsors ON sponsors.bill_id = bills.id
-INNER JOIN members ON members.bioguideid = sponsors.sponsor_id
-WHERE next_type IS NOT NULL AND members.party = '{PARTY}' AND members.state = '{STATE}'
-  AND bills.originchamber = '{CHAMBER}'
-GROUP BY type, next_type
-""")
+@register("sql_params", TRANSITIONS_FILTERED_SQL)
 def q_sql_params(spark, d):
-    """The dashboard's parameterised SQL, with typed named parameters instead
-    of pasted strings."""
-    register_views(spark, T(spark, d))
-    return spark.sql(f"""
-SELECT type, next_type, round(avg(datediff(next_row, action_date)), 6) AS no_days
-FROM (SELECT bill_id, action_date, type,
-             lead(action_date, 1) OVER (PARTITION BY bill_id ORDER BY action_date ASC NULLS LAST, {TIE_SQL}) AS next_row,
-             lead(type, 1) OVER (PARTITION BY bill_id ORDER BY action_date ASC NULLS LAST, {TIE_SQL}) AS next_type
-      FROM actions) tb1
-INNER JOIN bills ON bills.id = tb1.bill_id
-INNER JOIN sponsors ON sponsors.bill_id = bills.id
-INNER JOIN members ON members.bioguideid = sponsors.sponsor_id
-WHERE next_type IS NOT NULL AND members.party = :party AND members.state = :state
-  AND bills.originchamber = :chamber
-GROUP BY type, next_type""", args={"party": PARTY, "state": STATE, "chamber": CHAMBER})
+    """Parameterised SQL with typed named parameters and DataFrame arguments (no
+    temp views, no pasted strings); the steps come from the operator that splits heavy bills."""
+    t = T(spark, d)
+    steps = W.lead_step(t.actions_lean.select("bill_id", "action_date", "type", *TB), tiebreak=TB)
+    return spark.sql("""
+WITH picked AS (
+  SELECT b.id, count(*) AS w
+  FROM {bills} b JOIN {sponsors} s ON s.bill_id = b.id JOIN {members} m ON m.bioguideid = s.sponsor_id
+  WHERE m.party = :party AND m.state = :state AND b.originchamber = :chamber
+  GROUP BY b.id),
+gaps AS (
+  SELECT type, next_type, w, datediff(next_row, action_date) AS days
+  FROM {steps} JOIN picked ON id = bill_id WHERE next_type IS NOT NULL)
+SELECT type, next_type, round(sum(days * w) / sum(if(days IS NULL, NULL, w)), 6) AS no_days
+FROM gaps GROUP BY type, next_type""", args={"party": PARTY, "state": STATE, "chamber": CHAMBER},
+                     steps=steps, bills=t.bills, sponsors=t.sponsors, members=t.members)
 
 
 @register("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
@@ -148,33 +132,31 @@ def q_filter_type_eq(spark, d):
         "bill_id", "action_date", "type", "committee")
 
 
-_OUTCOME_TB1 = """
-SELECT bill_id, string_agg(status, ' ' ORDER BY status) AS text_string
-FROM (SELECT bill_id, action_date, type AS status,
-             max(action_date) OVER (PARTITION BY bill_id) AS max_thing FROM actions) tb
-WHERE tb.max_thing = tb.action_date GROUP BY bill_id
-"""
-
-
-@register("string_agg_by", _OUTCOME_TB1)
+@register("string_agg_by", f"SELECT bill_id, last_types AS joined FROM ({outcome_sql()}) o")
 def q_string_agg_by(spark, d):
     a = T(spark, d).actions_lean
     at_max = W.filter_eq_window_max(a, "bill_id", "action_date")
-    return A.string_agg_by(at_max, "bill_id", "type")
-
-
-_CASE_SQL = " OR ".join(f"upper(text_string) LIKE upper('{m}')" for m in TEST_PASS_MARKERS)
+    return A.string_agg_by(at_max, "bill_id", "type", alias="joined")
 
 
-@register("case_label", f"SELECT bill_id, CASE WHEN {_CASE_SQL} THEN 'Passed' ELSE 'REFERRED' END AS status FROM ({_OUTCOME_TB1}) tb1")
+@register("case_label", f"SELECT bill_id, status FROM ({outcome_sql()}) o")
 def q_case_label(spark, d):
     return P.bill_outcomes(T(spark, d).actions_lean, TEST_PASS_MARKERS).select("bill_id", "status")
 
 
+# markers that span types, are anchored, or hold wildcards: matched against the joined string
+HARD_MARKERS = ("%RO%AF%", "NF", "A_ _F%", "%no no")
+
+
+@register("case_label_markers", f"SELECT bill_id, status FROM ({outcome_sql(HARD_MARKERS)}) o")
+def q_case_label_markers(spark, d):
+    return P.bill_outcomes(T(spark, d).actions_lean, HARD_MARKERS).select("bill_id", "status")
+
+
 @register("filter_eq_window_max", """
-SELECT bill_id, action_date, type FROM (
-  SELECT bill_id, action_date, type, max(action_date) OVER (PARTITION BY bill_id) AS max_thing FROM actions) tb
-WHERE max_thing = action_date
+SELECT a.bill_id, a.action_date, a.type
+FROM actions a JOIN (SELECT bill_id, max(action_date) AS action_date FROM actions GROUP BY bill_id) latest
+  ON latest.bill_id IS NOT DISTINCT FROM a.bill_id AND latest.action_date = a.action_date
 """)
 def q_filter_eq_window_max(spark, d):
     a = T(spark, d).actions_lean.select("bill_id", "action_date", "type")
@@ -206,8 +188,7 @@ def q_join_inner(spark, d):
 
 
 @register("join_comma", f"""
-SELECT c.name, a.bill_id, a.action_date FROM actions a, committees c
-WHERE a.committee = c.id AND a.type = '{TEST_REFERRAL_TYPE}'
+SELECT name, bill_id, action_date FROM committees JOIN actions ON committee = id WHERE type = '{TEST_REFERRAL_TYPE}'
 """)
 def q_join_comma(spark, d):
     t = T(spark, d)
@@ -235,8 +216,8 @@ def q_join_agg_subquery(spark, d):
 
 
 @register("anti_not_exists", """
-SELECT * FROM actions A WHERE upper(text) LIKE '%GEAR%' AND NOT EXISTS (
-  SELECT * FROM actions WHERE upper(text) LIKE '%RED%' AND actions.bill_id = A.bill_id)
+SELECT * FROM actions ANTI JOIN (SELECT bill_id FROM actions WHERE text ILIKE '%RED%') red USING (bill_id)
+WHERE text ILIKE '%GEAR%'
 """)
 def q_anti_not_exists(spark, d):
     a = T(spark, d).actions
@@ -244,12 +225,9 @@ def q_anti_not_exists(spark, d):
 
 
 @register("semi_in_topk", f"""
-SELECT c.name, a.bill_id, a.action_date FROM actions a, committees c
-WHERE a.committee = c.id AND a.type = '{TEST_REFERRAL_TYPE}'
-  AND c.name IN (SELECT name FROM (
-        SELECT c.name, count(*) AS cnt FROM actions a, committees c
-        WHERE a.committee = c.id AND a.type = '{TEST_REFERRAL_TYPE}'
-        GROUP BY c.name ORDER BY cnt DESC, c.name LIMIT 5) tb)
+SELECT c.name, a.bill_id, a.action_date
+FROM actions a JOIN committees c ON c.id = a.committee SEMI JOIN ({best_sql()}) best ON best.name = c.name
+WHERE a.type = '{TEST_REFERRAL_TYPE}'
 """)
 def q_semi_in_topk(spark, d):
     rows = q_join_comma(spark, d)
@@ -259,8 +237,9 @@ def q_semi_in_topk(spark, d):
 
 
 @register("corr_scalar_max", """
-SELECT action_code, text FROM actions
-WHERE action_date = (SELECT max(A.action_date) FROM actions A WHERE A.action_code = actions.action_code)
+SELECT a.action_code, a.text FROM actions a
+JOIN (SELECT action_code, max(action_date) AS last_day FROM actions GROUP BY action_code) m
+  ON m.action_code = a.action_code AND m.last_day = a.action_date
 """)
 def q_corr_scalar_max(spark, d):
     return R.corr_scalar_max(T(spark, d).actions, "action_code", "action_date").select("action_code", "text")
@@ -288,14 +267,7 @@ def q_count_distinct_cosponsors(spark, d):
     return A.count_distinct(T(spark, d).cosponsors, "sponsor_id")
 
 
-_LATEST_SQL = f"""
-SELECT DISTINCT ON (bill_id) bill_id, status
-FROM (SELECT bill_id, action_date, text AS status, {TIE_SQL} FROM actions) tbl
-ORDER BY bill_id, action_date DESC NULLS LAST, {TIE_SQL}
-"""
-
-
-@register("count_distinct_sub", f"SELECT count(DISTINCT bill_id) AS n_distinct FROM ({_LATEST_SQL}) tb1")
+@register("count_distinct_sub", "SELECT count(*) AS n_distinct FROM (SELECT bill_id FROM actions WHERE bill_id IS NOT NULL GROUP BY bill_id) b")
 def q_count_distinct_sub(spark, d):
     return A.count_distinct(P.latest_status(T(spark, d).actions, TB), "bill_id")
 
@@ -310,8 +282,10 @@ def q_count_distinct_split(spark, d):
 
 
 _FIRST_VALUE_SQL = f"""
-SELECT DISTINCT first_value(status) OVER (PARTITION BY bill_id ORDER BY action_date DESC NULLS LAST, {TIE_SQL}) AS status
-FROM (SELECT bill_id, action_date, text AS status, {TIE_SQL} FROM actions) tb
+SELECT status FROM (
+  SELECT text AS status FROM actions
+  QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY action_date DESC NULLS LAST, {TIE_SQL}) = 1) latest
+GROUP BY status
 """
 
 
@@ -330,20 +304,13 @@ def q_max_by_group(spark, d):
     return A.max_by_group(T(spark, d).actions_lean, "action_code", "action_date", "max_date")
 
 
-@register("month_counts", f"""
-SELECT c.name, strftime(a.action_date, '%Y-%m') AS dt, count(*) AS cnt FROM actions a, committees c
-WHERE a.committee = c.id AND a.type = '{TEST_REFERRAL_TYPE}' GROUP BY c.name, strftime(a.action_date, '%Y-%m')
-""")
+@register("month_counts", f"SELECT name, dt, cnt FROM ({monthly_sql()}) mon")
 def q_month_counts(spark, d):
     t = T(spark, d)
     return P._named_monthly(t.actions_lean, t.committees, TEST_REFERRAL_TYPE).select("name", "dt", "cnt")
 
 
-@register("top_k", f"""
-SELECT c.name, count(*) AS cnt FROM actions a, committees c
-WHERE a.committee = c.id AND a.type = '{TEST_REFERRAL_TYPE}'
-GROUP BY c.name ORDER BY cnt DESC, c.name LIMIT 5
-""")
+@register("top_k", f"SELECT * FROM ({best_sql()}) best")
 def q_top_k(spark, d):
     counts = q_month_counts(spark, d).groupBy("name").agg(F.sum("cnt").cast("bigint").alias("cnt"))
     return R.top_k(counts, "cnt", 5, ["name"])
@@ -377,17 +344,15 @@ def q_filter_not_null(spark, d):
     return R.filter_not_null(q_lead_step(spark, d), "next_type")
 
 
-@register("max_over", "SELECT bill_id, action_date, type, max(action_date) OVER (PARTITION BY bill_id) AS max_thing FROM actions")
+@register("max_over", "SELECT bill_id, action_date, type, max(action_date) OVER (PARTITION BY bill_id) AS group_max FROM actions")
 def q_max_over(spark, d):
     a = T(spark, d).actions_lean.select("bill_id", "action_date", "type")
-    return W.max_over(a, "bill_id", "action_date").select("bill_id", "action_date", "type", "max_thing")
+    return W.max_over(a, "bill_id", "action_date").select("bill_id", "action_date", "type", "group_max")
 
 
 @register("latest_per_date", f"""
 SELECT DISTINCT status FROM (
-  SELECT DISTINCT ON (action_date) bill_id, status
-  FROM (SELECT bill_id, action_date, text AS status, {TIE_SQL} FROM actions) tbl
-  ORDER BY action_date DESC, {TIE_SQL}) t
+  SELECT text AS status FROM actions QUALIFY row_number() OVER (PARTITION BY action_date ORDER BY {TIE_SQL}) = 1) first_of_day
 """)
 def q_latest_per_date(spark, d):
     return W.latest_per_date(T(spark, d).actions, "action_date", TB)
@@ -509,19 +474,137 @@ def q_histogram(spark, d):
     return S.histogram(q_bill_features(spark, d), "no_days", HIST_LO, HIST_W, HIST_N)
 
 
-# --- inventory ids that are the same computation as a registered query -------------------
+# --- inventory ids with queries of their own ----------------------------------------------
+
+
+@register("avg_by_pair", """
+SELECT originchamber, bill_type, round(avg(updatedate::DATE - createdate::DATE), 6) AS avg_days FROM bills GROUP BY ALL""")
+def q_avg_by_pair(spark, d):
+    b = T(spark, d).bills
+    days = X.f_date_diff(F.col("updatedate").cast("date"), F.col("createdate").cast("date"))
+    return r6(A.avg_expr(b.groupBy("originchamber", "bill_type"), avg_days=days), "avg_days")
+
+
+def _case_avg_sql(group: str) -> str:
+    return ("SELECT " + group + ", " + ", ".join(
+        f"round(sum(if(originchamber = '{c}', 1, 0) * (updatedate::DATE - createdate::DATE)) / count(updatedate::DATE - createdate::DATE), 6) AS {c.lower()}"
+        for c in ("F", "O", "P")) + f" FROM bills WHERE updatedate IS NOT NULL GROUP BY {group}")
+
+
+def _case_avg(spark, d, group):
+    b = T(spark, d).bills.where(F.col("updatedate").isNotNull())
+    days = X.f_date_diff(F.col("updatedate").cast("date"), F.col("createdate").cast("date"))
+    out = A.avg_expr(b.groupBy(*group), **{c.lower(): X.f_case((F.col("originchamber") == c, days), default=F.lit(0))
+                                           for c in ("F", "O", "P")})
+    return r6(out, "f", "o", "p")
+
+
+@register("case_avg_crosstab", _case_avg_sql("bill_type, introduceddate"))
+def q_case_avg_crosstab(spark, d):
+    return _case_avg(spark, d, ["bill_type", "introduceddate"])
+
+
+@register("case_avg_crosstab_by_type", _case_avg_sql("bill_type"))
+def q_case_avg_crosstab_by_type(spark, d):
+    return _case_avg(spark, d, ["bill_type"])
+
+
+@register("count_by_pair_text", "SELECT bill_id, text, count(*) AS cnt FROM actions GROUP BY ALL")
+def q_count_by_pair_text(spark, d):
+    return A.count_by(T(spark, d).actions, "bill_id", "text")
+
+
+@register("outcome_counts", f"SELECT party, status, count(*) AS cnt FROM ({BILL_FEATURES_SQL}) bf GROUP BY ALL")
+def q_outcome_counts(spark, d):
+    return A.count_by(q_bill_features(spark, d), "party", "status")
 
-alias("avg_by_pair", "transitions")
-alias("case_avg_crosstab", "dwell_crosstab")
-alias("case_avg_crosstab_by_type", "dwell_crosstab_by_type")
-alias("count_by_pair_text", "last_by_code")
-alias("outcome_counts", "pass_referred")
-alias("latest_per_key", "latest_status")
-alias("sort_mixed", "topk_monthly")
-alias("xtabs", "topk_monthly_wide")
-alias("avg_expr", "title_stats")
-alias("f_substr", "distinct_expr")
-alias("f_case", "case_label")
+
+@register("latest_per_key", f"""
+SELECT committee, type AS status FROM actions
+QUALIFY row_number() OVER (PARTITION BY committee ORDER BY action_date DESC NULLS LAST, bill_id, {TIE_SQL}) = 1""")
+def q_latest_per_key(spark, d):
+    return W.latest_per_key(T(spark, d).actions_lean, "committee", "action_date", ["bill_id", *TB], "type")
+
+
+@register("sort_mixed", "SELECT type, action_date, count(*) AS cnt FROM actions GROUP BY ALL ORDER BY action_date, cnt DESC, type")
+def q_sort_mixed(spark, d):
+    counts = A.count_by(T(spark, d).actions_lean, "type", "action_date")
+    return counts.orderBy(F.col("action_date").asc_nulls_last(), F.col("cnt").desc(), F.col("type").asc_nulls_last())
+
+
+_XTABS_COLS = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE type = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in TEST_TYPES)
+
+
+@register("xtabs", f"""
+SELECT code, {_XTABS_COLS} FROM (SELECT action_code AS code, type, count(*) AS n FROM actions GROUP BY ALL) g GROUP BY code""")
+def q_xtabs(spark, d):
+    long = T(spark, d).actions_lean.groupBy(F.col("action_code").alias("code"), "type").agg(F.count(F.lit(1)).alias("n"))
+    return S.xtabs(long, "code", "type", "n", TEST_TYPES)
+
+
+@register("f_row_label", f"""
+SELECT 'month ' || mm AS label, {_XTABS_COLS} FROM (
+  SELECT strftime(action_date, '%m') AS mm, type, count(*) AS n FROM actions GROUP BY ALL) g GROUP BY mm""")
+def q_f_row_label(spark, d):
+    """The row label of a cross-tab as an ordinary column."""
+    a = T(spark, d).actions_lean
+    long = a.groupBy(X.f_concat("month ", X.f_date_format("action_date", "MM")).alias("label"), "type").agg(F.count(F.lit(1)).alias("n"))
+    return S.xtabs(long, "label", "type", "n", TEST_TYPES)
+
+
+@register("avg_expr", "SELECT type, round(avg(part_id * 2 + line_no), 6) AS mean FROM actions GROUP BY type")
+def q_avg_expr(spark, d):
+    a = T(spark, d).actions_lean
+    return r6(A.avg_expr(a.groupBy("type"), mean=F.col("part_id") * 2 + F.col("line_no")), "mean")
+
+
+@register("f_substr", "SELECT id, substr(name, 3, 5) AS part FROM committees")
+def q_f_substr(spark, d):
+    return T(spark, d).committees.select("id", X.f_substr("name", 3, 5).alias("part"))
+
+
+@register("f_case", "SELECT bioguideid, CASE WHEN party = 'BUILDING' THEN 'B' WHEN state LIKE '%1' THEN 'one' ELSE 'other' END AS kind FROM members")
+def q_f_case(spark, d):
+    m = T(spark, d).members
+    kind = X.f_case((F.col("party") == "BUILDING", F.lit("B")), (F.col("state").like("%1"), F.lit("one")), default=F.lit("other"))
+    return m.select("bioguideid", kind.alias("kind"))
+
+
+@register("f_upper", "SELECT id, upper(name) AS upper_name FROM committees")
+def q_f_upper(spark, d):
+    return T(spark, d).committees.select("id", X.f_upper("name").alias("upper_name"))
+
+
+@register("f_lower", "SELECT DISTINCT lower(party) AS party FROM members")
+def q_f_lower(spark, d):
+    return T(spark, d).members.select(X.f_lower("party").alias("party")).distinct()
+
+
+@register("kpi_max_actions", f"SELECT max(ac_count) AS max_actions FROM ({outcome_sql()}) o")
+def q_kpi_max_actions(spark, d):
+    return P.bill_outcomes(T(spark, d).actions_lean, TEST_PASS_MARKERS).agg(F.max("ac_count").alias("max_actions"))
+
+
+@register("kpi_max_days", """
+SELECT CAST(max(trunc(epoch(updatedate - createdate) / 86400)) AS BIGINT) AS max_days FROM bills""")
+def q_kpi_max_days(spark, d):
+    return T(spark, d).bills.agg(F.max(X.f_extract_day("updatedate", "createdate")).alias("max_days"))
+
+
+# a third of all rows without a key, a third under one key: both groups are split into ranges
+_HEAVY = "CASE bill_id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE bill_id END"
+
+
+@register("lead_step_heavy", f"""
+SELECT k, bill_id, action_date, line_no, part_id,
+       lead(bill_id) OVER w AS next_bill, lead(type) OVER w AS next_type
+FROM (SELECT *, {_HEAVY} AS k FROM actions) keyed
+WINDOW w AS (PARTITION BY k ORDER BY action_date NULLS LAST, bill_id, {TIE_SQL})
+""")
+def q_lead_step_heavy(spark, d):
+    a = T(spark, d).actions_lean.select(F.expr(_HEAVY).alias("k"), "bill_id", "action_date", "type", *TB)
+    out = W.lead_step(a, "k", ["action_date"], ["bill_id", *TB], ["bill_id", "type"], ["next_bill", "next_type"], max_rows=2000)
+    return out.select("k", "bill_id", "action_date", "line_no", "part_id", "next_bill", "next_type")
 
 
 @register("event_transitions", """
@@ -537,10 +620,3 @@ def q_event_transitions(spark, d):
     from caseflow.sources.tables import raw_table
     ev = raw_table(spark, d, "events")
     return r6(P.directly_follows(ev, "user_id", "ts", "event_type"), "avg_seconds")
-
-
-alias("f_upper", "f_upper_lower")
-alias("f_lower", "f_upper_lower")
-alias("f_row_label", "topk_monthly_wide")
-alias("kpi_max_actions", "kpis")
-alias("kpi_max_days", "kpis")

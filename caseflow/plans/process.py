@@ -10,13 +10,15 @@ before it moves.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.exprs import (f_date_format, f_extract_day, like_any)
-from caseflow.operators.windows import detect_hot_keys, lead_step, order_struct, sort_exprs
+from caseflow.session import shared_table
+from caseflow.operators.windows import heavy_keys, lead_step, order_struct, sort_exprs
 
 # Fixed values of the reference: the outcome markers and the ten action types.
 DEFAULT_PASS_MARKERS = ("%status%", "%BecameLaw%")
@@ -25,10 +27,14 @@ ACTION_TYPES = ("BecameLaw", "Calendars", "Committee", "Discharge", "Floor",
                 "IntroReferral", "NotUsed", "President", "ResolvingDifferences", "Veto")
 
 
+_PLAIN_MARKER = re.compile(r"%[^%_\\ ]+%")
+
+
 def _markers_token_safe(markers: Sequence[str]) -> bool:
-    """True when a marker cannot match across the blank that joins the types,
-    so "the joined string matches" equals "some type matches"."""
-    return all((" " not in m) and ("_" not in m) for m in markers)
+    """True when every marker is ``%literal%`` without a blank, wildcard or escape in
+    the literal: it can then match only inside one type, so "the joined string
+    matches" equals "some type matches"."""
+    return all(_PLAIN_MARKER.fullmatch(m) for m in markers)
 
 
 def bill_outcomes(actions: DataFrame, markers: Sequence[str] = DEFAULT_PASS_MARKERS,
@@ -121,8 +127,8 @@ def _steps(actions: DataFrame, weights: DataFrame, tiebreak: Sequence[str], skew
     times the reference's inner join would repeat each step.
     """
     cols = ["bill_id", "action_date", "type", *tiebreak]
-    # heavy bills are sampled from the bill key column alone, before any join
-    hot = detect_hot_keys(actions.select("bill_id"), "bill_id") if skew == "auto" else None
+    # heavy bills are counted on the bill key column alone, before any join
+    hot = heavy_keys(actions, "bill_id") if skew == "auto" else None
     a = actions.select(*cols).join(weights, "bill_id")
     s = lead_step(a, "bill_id", ["action_date"], tiebreak, ["action_date", "type"],
                   ["next_row", "next_type"], skew=skew, hot_keys=hot)
@@ -242,16 +248,24 @@ def topk_monthly(actions: DataFrame, committees: DataFrame, k: int = 5,
 
 
 def topk_monthly_wide(actions: DataFrame, committees: DataFrame, k: int = 5,
-                      referral_type: str = DEFAULT_REFERRAL_TYPE) -> DataFrame:
+                      referral_type: str = DEFAULT_REFERRAL_TYPE, ranked: bool = False) -> DataFrame:
     """``xtabs(cnt ~ dt + name)`` of the top-k series: one row per month, one
-    column per top committee, 0 where a committee has no referral that month."""
+    column per top committee, 0 where a committee has no referral that month.
+
+    ``ranked``: fixed column names instead, c1..ck for the counts of the first
+    to k-th name in name order and n1..nk for those names.  A NULL name may take
+    a place among the top k but matches no row, as with SQL's IN."""
     from caseflow.operators.stats import xtabs
-    named = _named_monthly(actions, committees, referral_type)
-    top = top_names(named, k)
+    named = shared_table(_named_monthly(actions, committees, referral_type), "named-monthly")
     # the pivot needs its k column values; k strings is a bounded collect
-    names = sorted(r["name"] for r in top.collect())
-    long = named.join(F.broadcast(top), "name", "left_semi")
-    return xtabs(long, "dt", "name", "cnt", names)
+    names = sorted(r["name"] for r in top_names(named, k).collect() if r["name"] is not None)
+    wide = xtabs(named.where(F.col("name").isin(names)), "dt", "name", "cnt", names)
+    if not ranked:
+        return wide
+    count = [F.col(f"`{n}`").alias(f"c{i + 1}") for i, n in enumerate(names)]
+    count += [F.lit(None).cast("bigint").alias(f"c{i + 1}") for i in range(len(names), k)]
+    label = [F.lit(names[i] if i < len(names) else None).cast("string").alias(f"n{i + 1}") for i in range(k)]
+    return wide.select("dt", *count, *label)
 
 
 # --- single-bill and latest-state views --------------------------------------
@@ -304,7 +318,7 @@ def directly_follows(log: DataFrame, case: str, time: str, activity: str,
     Same plan as ``transitions``: one shuffle on the case key (heavy cases
     split), then a partial aggregate on the activity pair."""
     ev = log.select(case, time, activity, *tiebreak)
-    hot = detect_hot_keys(log.select(case), case) if skew == "auto" else None
+    hot = heavy_keys(log, case) if skew == "auto" else None
     s = lead_step(ev, case, [time], tiebreak, [time, activity], ["_next_t", "next_activity"], skew=skew,
                   hot_keys=hot)
     # timestampdiff works on wall-clock (NTZ) values directly: no session time zone involved

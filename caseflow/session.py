@@ -12,6 +12,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -101,3 +102,26 @@ def reliable_checkpoint(df):
     (survives executor loss; never a machine-local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shared: list[str] = []
+
+
+def shared_table(df, name: str):
+    """``df`` written once as Parquet in the shared checkpoint folder and read back:
+    cuts the lineage, fixes sampled and generated values, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _shared.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written; call it when the
+    results that read them have been written.  Returns how many were removed."""
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _shared:
+        path = jvm.org.apache.hadoop.fs.Path(_shared.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

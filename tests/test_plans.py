@@ -35,7 +35,7 @@ def test_heavy_key_takes_range_split_path(spark):
     from caseflow.operators.windows import lead_step
     df = spark.range(400000).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
                                    F.col("id").alias("t"))
-    out = lead_step(df, "k", ["t"], (), ["t"], ["next_t"], skew="auto")
+    out = lead_step(df, "k", ["t"], (), ["t"], ["next_t"], skew="auto", max_rows=50_000)
     p = out._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in p.lower()          # the heavy key 0 is split by range
+    assert "_rid" in p          # the heavy key 0 is split by range
     assert out.where("k = 0 AND next_t IS NULL").count() == 1

@@ -47,5 +47,5 @@ def test_windows_equal_brute_force(spark, texts, seq, block):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     s = "".join((t or "").lower() + "\n" for t in texts)
     exp = [(i, s[i:i + seq], s[i + seq]) for i in range(len(s) - seq)]
-    got = sorted(tuple(r) for r in TX.t_windows(df, seq=seq, block=block, n_buckets=2).collect())
+    got = sorted(tuple(r) for r in TX.t_windows(df, seq=seq, block=block, rows_per_range=2).collect())
     assert got == exp

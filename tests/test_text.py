@@ -16,7 +16,7 @@ def test_windows_match_brute_force(spark):
     texts = ["Hello World", "", None, "A longer title, with Ümlaut", "x" * 40, "end"]
     df = _corpus(spark, texts)
     for seq, block in ((5, 7), (3, 1), (10, 64)):
-        got = sorted(tuple(r) for r in TX.t_windows(df, seq=seq, block=block, n_buckets=3).collect())
+        got = sorted(tuple(r) for r in TX.t_windows(df, seq=seq, block=block, rows_per_range=3).collect())
         exp, s = _brute(texts, seq)
         assert got == exp
         assert len(got) == len(s) - seq
