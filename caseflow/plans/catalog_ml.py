@@ -5,38 +5,45 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.session import reliable_checkpoint
+from caseflow.session import shared_table
 
 from caseflow.plans import evaluate as EV
 from caseflow.plans import ml as M
+from caseflow.plans.naive_bayes import ml_naive_bayes
+from caseflow.plans.neighbours import ml_knn
 from caseflow.plans.catalog import BILL_FEATURES_SQL, q_bill_features, r6, register
 from caseflow.plans.catalog_relational import with_ctes
 
 _BF = {"bf": BILL_FEATURES_SQL}
 MODEL_COLS = ["bill_id", "no_days", "party", "ac_count", "state", "status"]
-_tables: dict = {}
 
 
 def model_table(spark, d):
-    """The model table, checkpointed once per session and input (it feeds many fits)."""
-    key = (id(spark), d)
-    if key not in _tables:
-        _tables[key] = reliable_checkpoint(q_bill_features(spark, d).select(*MODEL_COLS))
-    return _tables[key]
+    """The model table, written once per query (it feeds many passes)."""
+    return shared_table(q_bill_features(spark, d).select(*MODEL_COLS), "model-table")
 
 
 def _split_sql(p: float, seed: int) -> str:
     t = M.hash_threshold(p)
     return with_ctes(f"""
 SELECT bill_id, no_days, party, ac_count, state, status,
-       CASE WHEN substr(md5(coalesce(CAST(bill_id AS VARCHAR), '') || '|' || '{seed}'), 1, 4) < '{t}'
+       CASE WHEN substr(md5(coalesce(CAST(bill_id AS VARCHAR), '') || '|' || '{seed}'), 1, 8) < '{t}'
             THEN 'train' ELSE 'test' END AS split
 FROM bf""", **_BF)
 
 
-@register("ml_stratified_split", _split_sql(0.85, 42), ctes=False)
+STRATIFIED_SQL = """
+SELECT bf.bill_id, no_days, party, ac_count, state, bf.status,
+       CASE WHEN r.pos <= ceil(r.n * 0.85) THEN 'train' ELSE 'test' END AS split
+FROM bf JOIN (
+  SELECT bill_id, status, count(*) OVER (PARTITION BY status) AS n,
+         row_number() OVER (PARTITION BY status ORDER BY md5(CAST(bill_id AS VARCHAR) || '|42'), CAST(bill_id AS VARCHAR)) AS pos
+  FROM (SELECT DISTINCT bill_id, status FROM bf) keys) r ON r.bill_id = bf.bill_id AND r.status = bf.status"""
+
+
+@register("ml_stratified_split", with_ctes(STRATIFIED_SQL, **_BF), ctes=False)
 def q_ml_stratified_split(spark, d):
-    return M.ml_split(q_bill_features(spark, d).select(*MODEL_COLS), 0.85, 42)
+    return M.ml_stratified_labels(q_bill_features(spark, d).select(*MODEL_COLS), 0.85, 42)
 
 
 @register("ml_bernoulli_split", _split_sql(0.66, 7), ctes=False)
@@ -74,6 +81,115 @@ def q_ml_col_auc(spark, d):
     return r6(EV.ml_col_auc(bf, ["ac_count", "no_days"], F.col("status") == "Passed"), "auc")
 
 
+# --- evaluation of a fixed score: p = ac_count / 7 (at most 1), the other q = no_days / 200 -------------
+
+_SCORED = """SELECT *, least(1.0, ac_count / 7.0) AS p, least(1.0, no_days / 200.0) AS q,
+  CASE WHEN ac_count >= 4 THEN 'Passed' ELSE 'REFERRED' END AS predicted,
+  CAST('0x' || substr(md5(CAST(bill_id AS VARCHAR) || '|5'), 1, 8) AS BIGINT) % 5 AS fold FROM bf"""
+_SC = {"bf": BILL_FEATURES_SQL, "sc": _SCORED}
+
+
+def scored(spark, d):
+    bf = q_bill_features(spark, d).select(*MODEL_COLS)
+    p, q = (F.least(F.lit(1.0), F.col(c) / F.lit(n)) for c, n in (("ac_count", 7.0), ("no_days", 200.0)))
+    pred = F.when(F.col("ac_count") >= 4, F.lit("Passed")).otherwise(F.lit("REFERRED"))
+    return M.fold_column(bf.select("*", p.alias("p"), q.alias("q"), pred.alias("predicted"), F.col("status").alias("actual")), 5, 5)
+
+
+@register("ml_confusion", with_ctes("""
+SELECT predicted, count(*) FILTER (WHERE status = 'Passed') AS "Passed", count(*) FILTER (WHERE status = 'REFERRED') AS "REFERRED"
+FROM sc GROUP BY predicted""", **_SC), ctes=False)
+def q_ml_confusion(spark, d):
+    return EV.ml_confusion(scored(spark, d))
+
+
+@register("ml_confusion_stats", with_ctes("""
+SELECT tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(((tp + tn) / n - pe) / (1 - pe), 6) AS kappa,
+       round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round(tp / (tp + fp), 6) AS ppv,
+       round(tn / (tn + fn), 6) AS npv, round((tp + fn) / n, 6) AS prevalence, round(tp / n, 6) AS detection_rate,
+       round((tp + fp) / n, 6) AS detection_prevalence, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy
+FROM (SELECT *, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe FROM (
+  SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (predicted = 'Passed' AND status = 'Passed') AS tp,
+         count(*) FILTER (predicted = 'Passed' AND status <> 'Passed') AS fp, count(*) FILTER (predicted <> 'Passed' AND status = 'Passed') AS fn,
+         count(*) FILTER (predicted <> 'Passed' AND status <> 'Passed') AS tn FROM sc) c) k""", **_SC), ctes=False)
+def q_ml_confusion_stats(spark, d):
+    out = EV.ml_confusion_stats(scored(spark, d))
+    return r6(out, *out.columns[4:])
+
+
+@register("ml_rmse", with_ctes("SELECT round(sqrt(avg(pow(p - CASE status WHEN 'Passed' THEN 1 ELSE 0 END, 2))), 6) AS rmse FROM sc", **_SC), ctes=False)
+def q_ml_rmse(spark, d):
+    return r6(EV.ml_rmse(scored(spark, d).withColumn("y", (F.col("actual") == "Passed").cast("double")), "p", "y"), "rmse")
+
+
+_SUMMARY = ", ".join(f"round(quantile_cont(value, {x}), 6) AS {n}" for n, x in (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0)))
+
+
+@register("ml_resamples", with_ctes(f"""
+SELECT model, metric, {_SUMMARY}, round(avg(value), 6) AS mean FROM (
+  SELECT model, fold, 'auc' AS metric, sum(npos * (below + 0.5 * nneg)) / (sum(npos) * sum(nneg)) AS value FROM (
+    SELECT *, coalesce(sum(nneg) OVER (PARTITION BY model, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+    FROM (SELECT model, fold, s, count(*) FILTER (status = 'Passed') AS npos, count(*) FILTER (status <> 'Passed') AS nneg FROM long GROUP BY ALL) g) c
+  GROUP BY ALL
+  UNION ALL
+  SELECT model, fold, unnest(['accuracy', 'kappa']) AS metric, unnest([acc, (acc - pe) / (1 - pe)]) AS value FROM (
+    SELECT model, fold, avg(CASE WHEN (s >= 0.5) = (status = 'Passed') THEN 1.0 ELSE 0.0 END) AS acc,
+           avg(CAST(s >= 0.5 AS INT)) * avg(CAST(status = 'Passed' AS INT))
+           + (1 - avg(CAST(s >= 0.5 AS INT))) * (1 - avg(CAST(status = 'Passed' AS INT))) AS pe
+    FROM long GROUP BY ALL) k) m
+GROUP BY model, metric""", **_SC, long="""
+SELECT 'p' AS model, fold, status, CAST(p AS DOUBLE) AS s FROM sc UNION ALL SELECT 'q', fold, status, CAST(q AS DOUBLE) FROM sc"""), ctes=False)
+def q_ml_resamples(spark, d):
+    out = EV.ml_resamples(EV.fold_metrics(shared_table(scored(spark, d), "scored"), ["p", "q"], F.col("actual") == "Passed"))
+    return r6(out, "min", "q1", "median", "mean", "q3", "max")
+
+
+@register("ml_rank_models", with_ctes("SELECT * FROM (" + _auc_sql("ac_count") + " UNION ALL " + _auc_sql("no_days") + ") a ORDER BY auc DESC, model", **_BF), ctes=False)
+def q_ml_rank_models(spark, d):
+    bf = q_bill_features(spark, d)
+    return r6(EV.rank_models(EV.ml_col_auc(bf, ["ac_count", "no_days"], F.col("status") == "Passed")), "auc")
+
+
+_NB_LEVEL = """ln((coalesce({c}.pos, 0) + 1) / (k.np + (SELECT count(*) FROM {c}_levels)))
+  - ln((coalesce({c}.neg, 0) + 1) / (k.nn + (SELECT count(*) FROM {c}_levels)))"""
+_NB_NUM = "(-0.5 * ln(k.vp_{c}) - pow(t.{c} - k.mp_{c}, 2) / (2 * k.vp_{c})) - (-0.5 * ln(k.vn_{c}) - pow(t.{c} - k.mn_{c}, 2) / (2 * k.vn_{c}))"
+_NB_STATS = ", ".join(f"{fn}({c}) FILTER (status {op} 'Passed') AS {a}{side}_{c}" for c in M.NUM_COLS
+                      for fn, a in (("avg", "m"), ("var_samp", "v")) for op, side in (("=", "p"), ("<>", "n")))
+
+
+@register("ml_naive_bayes", with_ctes(f"""
+SELECT t.bill_id, t.no_days, t.party, t.ac_count, t.state,
+       round(1 / (1 + exp(-(ln(k.np) - ln(k.nn) + {' + '.join(_NB_NUM.format(c=c) for c in M.NUM_COLS)}
+         + {' + '.join(_NB_LEVEL.format(c=c) for c in M.CAT_COLS)}))), 6) AS p_positive
+FROM split t LEFT JOIN party_levels party ON party.party = t.party LEFT JOIN state_levels state ON state.state = t.state,
+     (SELECT CAST(count(*) FILTER (status = 'Passed') AS DOUBLE) AS np, CAST(count(*) FILTER (status <> 'Passed') AS DOUBLE) AS nn, {_NB_STATS}
+      FROM split WHERE split = 'train') k
+WHERE t.split = 'test'""", **_BF, split=STRATIFIED_SQL, **{
+    f"{c}_levels": f"SELECT {c}, count(*) FILTER (status = 'Passed') AS pos, count(*) FILTER (status <> 'Passed') AS neg FROM split WHERE split = 'train' GROUP BY {c}"
+    for c in M.CAT_COLS}), ctes=False)
+def q_ml_naive_bayes(spark, d):
+    train, test = _train_test(spark, d)
+    model = ml_naive_bayes(train, M.NUM_COLS, M.CAT_COLS, "status", "Passed")
+    return r6(model.score(test.drop("status")), "p_positive")
+
+
+@register("ml_knn", with_ctes("""
+SELECT t.bill_id, t.no_days, t.ac_count, round(s.share, 6) AS p_positive
+FROM split t JOIN (
+  SELECT no_days, ac_count, sum(p) / sum(n) AS share FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY no_days, ac_count ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+      SELECT a.no_days, a.ac_count, round(pow((a.no_days - b.no_days) / z.sd, 2) + pow((a.ac_count - b.ac_count) / z.sa, 2), 9) AS d, sum(b.n) AS n, sum(b.p) AS p
+      FROM (SELECT DISTINCT no_days, ac_count FROM split WHERE split = 'test') a,
+           (SELECT no_days, ac_count, count(*) AS n, count(*) FILTER (status = 'Passed') AS p FROM split WHERE split = 'train' GROUP BY ALL) b,
+           (SELECT stddev_samp(no_days) AS sd, stddev_samp(ac_count) AS sa FROM split WHERE split = 'train') z
+      GROUP BY ALL) r) c
+  WHERE before < 5 GROUP BY ALL) s ON s.no_days = t.no_days AND s.ac_count = t.ac_count
+WHERE t.split = 'test'""", **_BF, split=STRATIFIED_SQL), ctes=False)
+def q_ml_knn(spark, d):
+    train, test = _train_test(spark, d)
+    return r6(ml_knn(train, test.select("bill_id", "no_days", "ac_count"), ["no_days", "ac_count"], "status", "Passed", 5), "p_positive")
+
+
 # --- model fits: rows-only checks ----------------------------------------------------
 
 def _train_test(spark, d):
@@ -92,24 +208,9 @@ def q_ml_tree(spark, d):
 
 @register("ml_predict")
 def q_ml_predict(spark, d):
-    """Batch scoring of the hold-out rows with the final model (label, P(Passed), message)."""
-    return q_ml_tree(spark, d)
-
-
-@register("ml_confusion")
-def q_ml_confusion(spark, d):
-    return EV.ml_confusion(q_ml_tree(spark, d))
-
-
-@register("ml_confusion_stats")
-def q_ml_confusion_stats(spark, d):
-    return EV.ml_confusion_stats(q_ml_tree(spark, d))
-
-
-@register("ml_rmse")
-def q_ml_rmse(spark, d):
-    p = q_ml_tree(spark, d).withColumn("y", (F.col("actual") == "Passed").cast("double"))
-    return EV.ml_rmse(p, "p_passed", "y")
+    """Batch scoring of records without an outcome (label, P(Passed), message)."""
+    train, test = _train_test(spark, d)
+    return M.ml_predict(M.ml_tree(train), test.drop("status"), keep=["bill_id"])
 
 
 @register("ml_entropy_tree")
@@ -137,11 +238,6 @@ def q_ml_elastic_net(spark, d):
     return _predictions(spark, d, M.ml_elastic_net)
 
 
-@register("ml_naive_bayes")
-def q_ml_naive_bayes(spark, d):
-    return _predictions(spark, d, M.ml_naive_bayes)
-
-
 @register("ml_mlp")
 def q_ml_mlp(spark, d):
     return _predictions(spark, d, M.ml_mlp)
@@ -159,89 +255,57 @@ def q_ml_svm(spark, d):
 @register("ml_adaboost")
 def q_ml_adaboost(spark, d):
     train, test = _train_test(spark, d)
-    models = M.ml_adaboost(train, rounds=5)
-    # the row key feeds a join of several model outputs: materialise it once
-    keyed = reliable_checkpoint(test.withColumn("_rid", F.monotonically_increasing_id()))
-    p = M.adaboost_predict(models, keyed, ["_rid", "bill_id"])
-    return p.select("bill_id", "label", "prediction")
+    return M.adaboost_predict(M.ml_adaboost(train, rounds=5), test, ["bill_id", "status"])
 
 
 @register("ml_cv")
 def q_ml_cv(spark, d):
-    key = ("cv", id(spark), d)
-    if key not in _tables:  # 10 folds x 5 repeats: computed once per session and input
-        train, _ = _train_test(spark, d)
-        _tables[key] = M.ml_cv(train, k=10, repeats=5)
-    return _tables[key]
+    train, _ = _train_test(spark, d)
+    return M.ml_cv(train, k=10, repeats=5)
 
 
 @register("ml_cp_table")
 def q_ml_cp_table(spark, d):
-    return M.ml_cp_table(q_ml_cv(spark, d))
-
-
-def _oof(spark, d):
-    key = ("oof", id(spark), d)
-    if key not in _tables:  # shared by several ids: fitted once per session and input
-        _tables[key] = _oof_fit(spark, d)
-    return _tables[key]
+    train, _ = _train_test(spark, d)
+    return M.ml_cp_table(train)
 
 
-def _oof_fit(spark, d):
-    train, _ = _train_test(spark, d)
-    fits = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}
-    out = None
-    base = reliable_checkpoint(train.withColumn("_rid", F.monotonically_increasing_id()))
-    for name, fn in fits.items():
-        o = M.ml_oof(base, fn, k=5, id_cols=["_rid"], name=name)
-        out = o if out is None else out.join(o.select("_rid", name), "_rid")
-    # the out-of-fold table feeds several aggregates: materialise it once
-    out = reliable_checkpoint(out.withColumn("y", F.when(F.col("label") == 0.0, 1.0).otherwise(0.0)))
-    return out, list(fits)
+FITS = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}
 
 
 @register("ml_oof")
 def q_ml_oof(spark, d):
-    return _oof(spark, d)[0]
-
-
-@register("ml_resamples")
-def q_ml_resamples(spark, d):
-    oof, names = _oof(spark, d)
-    per_fold = None
-    for f in range(5):
-        part = oof.where(F.col("fold") == f)
-        r = EV.ml_col_auc(part, names, F.col("y") == 1.0).withColumn("fold", F.lit(f))
-        per_fold = r if per_fold is None else per_fold.unionByName(r)
-    return EV.ml_resamples(per_fold)
+    train, _ = _train_test(spark, d)
+    return M.ml_oof(train, FITS)
 
 
 @register("ml_predict_proba")
 def q_ml_predict_proba(spark, d):
     train, test = _train_test(spark, d)
-    test = reliable_checkpoint(test.withColumn("_rid", F.monotonically_increasing_id()))
-    models = {"tree": M.ml_tree(train), "logit": M.ml_logit(train), "forest": M.ml_random_forest(train)}
-    return M.ml_predict_proba(models, test, ["_rid", "bill_id"])
+    return M.ml_predict_proba({n: fit(train) for n, fit in FITS.items()}, test)
 
 
 @register("ml_greedy_ensemble")
 def q_ml_greedy_ensemble(spark, d):
-    oof, names = _oof(spark, d)
-    w = M.ml_greedy_ensemble(oof, names, "y", iters=1000)
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(names + ["rmse"], w)], "model string, value double")
+    """Greedy weights over the two fixed scores of the evaluation queries."""
+    y = scored(spark, d).withColumn("y", (F.col("actual") == "Passed").cast("double"))
+    w = M.ml_greedy_ensemble(y, ["p", "q"], "y", iters=1000)
+    return spark.createDataFrame([(n, float(x)) for n, x in zip(["p", "q", "rmse"], w)], "model string, value double")
 
 
 @register("ml_stack")
 def q_ml_stack(spark, d):
-    oof, names = _oof(spark, d)
-    m = M.ml_stack(oof, names)
-    return m.transform(oof).select("_rid", "label", "prediction")
+    """Hold-out rows with every model's P(Passed) and the greedy and stacked ensembles, fitted on the training rows."""
+    train, test = _train_test(spark, d)
+    return M.ml_ensembles(train, test, FITS)
 
 
-@register("ml_rank_models")
-def q_ml_rank_models(spark, d):
-    oof, names = _oof(spark, d)
-    return EV.rank_models(EV.ml_col_auc(oof, names, F.col("y") == 1.0))
+@register("ml_holdout_auc")
+def q_ml_holdout_auc(spark, d):
+    """AUC of every single model and ensemble on the hold-out rows."""
+    train, test = _train_test(spark, d)
+    out = shared_table(M.ml_ensembles(train, test, {n: FITS[n] for n in ("tree", "logit")}), "holdout")
+    return EV.rank_models(EV.ml_col_auc(out, ["tree", "logit", "greedy", "stacked"], F.col("status") == "Passed"))
 
 
 @register("ml_nb_counts", with_ctes("""

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
-                                       NaiveBayes, RandomForestClassifier)
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,7 +28,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.session import reliable_checkpoint
+from caseflow.operators.prefix import running_sums
+from caseflow.session import reliable_checkpoint, shared_table
 
 NUM_COLS = ("no_days", "ac_count")
 CAT_COLS = ("party", "state")
@@ -39,8 +40,8 @@ POSITIVE = "Passed"  # first level alphabetically, the reference's positive clas
 # --- splits --------------------------------------------------------------------
 
 def hash_threshold(p: float) -> str:
-    """Four-hex-digit threshold t with P(md5 prefix < t) ~= p."""
-    return format(min(int(math.ceil(p * 65536)), 65535), "04x")
+    """Eight-hex-digit threshold t with P(md5 prefix < t) = p; ``g`` (above every digit) for p >= 1."""
+    return "g" if p >= 1 else format(int(math.ceil(max(p, 0.0) * 16 ** 8)), "08x")
 
 
 def hash_unit(key_cols: Sequence[str], seed: int) -> 'F.Column':
@@ -53,23 +54,39 @@ def hash_unit(key_cols: Sequence[str], seed: int) -> 'F.Column':
 
 def ml_split(df: DataFrame, p: float, seed: int = 42, key_cols: Sequence[str] = ("bill_id",),
              col: str = "split") -> DataFrame:
-    """Label each row ``train`` (probability p) or ``test`` by a hash of its key.
-
-    Within every class the expected training share is p (each class is
-    split by the same independent hash, i.e. stratified in expectation)."""
-    h = F.substring(hash_unit(key_cols, seed), 1, 4)
+    """Label each row ``train`` (probability p) or ``test`` by a hash of its key."""
+    h = F.substring(hash_unit(key_cols, seed), 1, 8)
     return df.withColumn(col, F.when(h < F.lit(hash_threshold(p)), F.lit("train")).otherwise(F.lit("test")))
 
 
-def ml_stratified_split(df: DataFrame, p: float = 0.85, seed: int = 42,
-                        key_cols: Sequence[str] = ("bill_id",)) -> tuple[DataFrame, DataFrame]:
-    s = ml_split(df, p, seed, key_cols)
+def ml_stratified_labels(df: DataFrame, p: float = 0.85, seed: int = 42, key: str = "bill_id", label: str = LABEL,
+                         col: str = "split") -> DataFrame:
+    """Split within each class: of the n distinct keys of a class, the ceil(p n) with the
+    smallest key hash are ``train``, so even a rare class has its share on both sides.
+
+    All rows of a key and class stay together.  Ranks come from a distributed
+    running count over (class, hash); NULL keys or classes are groups like others."""
+    keys = df.select(F.col(key).alias("_k"), F.col(label).alias("_y")).distinct()
+    place = F.concat(F.md5(F.concat(F.coalesce(F.col("_k").cast("string"), F.lit("")), F.lit(f"|{seed}"))),
+                     F.lit("|"), F.coalesce(F.col("_k").cast("string"), F.lit("")))
+    ranked = running_sums(keys.select("_k", "_y", place.alias("_h"), F.lit(1).cast("long").alias("_one")), "_h", ["_one"], by=["_y"])
+    size = keys.groupBy(F.col("_y").alias("_cy")).agg(F.count("*").alias("_n"))  # one row per class
+    ranked = ranked.join(size, F.col("_y").eqNullSafe(F.col("_cy")))
+    side = ranked.select("_k", "_y", F.when(F.col("_one_before") < F.ceil(F.col("_n") * F.lit(float(p))), F.lit("train"))
+                         .otherwise(F.lit("test")).alias(col))
+    return df.join(side, df[key].eqNullSafe(side["_k"]) & df[label].eqNullSafe(side["_y"])).select(*df.columns, col)
+
+
+def ml_stratified_split(df: DataFrame, p: float = 0.85, seed: int = 42, key: str = "bill_id",
+                        label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    s = shared_table(ml_stratified_labels(df, p, seed, key, label), "split")
     return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
 def ml_bernoulli_split(df: DataFrame, p: float = 0.66, seed: int = 7,
                        key_cols: Sequence[str] = ("bill_id",)) -> tuple[DataFrame, DataFrame]:
-    return ml_stratified_split(df, p, seed, key_cols)
+    s = ml_split(df, p, seed, key_cols)
+    return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
 
 
 def fold_column(df: DataFrame, k: int, seed: int, key_cols: Sequence[str] = ("bill_id",),
@@ -139,11 +156,6 @@ def ml_elastic_net(train: DataFrame, reg: float = 0.01, alpha: float = 0.5) -> P
     return ml_logit(train, reg, alpha)
 
 
-def ml_naive_bayes(train: DataFrame) -> PipelineModel:
-    """Naive Bayes on all columns but the label (Gaussian for numeric features)."""
-    return _fit(train, NaiveBayes(modelType="gaussian"))
-
-
 def ml_mlp(train: DataFrame, hidden: Sequence[int] = (8,), max_iter: int = 200) -> PipelineModel:
     """Multilayer perceptron on centred/scaled features (MLlib has no weight decay term)."""
     n_in = _n_features(train)
@@ -237,14 +249,14 @@ def ml_adaboost(train: DataFrame, rounds: int = 10, max_depth: int = 2,
 
 def adaboost_predict(models: list[tuple[float, PipelineModel]], df: DataFrame,
                      id_cols: Sequence[str]) -> DataFrame:
-    """Weighted vote of the boosted trees: sign of sum alpha * (+1 class 1 / -1 class 0)."""
-    score = None
-    out = None
-    for i, (alpha, m) in enumerate(models):
-        p = m.transform(df).select(*id_cols, "label", (F.lit(alpha) * (2 * F.col("prediction") - 1)).alias(f"s{i}"))
-        out = p if out is None else out.join(p.drop("label"), list(id_cols))
-        score = F.col(f"s{i}") if score is None else score + F.col(f"s{i}")
-    return out.select(*id_cols, "label", (score > 0).cast("double").alias("prediction"))
+    """Weighted vote of the boosted trees: sign of sum alpha * (+1 class 1 / -1 class 0).
+    The trees score one DataFrame one after another: no join."""
+    cur = df.withColumn("_score", F.lit(0.0))
+    keep = cur.columns
+    for alpha, m in models:
+        vote = F.col("_score") + F.lit(alpha) * (2 * F.col("prediction") - 1)
+        cur = m.transform(cur).select(*[c for c in keep if c != "_score"], vote.alias("_score"))
+    return cur.select(*id_cols, (F.col("_score") > 0).cast("double").alias("prediction"))
 
 
 # --- tuning ------------------------------------------------------------------------
@@ -281,11 +293,21 @@ def ml_cv(df: DataFrame, k: int = 10, repeats: int = 5, depths: Sequence[int] =
     return spark.createDataFrame(rows, "repeat int, max_depth int, auc double")
 
 
-def ml_cp_table(cv_rows: DataFrame) -> DataFrame:
-    """Mean and spread of the CV metric per tuning value (the pruning curve)."""
-    return cv_rows.groupBy("max_depth").agg(F.avg("auc").alias("mean_auc"),
-                                            F.stddev_samp("auc").alias("sd_auc"),
-                                            F.count(F.lit(1)).alias("n"))
+def ml_cp_table(df: DataFrame, gains: Sequence[float] = (0.0, 0.001, 0.01, 0.05), max_depth: int = 8, k: int = 5,
+                seed: int = 11, parallelism: int = 4) -> DataFrame:
+    """The pruning table: for each complexity value (least information gain of a split) the
+    leaves of the tree on all rows and the cross-validated error (1 - AUC) with its spread."""
+    enc = Pipeline(stages=ml_encode()).fit(df)
+    data = shared_table(fold_column(enc.transform(df).select("bill_id", "features", "label"), k, seed), "encoded")
+    tree = DecisionTreeClassifier(seed=1, maxBins=64, maxDepth=max_depth)
+    grid = ParamGridBuilder().addGrid(tree.minInfoGain, list(gains)).build()
+    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
+    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=parallelism, numFolds=k).fit(data)
+    rows = []
+    for pm, mean, sd in zip(grid, cv.avgMetrics, cv.stdMetrics):
+        leaves = (tree.copy(pm).fit(data).numNodes + 1) // 2
+        rows.append((float(pm[tree.minInfoGain]), int(leaves), 1 - float(mean), float(sd)))
+    return df.sparkSession.createDataFrame(rows, "complexity double, leaves int, cv_error double, cv_sd double")
 
 
 # --- prediction ----------------------------------------------------------------------
@@ -294,22 +316,26 @@ LABELS = ("Passed", "REFERRED")  # label index order (alphabetical)
 
 
 def ml_predict(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Batch scoring: predicted label, P(Passed) and the UI message."""
+    """Batch scoring: predicted label, P(Passed) and the UI message; the actual label too
+    where ``df`` has it.  Records without a label column are scored like any others."""
     p = model.transform(df)
     lab = F.when(F.col("prediction") == 0.0, F.lit(LABELS[0])).otherwise(F.lit(LABELS[1]))
-    cols = [*keep, lab.alias("predicted"), F.col(LABEL).alias("actual")]
+    cols = [*keep, lab.alias("predicted")]
+    if LABEL in df.columns:
+        cols.append(F.col(LABEL).alias("actual"))
     if "probability" in p.columns:
         cols.append(vector_to_array("probability")[0].alias("p_passed"))
     return p.select(*cols).withColumn("message", F.concat(F.lit("Bill will be "), F.col("predicted")))
 
 
-def ml_predict_proba(models: dict, df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """One P(Passed) column per model, side by side on the row key."""
-    out = None
+def ml_predict_proba(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` with one P(Passed) column per model: the models transform one DataFrame one
+    after another, each keeping only its own column (no join, no row key)."""
+    cur = df
     for name, m in models.items():
-        p = m.transform(df).select(*id_cols, vector_to_array("probability")[0].alias(name))
-        out = p if out is None else out.join(p, list(id_cols))
-    return out
+        keep = cur.columns
+        cur = m.transform(cur).select(*keep, vector_to_array("probability")[0].alias(name))
+    return cur
 
 
 def ml_center_scale(df: DataFrame, cols: Sequence[str] = NUM_COLS) -> DataFrame:
@@ -323,18 +349,15 @@ def ml_center_scale(df: DataFrame, cols: Sequence[str] = NUM_COLS) -> DataFrame:
 
 # --- out-of-fold predictions, ensembles ----------------------------------------------
 
-def ml_oof(df: DataFrame, fit_fn, k: int = 5, seed: int = 5, id_cols: Sequence[str] = ("bill_id",),
-           name: str = "p") -> DataFrame:
-    """Out-of-fold P(Passed): fit on k-1 folds, score the held-out fold, union."""
-    data = fold_column(df, k, seed).persist()
-    parts = []
+def ml_oof(df: DataFrame, fits: dict, k: int = 5, seed: int = 5) -> DataFrame:
+    """``df`` (written once) with ``fold`` and out-of-fold P(Passed) columns, one per entry
+    (name -> fit function) of ``fits``: fit on k-1 folds, score the held-out fold, union."""
+    data = shared_table(fold_column(df, k, seed), "folds")
+    out = None
     for f in range(k):
-        m = fit_fn(data.where(F.col("fold") != f))
-        parts.append(m.transform(data.where(F.col("fold") == f)).select(
-            *id_cols, "fold", "label", vector_to_array("probability")[0].alias(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        rest = data.where(F.col("fold") != f)
+        part = ml_predict_proba({n: fit(rest) for n, fit in fits.items()}, data.where(F.col("fold") == f))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -378,8 +401,28 @@ def ml_greedy_ensemble(preds: DataFrame, pred_cols: Sequence[str], y: str, iters
     return [c / total for c in counts] + [math.sqrt(max(best_sse, 0.0) / n)]
 
 
+def ml_blend(preds: DataFrame, weights: dict, out: str = "greedy") -> DataFrame:
+    """``preds`` with the weighted mean of its prediction columns."""
+    total = sum(weights.values())
+    return preds.withColumn(out, sum((F.col(c) * F.lit(float(w)) for c, w in weights.items()), F.lit(0.0)) / F.lit(float(total)))
+
+
 def ml_stack(oof: DataFrame, pred_cols: Sequence[str], label: str = "label"):
     """Logistic stacking over out-of-fold prediction columns."""
     va = VectorAssembler(inputCols=list(pred_cols), outputCol="stack_features")
-    lr = LogisticRegression(featuresCol="stack_features", labelCol=label, maxIter=100)
+    lr = LogisticRegression(featuresCol="stack_features", labelCol=label, maxIter=100,
+                            probabilityCol="stack_probability", predictionCol="stack_prediction", rawPredictionCol="stack_raw")
     return Pipeline(stages=[va, lr]).fit(oof)
+
+
+def ml_ensembles(train: DataFrame, test: DataFrame, fits: dict, k: int = 5, iters: int = 1000) -> DataFrame:
+    """``test`` with P(Passed) of every model and of the greedy and stacked ensembles, all fitted
+    on ``train`` only (weights on its out-of-fold predictions, models on all of it)."""
+    y = (F.col(LABEL) == POSITIVE).cast("double")
+    oof = shared_table(ml_oof(train, fits, k).withColumn("y", y), "oof")
+    names = list(fits)
+    weights = ml_greedy_ensemble(oof, names, "y", iters)[: len(names)]
+    stack = ml_stack(oof, names, "y")
+    scored = ml_blend(ml_predict_proba({n: fit(train) for n, fit in fits.items()}, test), dict(zip(names, weights)))
+    keep = scored.columns
+    return stack.transform(scored).select(*keep, vector_to_array("stack_probability")[1].alias("stacked"))

@@ -56,7 +56,7 @@ def test_greedy_ensemble_prefers_better_model(spark):
     assert w[0] > w[1]
 
 
-def test_exact_quantiles_both_paths(spark):
+def test_exact_quantiles(spark):
     import numpy as np
     from caseflow.operators import stats as S
     vals = [float(x) for x in [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9]]
@@ -64,5 +64,67 @@ def test_exact_quantiles_both_paths(spark):
     exp = [float(np.quantile(vals, p)) for p in S.SUMMARY_PROBS]
     got = S.summary_stats(df, ["x"]).first()
     assert [got["min"], got["q1"], got["median"], got["q3"], got["max"]] == exp
-    q = S.exact_quantiles(S.value_counts(df, ["x"]).select("v", "c")).first()
+    q = S.exact_quantiles(S.value_counts(df, ["x"])).first()
     assert [q[f"q{i}"] for i in range(5)] == exp and abs(q["mean"] - sum(vals) / len(vals)) < 1e-12
+
+
+def test_stratified_split_is_exact_within_each_class(spark):
+    rows = [(i, "rare" if i % 100 == 0 else "often") for i in range(1000)] + [(5, "often"), (None, None)]
+    df = spark.createDataFrame(rows, "bill_id long, status string")
+    got = {(r.status, r.split): r.n for r in M.ml_stratified_labels(df, 0.85).groupBy("status", "split").agg(
+        F.count_distinct(F.coalesce("bill_id", F.lit(-1))).alias("n")).collect()}
+    assert got == {("rare", "train"): 9, ("rare", "test"): 1, ("often", "train"): 842, ("often", "test"): 148, (None, "train"): 1}
+    assert M.hash_threshold(1.0) > "ffffffff" and M.ml_split(df, 1.0).where("split = 'test'").isEmpty()
+
+
+def test_knn_matches_brute_force(spark):
+    import numpy as np
+    from caseflow.plans.neighbours import ml_knn
+    rng = np.random.default_rng(2)
+    def rows(n):
+        far = np.vstack([rng.integers(0, 12, (n - 3, 2)), rng.integers(500, 900, (3, 2))])
+        return [(int(a), int(b), "Passed" if rng.random() < 0.4 else "REFERRED") for a, b in far]
+    train, test = rows(120), [(*r[:2],) for r in rows(60)] + [(None, 1), (5000, -5000)]
+    tr = spark.createDataFrame(train, "a int, b int, y string")
+    te = spark.createDataFrame(test, "a int, b int")
+    x = np.array([r[:2] for r in train], float)
+    s = x.std(0, ddof=1)
+    pos = np.array([r[2] == "Passed" for r in train])
+    for k in (1, 5, 200):
+        want = {}
+        for p in test:
+            if None in p:
+                want[p] = None
+                continue
+            d = np.round((((x - np.array(p, float)) / s) ** 2).sum(1), 9)
+            near = d <= np.sort(d)[min(k, len(d)) - 1]
+            want[p] = round(float(pos[near].mean()), 9)
+        got = {(r.a, r.b): None if r.p_positive is None else round(r.p_positive, 9) for r in ml_knn(tr, te, ["a", "b"], "y", "Passed", k).collect()}
+        assert got == want
+    assert ml_knn(tr.limit(0), te, ["a", "b"], "y", "Passed").where("p_positive is not null").isEmpty()
+
+
+def test_greedy_weights_equal_a_plain_search(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 300).astype(float)
+    p = np.column_stack([np.clip(y * 0.5 + rng.normal(0.25, 0.3, 300), 0, 1), np.clip(y * 0.3 + rng.normal(0.3, 0.2, 300), 0, 1)])
+    w = M.ml_greedy_ensemble(spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(p, y)], "a double, b double, y double"), ["a", "b"], "y", 50)
+    n = np.zeros(2)
+    for _ in range(50):
+        n[int(np.argmin([(((p @ (n + np.eye(2)[c])) / (n.sum() + 1) - y) ** 2).sum() for c in range(2)]))] += 1
+    assert np.allclose(w[:2], n / 50)
+
+
+def test_models_score_records_without_a_label_and_ensembles_beat_chance(spark):
+    rows = [(i, i % 30, "R" if i % 2 else "D", (i % 5) + (20 if i % 30 > 15 else 0), "CA",
+             "Passed" if (i % 30 > 15) != (i % 17 == 0) else "REFERRED") for i in range(600)]
+    df = spark.createDataFrame(rows, "bill_id long, no_days int, party string, ac_count long, state string, status string")
+    train, test = M.ml_stratified_split(df, 0.8, 1)
+    out = M.ml_predict(M.ml_tree(train, max_depth=3), test.drop("status"), keep=["bill_id"])
+    assert out.columns == ["bill_id", "predicted", "p_passed", "message"] and out.count() == test.count()
+    fits = {"tree": lambda t: M.ml_tree(t, max_depth=3), "logit": M.ml_logit}
+    held = M.ml_ensembles(train, test, fits, k=3, iters=50)
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    auc = {r.model: r.auc for r in EV.ml_col_auc(held, ["tree", "logit", "greedy", "stacked"], F.col("status") == "Passed").collect()}
+    assert min(auc.values()) > 0.8
