@@ -2,6 +2,7 @@
 
 from caseflow.plans import catalog  # noqa: F401
 from caseflow.plans import catalog_relational  # noqa: F401
+from caseflow.plans import catalog_docs  # noqa: F401
 from caseflow.plans import catalog_text  # noqa: F401
 from caseflow.plans import catalog_ml  # noqa: F401
 from caseflow.plans.catalog import ORACLE, QUERIES

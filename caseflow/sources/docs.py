@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.operators.prefix import running_sums
+
 S = T.StringType()
 L = T.LongType()
 
@@ -73,26 +75,26 @@ def bill_key(display_number: str = "display_number"):
 
 
 def _action_date(c):
-    """Date of a major action: ``datetime.datetime(Y, M, D, ...)`` text or an ISO date."""
+    """Date of a major action: ``datetime.datetime(Y, M, D, ...)`` text or an ISO date; NULL if it is neither."""
     nums = F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)
-    from_repr = F.make_date(nums[0].cast("int"), nums[1].cast("int"), nums[2].cast("int"))
-    return F.when(c.startswith("datetime"), from_repr).otherwise(F.to_date(F.substring(c, 1, 10)))
+    from_repr = F.concat_ws("-", F.get(nums, F.lit(0)), F.get(nums, F.lit(1)), F.get(nums, F.lit(2))).try_cast("date")
+    return F.when(c.startswith("datetime"), from_repr).otherwise(F.substring(c, 1, 10).try_cast("date"))
 
 
 def json_actions(bills: DataFrame) -> DataFrame:
-    """``major_actions`` -> (bill_id, seq, action_date, code, text, state)."""
+    """``major_actions`` -> (bill_id, seq, action_date, code, text, state); entries may be short."""
     a = bills.select(bill_key().alias("bill_id"), F.posexplode("major_actions").alias("seq", "a"))
+    at = lambda i: F.get("a", F.lit(i))
     return a.select(
-        "bill_id", "seq", _action_date(F.col("a")[0]).alias("action_date"),
-        F.col("a")[1].alias("code"), F.col("a")[2].alias("text"),
-        F.nullif(F.regexp_extract(F.col("a")[3], r'state="([^"]*)"', 1), F.lit("")).alias("state"))
+        "bill_id", "seq", _action_date(at(0)).alias("action_date"), at(1).alias("code"), at(2).alias("text"),
+        F.nullif(F.regexp_extract(at(3), r'state="([^"]*)"', 1), F.lit("")).alias("state"))
 
 
 def json_titles(bills: DataFrame) -> DataFrame:
     """``titles`` -> (bill_id, seq, kind, stage, title)."""
     t = bills.select(bill_key().alias("bill_id"), F.posexplode("titles").alias("seq", "t"))
-    return t.select("bill_id", "seq", F.col("t")[0].alias("kind"), F.col("t")[1].alias("stage"),
-                    F.col("t")[2].alias("title"))
+    return t.select("bill_id", "seq", F.get("t", F.lit(0)).alias("kind"), F.get("t", F.lit(1)).alias("stage"),
+                    F.get("t", F.lit(2)).alias("title"))
 
 
 def json_related(bills: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def json_members(bills: DataFrame) -> tuple[DataFrame, DataFrame]:
     rec = F.struct(F.substring("sponsor_role.party", 1, 1).alias("party"),
                    F.col("sponsor_role.state").alias("state"),
                    F.col("sponsor.name").alias("name"),
-                   F.to_date("sponsor.birthday").alias("birthday"))
+                   F.col("sponsor.birthday").try_cast("date").alias("birthday"))
     members = (s.groupBy(F.col("sponsor.bioguideid").alias("bioguideid"))
                .agg(F.max_by(rec, F.col("sponsor_role.startdate")).alias("m"))
                .select("bioguideid", "m.*"))
@@ -121,6 +123,9 @@ def json_members(bills: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def src_text(spark: SparkSession, path: str) -> DataFrame:
-    """A text file, one title per line, with an increasing line key in file order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("id"),
-                                        F.col("value").alias("text"))
+    """Text files, one title per line, with the line's number over all files: files in
+    path order, a file's blocks by offset, lines as they stand."""
+    lines = spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("n")).alias("place"), F.lit(1).cast("long").alias("one"))
+    return running_sums(lines, "place", ["one"]).select(F.col("one_before").alias("id"), F.col("value").alias("text"))

@@ -93,3 +93,27 @@ def test_schema_info(spark):
     from caseflow.operators.stats import schema_info
     df = spark.createDataFrame([(1, "a")], "id long, name string")
     assert [tuple(r) for r in schema_info(df).collect()] == [(1, "id", "bigint", True), (2, "name", "string", True)]
+
+
+def test_unreadable_dates_and_short_entries_do_not_fail(spark):
+    from pyspark.sql import functions as F
+    feed = {"objects": [_bill(1, "Democrat", [["datetime.datetime(2015, 13, 40)", 2], ["datetime", 1], ["soon", 1, "x"], [None], [], ["2015-01-02T03:04:05", 3]], [])]}
+    feed["objects"][0]["sponsor"]["birthday"] = "n/a"
+    bills = spark.createDataFrame([(json.dumps(feed),)], "j string").select(F.from_json("j", docs.FEED).alias("f")).select(F.explode("f.objects").alias("o")).select("o.*")
+    got = [str(r.action_date) for r in docs.json_actions(bills).orderBy("seq").collect()]
+    assert got == ["None"] * 5 + ["2015-01-02"]
+    assert docs.json_members(bills)[0].first().birthday is None
+
+
+def test_text_source_numbers_lines_in_file_order(spark, tmp_path):
+    want = []
+    for i in range(6):
+        lines = [f"file {i} line {j} " + "x" * (50 * (6 - i)) for j in range(300)]
+        (tmp_path / f"part-{i}.txt").write_text("\n".join(lines) + "\n")
+        want += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = docs.src_text(spark, str(tmp_path)).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.id for r in got] == list(range(len(want))) and [r.text for r in got] == want
