@@ -322,7 +322,10 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
     text = F.col(f"`{html_col}`").cast("string")
     rows = pages.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"), text.alias("html"))
     rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    got = [r.html for r in rows.orderBy("h").limit(sample_pages).collect()]
+    # the smallest hashes first (eight bytes a row), then only those pages
+    first = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    got = rows.where(F.col("h") <= (first[-1] if first else 0)).groupBy("h").agg(F.min("html").alias("html"))
+    got = [r.html for r in got.orderBy("h").collect()] if first else []
     rng = np.random.default_rng(12)
     plain = [blocks(p) for p in got]
     texts = [b[1][:400] for p in plain for b in p if len(b[1]) > 20] or ["text"]
