@@ -10,12 +10,13 @@ one bounded group, whatever the corpus size.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.session import reliable_checkpoint
-
 from caseflow.operators.prefix import ROWS_PER_RANGE, running_sums
+from caseflow.session import ensure_checkpoint_dir, reliable_checkpoint, shared_table
 
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
 # characters per block (plus the halo). Kept small on purpose: substring on a
@@ -38,21 +39,25 @@ def corpus_offsets(lines: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> Da
 
 
 def corpus_blocks(offsets: DataFrame, seq: int, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """(block, text): block b holds corpus characters [b*block, (b+1)*block + seq).
-
-    Each line emits one piece per block it overlaps, so a group never holds
-    more than block + seq characters; pieces are put in offset order."""
-    off, ln = F.col("off"), F.col("len")
-    b_lo = F.greatest(F.floor((off - F.lit(seq)) / F.lit(block)), F.lit(0)).cast("bigint")
-    b_hi = F.floor((off + ln - 1) / F.lit(block)).cast("bigint")
-    pieces = offsets.where(ln > 0).select("off", "len", "line", F.explode(F.sequence(b_lo, b_hi)).alias("block"))
-    start = F.greatest(off, F.col("block") * block)
-    end = F.least(off + ln, (F.col("block") + 1) * block + seq)
-    pieces = pieces.select("block", start.alias("s"), (end - start).alias("n"),
-                           F.expr("substring(line, cast(greatest(off, block * %d) - off + 1 as int), "
-                                  "cast(least(off + len, (block + 1) * %d + %d) - greatest(off, block * %d) as int))"
-                                  % (block, block, seq, block)).alias("piece"))
-    pieces = pieces.where(F.col("n") > 0)
+    """(block, text): block b holds corpus characters [b*block, (b+1)*block + seq), seq <= block.
+
+    Each line is cut once, at the block borders (one pass over its characters);
+    the first ``seq`` characters of a block go to the block before it as well, so
+    a group never holds more than block + seq characters."""
+    if seq > block:
+        raise ValueError("a block must hold a window")
+    b0, head = F.floor(F.col("off") / F.lit(block)).cast("long"), (F.lit(block) - F.col("off") % F.lit(block)).cast("int")
+    first = F.substring("line", F.lit(1), head)
+    rest = F.regexp_extract_all(F.substring("line", head + 1, F.col("len").cast("int")), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    parts = F.concat(F.array(first), F.when(F.col("len") > head, rest).otherwise(F.array().cast("array<string>")))
+    cut = offsets.where(F.col("len") > 0).select("off", b0.alias("b0"), F.posexplode(parts).alias("i", "piece"))
+    cut = cut.select((F.col("b0") + F.col("i")).alias("block"), "piece",
+                     F.when(F.col("i") == 0, F.col("off")).otherwise((F.col("b0") + F.col("i")) * block).alias("s"))
+    halo = F.lit(seq) - (F.col("s") - F.col("block") * block)  # characters of the piece that the block before needs
+    own = F.struct("block", "s", "piece")
+    before = F.when((F.col("block") > 0) & (halo > 0), F.struct(
+        (F.col("block") - 1).alias("block"), F.col("s"), F.substring("piece", F.lit(1), halo.cast("int")).alias("piece")))
+    pieces = cut.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.*")
     return pieces.groupBy("block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "piece"))),
                                  lambda x: x.getField("piece")), "").alias("text"))
@@ -62,18 +67,23 @@ def corpus_length(lines: DataFrame) -> DataFrame:
     return lines.agg(F.sum("len").cast("bigint").alias("n_chars"))
 
 
+def _window_blocks(df: DataFrame, text_col: str, order_col: str, seq: int, block: int, rows_per_range: int) -> tuple:
+    """Blocks with ``n_here``, the number of windows that start in each, and the block size used."""
+    lines = corpus_lines(df, text_col, order_col)
+    block = max(block, seq)
+    total = lines.select(F.sum("len")).scalar()
+    blocks = corpus_blocks(corpus_offsets(lines, rows_per_range), seq, block)
+    n_here = F.least(F.lit(block).cast("bigint"), total - F.lit(seq) - F.col("block") * block)
+    return blocks.withColumn("n_here", n_here).where(F.col("n_here") > 0), block
+
+
 def t_windows(df: DataFrame, text_col: str = "text", order_col: str = "id", seq: int = SEQ_LENGTH,
               block: int = DEFAULT_BLOCK, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Every window of ``seq`` characters of the corpus and the character after
     it, stride 1, crossing line boundaries: (pos, window, next_char), with
-    ``n_chars - seq`` rows."""
-    lines = corpus_lines(df, text_col, order_col)
-    total = lines.select(F.sum("len")).scalar()
-    blocks = corpus_blocks(corpus_offsets(lines, rows_per_range), seq, block)
-    first = F.col("block") * block
-    n_here = F.least(F.lit(block).cast("bigint"), total - F.lit(seq) - first)
-    starts = blocks.where(n_here > 0).select(
-        "block", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), n_here - 1)).alias("k"))
+    ``n_chars - seq`` rows.  Lines with a NULL order come last."""
+    blocks, block = _window_blocks(df, text_col, order_col, seq, block, rows_per_range)
+    starts = blocks.select("block", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_here") - 1)).alias("k"))
     return starts.select(
         (F.col("block") * block + F.col("k")).cast("bigint").alias("pos"),
         F.expr(f"substring(text, cast(k + 1 as int), {seq})").alias("window"),
@@ -102,47 +112,66 @@ def t_corpus_stats(df: DataFrame, text_col: str = "text", seq: int = SEQ_LENGTH)
                         (n_chars - F.lit(seq)).cast("bigint").alias("n_patterns"))
 
 
-MAX_VOCAB = 1 << 16  # guard: a character vocabulary larger than this is not an alphabet
+def _code_point(ch):
+    return F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int")
+
+
+def vocab_arrays(vocab: DataFrame) -> tuple:
+    """The vocabulary as scalar values: index by code point (NULL where absent), character
+    by index, and size.  None of them can exceed the 1,114,112 code points of Unicode."""
+    spark = vocab.sparkSession
+    coded = vocab.select("ch", "idx", _code_point(F.col("ch")).alias("cp"))
+    top = coded.agg(F.max("cp")).first()[0] or 0
+    every = spark.range(top + 1).select(F.col("id").cast("int").alias("cp")).join(coded, "cp", "left")
+
+    def in_order(df, key, value):
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+        return df.agg(F.transform(pairs, lambda x: x["v"]).alias("a")).scalar()
 
+    return in_order(every, "cp", "idx"), in_order(coded, "idx", "ch"), coded.agg(F.count(F.lit(1))).scalar()
 
-def vocab_map(vocab: DataFrame):
-    """The vocabulary as literal (char -> index map, index -> char array, size).
 
-    Like MLlib's ``StringIndexer`` labels, the alphabet is gathered on the
-    driver: it is bounded by the number of distinct characters (checked
-    against ``MAX_VOCAB``), not by the corpus size."""
-    rows = vocab.orderBy("idx").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"vocabulary exceeds {MAX_VOCAB} characters")
-    pairs = []
-    for r in rows:
-        pairs += [F.lit(r["ch"]), F.lit(int(r["idx"]))]
-    m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-    a = F.array(*[F.lit(r["ch"]) for r in rows])
-    return m, a, F.lit(len(rows)).cast("bigint")
+def _indices(chars, lookup):
+    """Vocabulary index of each character: one array access per character."""
+    return F.transform(chars, lambda c: F.get(lookup, _code_point(c)))
 
 
 def t_encode(windows: DataFrame, vocab: DataFrame, col: str = "window", normalise: bool = True) -> DataFrame:
-    """Characters -> vocabulary indices, divided by the vocabulary size when ``normalise``."""
-    m, _, n = vocab_map(vocab)
-    chars = F.split(F.col(col), "")
+    """Characters -> vocabulary indices (NULL if unknown), divided by the vocabulary size when ``normalise``."""
+    lookup, _, n = vocab_arrays(vocab)
+    w = windows.withColumn("_lookup", lookup).withColumn("_n", n)
+    enc = _indices(F.split(F.col(col), ""), F.col("_lookup"))
     if normalise:
-        enc = F.transform(chars, lambda c: F.element_at(m, c).cast("double") / n.cast("double"))
+        enc = F.transform(enc, lambda i: i.cast("double") / F.col("_n").cast("double"))
+    nxt = F.get("_lookup", _code_point(F.col("next_char"))) if "next_char" in windows.columns else F.lit(None)
+    return w.select("pos", enc.alias("x"), nxt.cast("int").alias("y"))
+
+
+def t_encode_corpus(df: DataFrame, vocab: DataFrame, text_col: str = "text", order_col: str = "id", seq: int = SEQ_LENGTH,
+                    block: int = DEFAULT_BLOCK, normalise: bool = True, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``t_encode`` of every corpus window, (pos, x, y): each block's characters are
+    encoded once, and a window is a slice of its block's indices."""
+    blocks, block = _window_blocks(df, text_col, order_col, seq, block, rows_per_range)
+    lookup, _, n = vocab_arrays(vocab)
+    codes = blocks.withColumn("_lookup", lookup).select("block", "n_here", _indices(F.split("text", ""), F.col("_lookup")).alias("codes"))
+    if normalise:
+        codes = codes.withColumn("_n", n).withColumn("values", F.transform("codes", lambda i: i.cast("double") / F.col("_n").cast("double")))
     else:
-        enc = F.transform(chars, lambda c: F.element_at(m, c))
-    nxt = F.element_at(m, F.col("next_char")) if "next_char" in windows.columns else F.lit(None)
-    return windows.select("pos", enc.alias("x"), nxt.cast("int").alias("y"))
+        codes = codes.withColumn("values", F.col("codes"))
+    k = codes.select("block", "codes", "values", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_here") - 1)).alias("k"))
+    return k.select((F.col("block") * block + F.col("k")).cast("bigint").alias("pos"),
+                    F.slice("values", (F.col("k") + 1).cast("int"), F.lit(seq)).alias("x"),
+                    F.get("codes", (F.col("k") + seq).cast("int")).alias("y"))
 
 
 def t_decode(encoded: DataFrame, vocab: DataFrame, col: str = "x", normalised: bool = True) -> DataFrame:
     """Indices (or index / size) back to text."""
-    _, a, n = vocab_map(vocab)
+    _, chars, n = vocab_arrays(vocab)
+    e = encoded.withColumn("_chars", chars).withColumn("_n", n)
+    idx = F.col(col)
     if normalised:
-        idx = F.transform(F.col(col), lambda v: F.round(v * n.cast("double")).cast("int"))
-    else:
-        idx = F.col(col)
-    return encoded.select("pos", F.array_join(F.transform(idx, lambda i: F.element_at(a, i + 1)), "")
-                          .alias("window"))
+        idx = F.transform(idx, lambda v: F.round(v * F.col("_n").cast("double")).cast("int"))
+    return e.select("pos", F.array_join(F.transform(idx, lambda i: F.get(F.col("_chars"), i)), "").alias("window"))
 
 
 def t_one_hot(encoded: DataFrame, vocab_size: int, col: str = "y") -> DataFrame:
@@ -175,22 +204,25 @@ def t_seed_pick(windows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return windows.orderBy(key).limit(n)
 
 
-def _model_table(argmax: DataFrame, n_buckets: int) -> DataFrame:
-    """Write the argmax table once, partitioned by a hash bucket of the context,
-    to the shared checkpoint folder and read it back: every generation step
-    then joins against files, and dynamic partition pruning reads only the
-    buckets of the current contexts."""
-    import uuid
-    spark = argmax.sparkSession
-    from caseflow.session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-model-{uuid.uuid4().hex}"
-    (argmax.select(F.pmod(F.xxhash64("ctx"), F.lit(n_buckets)).alias("b"), "ctx", "next_char")
-     .write.partitionBy("b").parquet(path))
-    return spark.read.parquet(path)
+#: Contexts in one bucket of the written model.
+ROWS_PER_BUCKET = 1 << 18
+
+
+def _model_table(argmax: DataFrame, rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """The argmax table written once to the shared checkpoint folder, partitioned by a
+    hash bucket of the context (one file per bucket, as many buckets as its counted
+    rows ask for), and the number of buckets."""
+    whole = shared_table(argmax.select("ctx", "next_char"), "ngram")
+    n = max(1, -(-whole.count() // rows_per_bucket))
+    path = f"{ensure_checkpoint_dir(whole.sparkSession).rstrip('/')}/ngram-model-{uuid.uuid4().hex}"
+    bucketed = whole.select(F.pmod(F.xxhash64("ctx"), F.lit(n)).alias("b"), "ctx", "next_char")
+    bucketed.repartition("b").write.partitionBy("b").parquet(path)
+    schema = bucketed.select("ctx", "next_char", "b").schema
+    return whole.sparkSession.read.schema(schema).parquet(path), n
 
 
 def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
-               checkpoint_every: int = 10, n_buckets: int = 64) -> DataFrame:
+               checkpoint_every: int = 10, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Greedy generation: repeatedly look up the last ``n`` characters in the
     argmax table and append the predicted character, for every seed at once.
 
@@ -201,7 +233,8 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
     continuation stops.  Each step's small seed table is cached, and the
     lineage is cut every ``checkpoint_every`` steps with a reliable checkpoint
     (``spark.checkpoint.dir``)."""
-    table = _model_table(argmax, n_buckets).select("b", "ctx", F.col("next_char").alias("_nx"))
+    table, n_buckets = _model_table(argmax, rows_per_bucket)
+    table = table.select("b", "ctx", F.col("next_char").alias("_nx"))
     g = reliable_checkpoint(seeds.select("pos", F.col("window").alias("text"), F.lit("").alias("generated"),
                                          F.lit(False).alias("done")))
     cached = []

@@ -69,7 +69,7 @@ SELECT e.pos, e.x, v2.idx AS y FROM e JOIN w ON w.pos = e.pos LEFT JOIN v v2 ON
 """, ctes=False)
 def q_t_encode(spark, d):
     c = corpus(spark, d)
-    return TX.t_encode(_w(spark, d), TX.t_char_vocab(c))
+    return TX.t_encode_corpus(c, TX.t_char_vocab(c), seq=SEQ)
 
 
 @register("t_decode", f"WITH {_C}, {_win_sql('w', SEQ)} SELECT pos, \"window\" FROM w", ctes=False)
@@ -116,3 +116,32 @@ SELECT pos, arg_max(generated, step) AS generated FROM gen GROUP BY pos
 def q_t_generate(spark, d):
     seeds = q_t_seed_pick(spark, d)
     return TX.t_generate(seeds, q_t_argmax(spark, d), NGRAM, STEPS)
+
+
+def documents(spark, d):
+    return raw_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@register("t_next_char_counts_docs", """
+WITH ch AS (
+  SELECT c, row_number() OVER (ORDER BY doc_id, k) AS pos FROM (
+    SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS c FROM (
+      SELECT doc_id, string_split(lower(coalesce(text, '')) || chr(10), '') AS s FROM documents) l) u),
+w AS (SELECT c || lead(c) OVER o AS ctx, lead(c, 2) OVER o AS next_char FROM ch WINDOW o AS (ORDER BY pos))
+SELECT ctx, next_char, count(*) AS cnt FROM w WHERE next_char IS NOT NULL GROUP BY ALL""", ctes=False)
+def q_t_next_char_counts_docs(spark, d):
+    """Two-character contexts over the whole texts of ``documents`` (non-ASCII, up to very long lines)."""
+    return TX.t_next_char_counts(documents(spark, d), 2)
+
+
+@register("t_char_codes_docs", """
+WITH ch AS (SELECT unnest(string_split(lower(coalesce(text, '')) || chr(10), '')) AS c FROM documents),
+v AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS idx FROM (SELECT DISTINCT c FROM ch) u)
+SELECT CAST(idx AS INTEGER) AS y, count(*) - (SELECT count(*) FROM (
+         SELECT c FROM (SELECT unnest(string_split(lower(coalesce(text, '')) || chr(10), '')) AS c FROM (
+           SELECT text FROM documents ORDER BY doc_id LIMIT 10)) f LIMIT 4) g WHERE g.c = ch.c) AS cnt
+FROM ch JOIN v USING (c) GROUP BY idx, ch.c""", ctes=False)
+def q_t_char_codes_docs(spark, d):
+    """How often each vocabulary index is a target: the encoded corpus of ``documents``, windows of 4."""
+    docs = documents(spark, d)
+    return TX.t_encode_corpus(docs, TX.t_char_vocab(docs), seq=4).groupBy("y").agg(F.count(F.lit(1)).alias("cnt"))

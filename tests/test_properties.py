@@ -13,7 +13,7 @@ from tests.conftest import SF001
 def test_xtabs_total_equals_long_total(spark):
     wide = QUERIES["topk_monthly_wide"](spark, SF001)
     long = QUERIES["topk_monthly"](spark, SF001)
-    names = [c for c in wide.columns if c != "dt"]
+    names = [c for c in wide.columns if c.startswith("c")]
     w = wide.agg(sum(F.sum(F.col(f"`{n}`")) for n in names)).first()[0]
     assert w == long.agg(F.sum("cnt")).first()[0]
 

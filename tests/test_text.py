@@ -42,3 +42,22 @@ def test_argmax_and_generate(spark):
     seeds = spark.createDataFrame([(0, "ab")], "pos long, window string")
     gen = TX.t_generate(seeds, TX.t_argmax(TX.t_next_char_counts(df, 2)), 2, 6, checkpoint_every=3).first()
     assert gen["generated"] == "ababab"
+
+
+def test_long_lines_null_order_and_wide_characters(spark):
+    texts = ["é\U0001f600x" * 900, None, "中文" * 700, "", "tail"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "last")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    exp, s = _brute([*texts, "last"], 9)
+    got = sorted(tuple(r) for r in TX.t_windows(df, seq=9, block=64, rows_per_range=2).collect())
+    assert got == exp
+    vocab = TX.t_char_vocab(df)
+    chars = sorted(set(s))
+    assert [r["ch"] for r in vocab.orderBy("idx").collect()] == chars
+    enc = TX.t_encode_corpus(df, vocab, seq=9, block=64, normalise=False).orderBy("pos").collect()
+    assert [(r.x, r.y) for r in enc] == [([chars.index(c) for c in w], chars.index(n)) for _, w, n in exp]
+    back = TX.t_decode(TX.t_encode_corpus(df, vocab, seq=9, block=64), vocab)
+    assert sorted(tuple(r) for r in back.collect()) == [(p, w) for p, w, _ in exp]
+    unknown = spark.createDataFrame([(0, "aQ", "Q")], "pos long, window string, next_char string")
+    r = TX.t_encode(unknown, vocab, normalise=False).first()
+    assert r.x == [chars.index("a"), None] and r.y is None
