@@ -179,9 +179,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's k nearest found."""
     rows = C.written(usable(vectors, id_col, vec_col), "vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample_rows).toArrow()
-    if not len(sample):
+    # the smallest hashes first (eight bytes a row), then only those rows
+    keyed = rows.withColumn("h", F.xxhash64("id", "vec"))
+    first = [r.h for r in keyed.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
+    if not first:
         return _none(rows.sparkSession)
+    sample = keyed.where(F.col("h") <= first[-1]).groupBy("h").agg(F.min("vec").alias("vec")).orderBy("h").toArrow()
     codes = learn(_matrix(sample.column("vec").combine_chunks()), k)
     asked = usable(queries, id_col, vec_col).where(F.size("vec") == codes.rotation.shape[0])
     asked = asked.groupBy("id").agg(F.min("vec").alias("vec"))  # a repeated query id asks once, with its smallest vector
