@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a whole text are the hashed words, neighbouring word pairs and pairs
-with one word between them (each counted once per text).  Per-coordinate
+Features of a whole text are the hashed words, their beginnings of ``STEMS``
+bytes (so that inflected forms of a word share a weight), neighbouring word pairs
+and pairs with one word between them (each counted once per text).  Per-coordinate
 learning rates and an L1 penalty leave few non-zero weights, which are broadcast
 as two short arrays.
 
@@ -20,18 +21,24 @@ from caseflow.llm import common as C
 
 #: Feature space (a power of two: the weights never hold more entries).
 BITS = 20
+#: Lengths of word beginnings; a shorter word has none.
+STEMS = (4, 5)
 #: Bounds of the training sample: labelled rows, and the length of a sampled text.
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 50_000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature index and text number of every word, pair and skip pair of a chunk."""
+    """Feature index and text number of every word, word beginning, pair and skip pair of a chunk."""
     buf, offs = C.text_buffer(texts)
     starts, ends, woffs = C.word_spans(buf, offs)
     h = C.word_hashes(buf, starts, ends)
     doc = np.repeat(np.arange(len(offs) - 1), woffs[1:] - woffs[:-1])
     idx, of = [h], [doc]
+    for size in STEMS:
+        ok = ends - starts >= size
+        idx.append(C.mix64(C.word_hashes(buf, starts[ok], starts[ok] + size) + np.uint64(64 + size)))
+        of.append(doc[ok])
     for gap in (1, 2):
         if len(h) > gap:
             ok = doc[gap:] == doc[:-gap]
