@@ -122,3 +122,10 @@ def f_contains_ci(c, needle: str) -> Column:
 def f_from_json(c, schema: str) -> Column:
     """Parse a JSON text column with a declared schema (no inference)."""
     return F.from_json(_c(c), schema)
+
+
+def f_micros(c, dtype: str) -> Column:
+    """Microseconds since 1970 of a timestamp column; wall-clock (NTZ) values never pass
+    through the session time zone, so their order survives clock changes."""
+    c = _c(c)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c) if dtype == "timestamp_ntz" else F.unix_micros(c)

@@ -137,8 +137,8 @@ def anti_not_exists(df: DataFrame, cond_a: Column, cond_b: Column, key: str = "b
 
 
 def semi_in(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """``col IN (subquery)`` as a left semi join; ``keys`` must be small (e.g. a top-k)."""
-    return df.join(F.broadcast(keys.select(col)), col, "left_semi")
+    """``col IN (subquery)`` as a left semi join (AQE broadcasts ``keys`` if its measured size allows)."""
+    return df.join(keys.select(col), col, "left_semi")
 
 
 def corr_scalar_max(df: DataFrame, group: str, col: str) -> DataFrame:

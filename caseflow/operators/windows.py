@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.exprs import f_micros
 from caseflow.operators.prefix import ROWS_PER_RANGE, nulls_last, ranged
 from caseflow.session import shared_table
 
@@ -55,7 +56,7 @@ def order_struct(df: DataFrame, order: Sequence[str], tiebreak: Sequence[str] =
             if t == "date":
                 v = -F.unix_date(v)
             elif t.startswith("timestamp"):
-                v = -F.unix_micros(v.cast("timestamp"))
+                v = -f_micros(v, t)
             elif t == "string":
                 raise TypeError(f"descending min_by key needs a numeric or date column: {c}")
             else:

@@ -15,7 +15,7 @@ from caseflow.plans.catalog import (BILL_FEATURES_SQL, BINDING_CTES, CHAMBER, M_
                                     REJECT, STATE, TIE_SQL, TIMELINE_BILL, YEAR, T,
                                     TRANSITIONS_FILTERED_SQL, _lead_sql, _topk_sql, best_sql, monthly_sql,
                                     outcome_sql, q_bill_features, q_topk_monthly, r6, register)
-from caseflow.sources.tables import TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK, TEST_TYPES
+from caseflow.sources.tables import scan_all, TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK, TEST_TYPES
 
 TB = list(TEST_TIEBREAK)
 
@@ -30,7 +30,8 @@ def with_ctes(body: str, **ctes: str) -> str:
 
 @register("scan_all", "SELECT * FROM bills")
 def q_scan_all(spark, d):
-    return T(spark, d).bills
+    T(spark, d).bills.createOrReplaceTempView("caseflow_scan_all_bills")
+    return scan_all(spark, "caseflow_scan_all_bills")
 
 
 @register("sql_params", TRANSITIONS_FILTERED_SQL)
@@ -98,9 +99,11 @@ def q_filter_contains_ci(spark, d):
     return R.filter_contains_ci(T(spark, d).actions, "text", REJECT).select("text")
 
 
-@register("filter_like_empty", "SELECT * FROM actions WHERE text LIKE ''")
+@register("filter_like_empty", "SELECT bill_id, line_no, part_id FROM actions WHERE line_no = 7 OR text LIKE ''")
 def q_filter_like_empty(spark, d):
-    return R.filter_like_empty(T(spark, d).actions, "text")
+    a = T(spark, d).actions
+    blank = a.withColumn("text", F.when(F.col("line_no") == 7, F.lit("")).otherwise(F.col("text")))
+    return R.filter_like_empty(blank, "text").select("bill_id", "line_no", "part_id")
 
 
 @register("filter_conj", f"""
@@ -339,9 +342,9 @@ def q_lead_step(spark, d):
     return W.lead_step(a, tiebreak=TB).select("bill_id", "action_date", "type", "next_row", "next_type")
 
 
-@register("filter_not_null", f"SELECT bill_id, action_date, type, next_row, next_type FROM ({_lead_sql()}) l WHERE next_type IS NOT NULL")
+@register("filter_not_null", "SELECT id, bill_type, updatedate FROM bills WHERE updatedate IS NOT NULL")
 def q_filter_not_null(spark, d):
-    return R.filter_not_null(q_lead_step(spark, d), "next_type")
+    return R.filter_not_null(T(spark, d).bills.select("id", "bill_type", "updatedate"), "updatedate")
 
 
 @register("max_over", "SELECT bill_id, action_date, type, max(action_date) OVER (PARTITION BY bill_id) AS group_max FROM actions")
@@ -398,10 +401,10 @@ def q_f_date_format(spark, d):
                             (("dmy", "DD/MM/YYYY"), ("ym", "YYYY-MM"), ("yyyy", "YYYY"), ("mm", "MM"))])
 
 
-@register("f_date_diff", f"SELECT bill_id, action_date, next_row - action_date AS days FROM ({_lead_sql()}) l WHERE next_row IS NOT NULL")
+@register("f_date_diff", "SELECT id, CAST(updatedate AS DATE) - CAST(createdate AS DATE) AS days FROM bills")
 def q_f_date_diff(spark, d):
-    l = q_lead_step(spark, d).where(F.col("next_row").isNotNull())
-    return l.select("bill_id", "action_date", X.f_date_diff("next_row", "action_date").alias("days"))
+    b = T(spark, d).bills
+    return b.select("id", X.f_date_diff(F.col("updatedate").cast("date"), F.col("createdate").cast("date")).alias("days"))
 
 
 @register("f_extract_day", "SELECT id, CAST(EXTRACT(DAY FROM updatedate - createdate) AS BIGINT) AS no_days FROM bills")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.exprs import (f_date_format, f_extract_day, like_any)
+from caseflow.functions.exprs import (f_date_format, f_extract_day, f_micros, like_any)
 from caseflow.session import shared_table
 from caseflow.operators.windows import heavy_keys, lead_step, order_struct, sort_exprs
 
@@ -57,8 +57,7 @@ def bill_outcomes(actions: DataFrame, markers: Sequence[str] = DEFAULT_PASS_MARK
         # latest date with "any match on that date" in the low bit.  A numeric
         # max keeps the aggregate hash-based (a struct max would sort).
         dtype = dict(actions.dtypes).get(date, "date")
-        day = F.unix_micros(F.col(date).cast("timestamp")) if dtype.startswith("timestamp") \
-            else F.unix_date(F.col(date))
+        day = f_micros(date, dtype) if dtype.startswith("timestamp") else F.unix_date(F.col(date))
         agg = actions.groupBy(bill).agg(
             F.count(F.lit(1)).alias("ac_count"),
             F.max(day.cast("long") * F.lit(2) + matched).alias("_last"))
