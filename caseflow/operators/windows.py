@@ -68,10 +68,11 @@ def order_struct(df: DataFrame, order: Sequence[str], tiebreak: Sequence[str] =
 
 
 def heavy_keys(df: DataFrame, key: str, max_rows: int = ROWS_PER_RANGE) -> DataFrame:
-    """Keys (NULL included) with more than ``max_rows`` rows, by exact count, as a
-    written table: at most rows / ``max_rows`` of them.  Only the key column is read."""
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(max_rows))
-    return shared_table(n.select(key), "heavy-keys")
+    """Keys (NULL included) with more than ``max_rows`` rows, by exact count: at most
+    rows / ``max_rows`` of them, as a written table, or an empty local one in the
+    usual case of none (one job).  Only the key column is read."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(max_rows)).select(key)
+    return df.sparkSession.createDataFrame([], n.schema) if n.isEmpty() else shared_table(n, "heavy-keys")
 
 
 def _lead_window(df: DataFrame, part: str, ordering: list[Column], cols, names) -> DataFrame:
