@@ -6,7 +6,6 @@ columns with any name (also the operator's own output names) cannot clash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseflow.session import ensure_checkpoint_dir
+from caseflow.session import shared_table
 
 #: Text bytes that a scan turns into numpy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -30,12 +29,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: cuts the lineage and
     fixes every value, so readers on other machines and retried tasks agree.
 
-    The folder belongs to the run (``spark.checkpoint.dir``) and is removed
-    with it; the result read from it is lazy, so it cannot go earlier."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    The result read from it is lazy, so it cannot go at once: it is removed with
+    the run's ``spark.checkpoint.dir``, or by ``session.drop_shared_tables`` when
+    the results have been written."""
+    return shared_table(df, name)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -190,11 +187,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, bound: int
     return rows.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
-#: Rows of one long (and their hash table) that are small enough to be sent to every executor.
-BROADCAST_ROWS = 1 << 20
+#: A table of at most so many bytes (counted, before hashing) is sent to every executor.
+BROADCAST_BYTES = 1 << 24
+#: Bytes of a row without its arrays and strings.
+ROW_BYTES = 16
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, variable: Column | None = None) -> DataFrame:
     """``df`` (narrow rows, read from a written table) with a broadcast hint if its
-    counted size allows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    counted size allows; a larger one is left to a shuffle join.  ``variable``: bytes
+    of a row's arrays and strings."""
+    size = F.lit(ROW_BYTES) if variable is None else F.lit(ROW_BYTES) + variable
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

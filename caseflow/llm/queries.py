@@ -102,10 +102,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flag(name):
         return F.size(F.filter("spans", lambda s: s[name])).cast("long")
 
+    def most(name):
+        return F.coalesce(F.array_max(F.transform("spans", lambda s: s[name])), F.lit(0)).cast("long")
+
     return out.select("row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                       F.sha2(secret_owners.joined(F.col("spans"), 3), 256).alias("base_sha256"),
                       secret_owners.joined(F.col("spans")).alias("spans"),
-                      flag("live").alias("n_live"), flag("example").alias("n_example"))
+                      flag("live").alias("n_live"), flag("example").alias("n_example"),
+                      most("repos").alias("max_repos"), most("owners").alias("max_owners"))
 
 
 _CANDIDATES = ",\n".join(
@@ -133,19 +137,21 @@ random AS (
 cand AS (
   SELECT * FROM random r WHERE kind < 3 OR (rnd AND NOT EXISTS (
     SELECT 1 FROM random o WHERE o.rid = r.rid AND o.kind < 3 AND o.a < r.b AND r.a < o.b))),
-freq AS (SELECT v, count(DISTINCT source) AS owners FROM cand GROUP BY v),
+freq AS (SELECT v, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners FROM cand GROUP BY v),
 span AS (
-  SELECT c.*, owners = 1 AND (rnd OR kind = 2) AS live, owners >= {secret_owners.EXAMPLE_OWNERS} AS example
+  SELECT c.*, repos, owners, owners = 1 AND (rnd OR kind = 2) AS live, owners >= {secret_owners.EXAMPLE_OWNERS} AS example
   FROM cand c JOIN freq USING (v) WHERE kind < 3 OR (rnd AND owners = 1)),
 txt AS (SELECT *, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || a || ':' || b AS x FROM span),
 per AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(x, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY a, kind) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example
+         count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example,
+         max(repos) AS max_repos, max(owners) AS max_owners
   FROM txt GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(max_repos, 0) AS max_repos, coalesce(max_owners, 0) AS max_owners
 FROM doc d LEFT JOIN per USING (rid)
 """
 

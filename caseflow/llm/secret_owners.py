@@ -37,6 +37,9 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A value looks random if it has digits, both letter cases and so many different characters.
 MIN_DISTINCT = 10
 EXAMPLE_OWNERS = 5
+#: Columns of a reported span, and their bytes.
+SPAN = ["start", "kind", "end", "live", "example", "repos", "owners"]
+SPAN_BYTES = 56
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
@@ -92,7 +95,8 @@ def _scan(texts: pa.Array) -> list:
 def secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
             keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Two written tables: all documents (``rid``, ``row``), and those with spans
-    (``rid``, ``spans``: array of (start, kind, end, live, example) by start, then kind)."""
+    (``rid``, ``spans``: array of ``SPAN`` by start, then kind; ``repos`` and ``owners``
+    are the numbers of distinct repositories and owners that carry the span's value)."""
     cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     src = docs.select(F.struct(F.struct(*cols).alias("row"), F.col(f"`{repo_col}`").cast("string").alias("repo"),
                                F.col(f"`{owner_col}`").cast("string").alias("owner")).alias("row"),
@@ -105,17 +109,21 @@ def secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", o
     freq = places.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     spans = cand.join(freq, "hash").select(
         "rid", "start", "kind", "end", ((F.col("owners") == 1) & F.col("random")).alias("live"),
-        (F.col("owners") >= EXAMPLE_OWNERS).alias("example"))
+        (F.col("owners") >= EXAMPLE_OWNERS).alias("example"), "repos", "owners")
     spans = spans.where((F.col("kind") < 3) | F.col("live"))
-    per = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "example"))).alias("spans"))
+    per = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(*SPAN))).alias("spans"))
     return rows.select("rid", "row"), C.written(per, "secret-spans")
 
 
+def _small(found: DataFrame) -> DataFrame:
+    return C.small(found, F.size("spans") * SPAN_BYTES)
+
+
 def scan(docs: DataFrame, **options) -> DataFrame:
     """Every row of ``docs`` as ``row`` with its ``spans`` (empty if none)."""
     rows, found = secrets(docs, **options)
-    none = F.array().cast("array<struct<start:long,kind:int,end:long,live:boolean,example:boolean>>")
-    return rows.join(C.small(found), "rid", "left").select("rid", "row", F.coalesce("spans", none).alias("spans"))
+    none = F.array().cast(found.schema["spans"].dataType)
+    return rows.join(_small(found), "rid", "left").select("rid", "row", F.coalesce("spans", none).alias("spans"))
 
 
 def joined(spans, kinds: int = len(KINDS)):
@@ -129,7 +137,7 @@ def joined(spans, kinds: int = len(KINDS)):
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every reported span of ``text_col`` replaced by ``mark`` (overlapping spans by one)."""
     rows, found = secrets(docs, text_col=text_col, **options)
-    found = C.small(found)
+    found = _small(found)
     text = F.col(f"row.`{text_col}`").alias("text")
 
     def cut(batches):

@@ -21,6 +21,8 @@ by one; extra columns are kept in ``row``.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,15 +50,16 @@ def _hashed(key):
 
 def _url_keys(shapes: list[tuple[int, int]]):
     """Array of a url's keys, longest first (the longer host first among equals)."""
-    labels = F.size(F.split("host", r"\."))
-    fit = []
-    for n, m in shapes:
-        suffix = F.substring_index("host", ".", -n)
-        key = F.concat(suffix, F.substring("path", 1, m))
-        fit.append(F.when((labels >= n) & (F.length("path") >= m), F.struct(
-            (-F.length(key)).alias("o"), (-F.length(suffix)).alias("h"), _hashed(key).alias("k"))))
-    every = F.array_sort(F.array_compact(F.array(*fit))) if fit else F.array()
-    return F.transform(every, lambda x: x["k"]).cast(f"array<struct<{_KEY}>>") if fit else F.array().cast(f"array<struct<{_KEY}>>")
+    every = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>")
+    labels, length = F.split("host", r"\."), F.length("path")
+    fit = F.filter(every, lambda s: (s["n"] <= F.size(labels)) & (s["m"] <= length))
+
+    def key(s):
+        suffix = F.array_join(F.slice(labels, -s["n"], s["n"]), ".")
+        full = F.concat(suffix, F.col("path").substr(F.lit(1), s["m"]))
+        return F.struct((-F.length(full)).alias("o"), (-F.length(suffix)).alias("h"), full.alias("key"))
+
+    return F.transform(F.array_sort(F.transform(fit, key)), lambda x: _hashed(x["key"])).cast(f"array<struct<{_KEY}>>")
 
 
 def cascade(universe: DataFrame, listed: DataFrame) -> list[np.ndarray]:

@@ -142,7 +142,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Every row of ``docs`` as ``row``, with ``n_words``, ``n_hit``, ``items`` and ``contaminated``."""
     rows, hit = hits(docs, benchmark, **options)
-    out = rows.join(C.small(hit), "rid", "left")
+    hit = C.small(hit, F.octet_length(F.array_join("items", ",")) + 8 * F.size("items"))
+    out = rows.join(hit, "rid", "left")
     return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.col("n_hit").isNotNull().alias("contaminated"))

@@ -46,9 +46,10 @@ def test_ownership_decides_on_bare_tokens(spark):
     assert all(out[i] == [] for i in range(6)) and out[12] == []
     assert [(s.kind, s.live) for s in out[10]] == [(3, True)]
     assert [(s.kind, s.live) for s in out[11]] == [(3, True), (0, True)]
+    assert {(s.repos, s.owners) for i in (10, 11) for s in out[i]} == {(2, 1)}
     shared = [(i, f"password={example}", "en", f"s{i}") for i in range(5)]
     out = [r.spans for r in S.scan(cases.documents(spark, shared)).collect()]
-    assert all([(s.kind, s.live, s.example) for s in x] == [(0, False, True)] for x in out)
+    assert all([(s.kind, s.live, s.example, s.repos, s.owners) for s in x] == [(0, False, True, 5, 5)] for x in out)
 
 
 def test_defined_cases_and_redaction(spark):

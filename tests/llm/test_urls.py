@@ -70,3 +70,17 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")
     assert [(r.rule, r.verdict) for r in U.judge(pages, none).collect()] == [(None, "allow")]
     assert U.judge(pages.limit(0), spark.createDataFrame(Q.URL_RULES, "host string, path string, verdict string")).count() == 0
+
+
+def test_rules_of_very_many_shapes(spark):
+    rules = [("c" * 3 + ".d" * (i % 7), "/" + "p" * i, U.VERDICTS[i % 2]) for i in range(900)]
+    urls = [f"http://x.{h}{p}tail" for h, p, _ in rules[::30]] + [f"http://{h}{p}" for h, p, _ in rules[::31]] + ["http://e/", None]
+    assert result(spark, urls, rules) == {i: plain(u, rules) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("bound", [0, U.C.BROADCAST_BYTES])
+def test_broadcast_only_below_its_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(U.C, "BROADCAST_BYTES", bound)
+    df = spark.range(5).withColumn("a", F.array(F.lit("x")))
+    hinted = "broadcast" in U.C.small(df, F.size("a"))._jdf.queryExecution().logical().toString()
+    assert hinted == (bound > 0) and "broadcast" in U.C.small(df.limit(0))._jdf.queryExecution().logical().toString()
