@@ -102,3 +102,22 @@ def test_hot_length_over_many_tasks(spark, reference):
     rows = P.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(16)).collect()
     n = check(rows, docs, reference)
     assert n <= 1.01 * sum(r.length for r in rows) / 1024 + 2
+
+
+def test_the_added_token_is_one_id_as_by_default(spark, rng):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not plain.encode_special_tokens
+
+    def default(x):
+        return plain.encode(x or "", add_special_tokens=False).ids
+
+    assert default("a <|endoftext|> b") == [64, 220, 50256, 275]
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "  ", "\n", "a", " the", "'s", "é", "1"]
+    texts = ["".join(bits[int(i)] for i in rng.integers(0, len(bits), int(rng.integers(0, 30)))) for _ in range(800)]
+    enc = P.encoder()
+    for t in [*texts, "", "<|endoftext|>", "a <|endoftext|> b"]:
+        assert P.token_ids(enc, t) == default(t)
+    docs = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>" * 1023), (2, "x <|endoftext|>  y" * 700), (3, None), (4, "plain")]
+    rows = P.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check(rows, docs, default)
+    assert [r.length for r in rows if r.row.doc_id == 1] == [1024]
