@@ -36,6 +36,10 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 8, 16, 32
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A value looks random if it has digits, both letter cases and so many different characters.
 MIN_DISTINCT = 10
+#: Different characters of a random value of one case: hexadecimal, and of an access key behind its AKIA.
+HEX_DISTINCT, ACCESS_DISTINCT = 8, 8
+#: Random characters of one case go from a letter to a digit or back at least once in so many (names and dates do not).
+PER_TURN = 8
 EXAMPLE_OWNERS = 5
 #: Columns of a reported span, and their bytes.
 SPAN = ["start", "kind", "end", "live", "example", "repos", "owners"]
@@ -46,12 +50,30 @@ _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 
+_ONE_CASE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+
+
 def looks_random(value: str) -> bool:
+    """Judged by the alphabet of the value: an access key, both cases, hexadecimal or letters of one case with digits."""
+    if len(value) >= ACCESS_MIN and ACCESS.fullmatch(value):
+        return len(set(value[4:])) >= ACCESS_DISTINCT
+    if mixed_case(value):
+        return True
+    core = "".join(c for c in value if c.isalnum())
+    if core != core.lower() and core != core.upper():
+        return False
+    least = HEX_DISTINCT if _ONE_CASE_HEX.fullmatch(core) else MIN_DISTINCT
+    return len(set(core)) >= least and len(_TURN.findall(value)) >= max(2, len(core) / PER_TURN)
+
+
+def mixed_case(value: str) -> bool:
+    """The rule in the SQL of ``op1_secret_scans``; no value of one case passes it."""
     return (len(set(value)) >= MIN_DISTINCT and any("0" <= c <= "9" for c in value)
             and any("a" <= c <= "z" for c in value) and any("A" <= c <= "Z" for c in value))
 
 
-def find(text: str, runs: bool = True) -> list[tuple[int, int, int, str]]:
+def find(text: str, runs: bool = True, random=looks_random) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of all candidates by start, then kind.  ``runs``
     false: the text is known to have no run of ``ACCESS_MIN`` token characters."""
     out = []
@@ -66,13 +88,13 @@ def find(text: str, runs: bool = True) -> list[tuple[int, int, int, str]]:
             out += [(a + m.start(), 2, a + m.end(), m[0]) for m in HEX.finditer(text[a:b]) if m.end() - m.start() >= HEX_MIN]
         known = sorted((a, b) for a, _, b, _ in out)
         for a, b in opaque:
-            if looks_random(text[a:b]) and not any(s < b and a < e for s, e in known):
+            if random(text[a:b]) and not any(s < b and a < e for s, e in known):
                 out.append((a, 3, b, text[a:b]))
     out.sort()
     return out
 
 
-def _scan(texts: pa.Array) -> list:
+def _scan(texts: pa.Array, random=looks_random) -> list:
     buf, offs = C.text_buffer(texts)
     starts, ends, woffs = C.word_spans(buf, offs, _RUN)
     long_run = np.zeros(len(texts), bool)
@@ -80,28 +102,30 @@ def _scan(texts: pa.Array) -> list:
     long_run[doc] = True
     count, flat = np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts.to_pylist()):
-        got = find(t, bool(long_run[i])) if t else []
+        got = find(t, bool(long_run[i]), random) if t else []
         count[i] = len(got)
         flat += got
     rows = pa.StructArray.from_arrays(
         [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()),
          pa.array([x[2] for x in flat], pa.int64()),
          pa.array([hashlib.sha256(x[3].encode()).digest() for x in flat], pa.binary()),
-         pa.array([looks_random(x[3]) or x[1] == 2 for x in flat], pa.bool_())],
+         pa.array([random(x[3]) or x[1] == 2 for x in flat], pa.bool_())],
         ["start", "kind", "end", "hash", "random"])
     return [C.lists(rows, count)]
 
 
 def secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
-            keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+            keep: list[str] | None = None, random=looks_random) -> tuple[DataFrame, DataFrame]:
     """Two written tables: all documents (``rid``, ``row``), and those with spans
     (``rid``, ``spans``: array of ``SPAN`` by start, then kind; ``repos`` and ``owners``
-    are the numbers of distinct repositories and owners that carry the span's value)."""
+    are the numbers of distinct repositories and owners that carry the span's value).
+    ``random`` tells of a value whether it looks random."""
     cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     src = docs.select(F.struct(F.struct(*cols).alias("row"), F.col(f"`{repo_col}`").cast("string").alias("repo"),
                                F.col(f"`{owner_col}`").cast("string").alias("owner")).alias("row"),
                       F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = C.annotate(src, "found array<struct<start:long,kind:int,end:long,hash:binary,random:boolean>>", _scan)
+    rows = C.annotate(src, "found array<struct<start:long,kind:int,end:long,hash:binary,random:boolean>>",
+                      lambda texts: _scan(texts, random))
     rows = C.written(rows.select(F.monotonically_increasing_id().alias("rid"), "row.*", "found"), "secret-candidates")
     cand = rows.where(F.size("found") > 0).select("rid", "repo", "owner", F.explode("found").alias("f")).select("rid", "repo", "owner", "f.*")
     # distinct (value, repository, owner) first: a value copied everywhere is one row per place before it is counted
