@@ -3,6 +3,8 @@
 A small tolerant tokeniser: comments, declarations and the content of raw
 elements are markup; unclosed elements end where HTML says they do (a paragraph
 at the next block, a list item at the next item) or at the end of an ancestor.
+Formulas, objects and noscript belong to the text around them; a graphic or a
+template inside a paragraph is blocks of its own, and the paragraph goes on behind it.
 """
 
 from __future__ import annotations
@@ -12,15 +14,25 @@ import re
 from collections import Counter
 
 #: Fixed sets of element names (HTML standard).
-RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea"}
+RAW = {"script", "style", "iframe", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
-          "time", "tt", "u", "var", "wbr", "label"}
+          "time", "tt", "u", "var", "wbr", "label", "object", "noscript", "param", "tspan", "textpath",
+          "math", "semantics", "annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi",
+          "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace",
+          "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none"}
+#: Inline elements whose content may be whole sentences: a space keeps it apart.
+APART = {"object", "noscript", "mtd"}
+#: Elements whose text is kept apart from the block they stand in.
+SIDE = {"svg", "template"}
+#: A start tag that ends an open graphic (HTML standard, its block-level names).
+BREAKOUT = {"blockquote", "body", "center", "dd", "div", "dl", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "li",
+            "menu", "ol", "p", "pre", "table", "ul"}
 #: A start tag of the key ends an open element of the values, unless one of ``SCOPE`` is nearer.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
-SCOPE = {"ul", "ol", "dl", "table", "select", "html", "body", "article", "section", "div"}
+SCOPE = {"ul", "ol", "dl", "table", "select", "html", "body", "article", "section", "div", "template"}
 
 #: A path holds at most so many of the outermost and of the innermost open elements.
 OUTER, INNER = 8, 16
@@ -47,19 +59,31 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of every leaf with text, in page order."""
     out, stack, names, parts, held = [], [], [], [], Counter()
     links = link_chars = 0
+    # of the open ``SIDE`` elements: depth, name, and what is held of the block around; ``place``: where a block goes that has one inside
+    side, place = [], None
     page = page or ""
 
     def flush():
-        nonlocal link_chars
+        nonlocal link_chars, place
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = tuple(names) if len(names) <= OUTER + INNER else (*names[:OUTER], *names[-INNER:])
-                out.append((path, text, min(link_chars, len(text))))
+                out.insert(len(out) if place is None else place, (path, text, min(link_chars, len(text))))
             parts.clear()
-        link_chars = 0
+        link_chars, place = 0, None
 
     def pop(n):
+        nonlocal parts, link_chars, place
+        while side and side[-1][0] >= n:
+            flush()
+            depth, _, parts, link_chars, place = side.pop()
+            cut(depth)
+            if depth > n:
+                flush()
+        cut(n)
+
+    def cut(n):
         for name in stack[n:]:
             held[name] -= 1
         del stack[n:]
@@ -88,6 +112,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if close in INLINE:
                 if close == "a":
                     links = max(0, links - 1)
+                elif close in APART:
+                    parts.append(" ")
                 continue
             flush()
             if held[close]:
@@ -95,7 +121,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 while stack[n] != close:
                     n -= 1
                 pop(n)
-                links = 0
+                links = links if close in SIDE else 0
             continue
         if not tag:
             continue
@@ -105,14 +131,27 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
                 pos = shut.end() if shut else end
             continue
+        graphic = bool(side) and side[-1][1] == "svg"
+        if graphic and tag in BREAKOUT and not held["foreignobject"]:
+            pop(side[-1][0])
         if tag == "br":
             parts.append(" ")
             continue
         if tag in INLINE:
             links += tag == "a"
+            if tag in APART:
+                parts.append(" ")
+            continue
+        if tag in SIDE:
+            if not attrs.endswith("/"):
+                side.append((len(stack), tag, parts, link_chars, len(out) if place is None and parts else place))
+                parts, link_chars, place = [], 0, None
+                stack.append(tag)
+                held[tag] += 1
+                names.append(_name(tag, attrs))
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or graphic and attrs.endswith("/"):
             continue
         if stack and stack[-1] == "p":
             pop(len(stack) - 1)
@@ -128,4 +167,6 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         held[tag] += 1
         names.append(_name(tag, attrs))
     flush()
+    pop(0)
+    flush()
     return out

@@ -43,6 +43,30 @@ def test_blocks_of_a_long_page_take_linear_time():
     assert took(20_000) < 40 * took(2_000) + 1
 
 
+def test_text_of_formulas_objects_and_graphics_is_kept():
+    formula = "<math display=inline><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math>"
+    assert texts(f"<article><p>We know {formula} well.</p><p>b</p></article>") == ["We know E=mc2 well.", "b"]
+    assert [b[:2] for b in blocks("<article><object data=x><param name=a><p>Fallback.</p></object><p>b</p></article>")] == [
+        (("article", "p"), "Fallback."), (("article", "p"), "b")]
+    assert texts("<p>a <noscript>b <img></noscript> c</p>") == ["a b c"]
+    svg = '<svg class="plot"><title>Chart</title><path d="M0"/><text>Up <tspan>10</tspan></text><path d="x"></svg>'
+    got = [b[:2] for b in blocks(f'<main><p>one {svg}two</p><p>three</p></main>')]
+    assert got == [(("main", "p"), "one two"), (("main", "p", "svg.plot", "title"), "Chart"), (("main", "p", "svg.plot", "text"), "Up 10"),
+                   (("main", "p"), "three")]
+    assert texts("<ul><li>a<template><li>x</template>b</ul>") == ["ab", "x"]
+    assert texts("<p>a<svg/>b<textarea>no</textarea><iframe><p>no</iframe></p>") == ["ab"]
+    assert [b[2] for b in blocks('<p><a href="/">a<svg><path/></svg>b</a> cd</p>')] == [2]
+
+
+@pytest.mark.parametrize("tag", ["object", "svg", "noscript", "math", "template"])
+def test_an_open_element_ends_with_its_ancestor(tag):
+    got = [b[:2] for b in blocks(f"<body><div><p>a <{tag}> b</p><p>c</p></div><div><{tag}><b>d</b></div><p>e</p></body>")]
+    assert [t for _, t in got][-3:] == ["c", "d", "e"] and " ".join(t for _, t in got) == "a b c d e"
+    assert [p for p, t in got if t in "ce"] == [("body", "div", "p"), ("body", "p")]
+    assert texts(f"a<{tag}>") == ["a"] and texts(f"a<{tag}>b") in (["ab"], ["a b"], ["a", "b"])
+    assert len(blocks(f"<p>a<{tag}>b" * 3000)) >= 3000 or tag == "template"
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     pages = [X.encode(blocks("<article><p>one two</p><p>three.</p></article><footer>x</footer>")), X.encode(blocks("<nav>a</nav><p>b c"))]
