@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
-from caseflow.llm import html_lstm, lang_cnn, multi_index, pattern_packing, quality_gbt, secret_owners, simhash_blocks, toxicity_ftrl, url_cascade, winnow
+from caseflow.llm import (html_lstm, lang_cnn, merkle_manifest, multi_index, pattern_packing, periodic_runs, quality_gbt, secret_owners,
+                          simhash_blocks, toxicity_ftrl, url_cascade, vector_packing, winnow)
 
 QUERIES = {}
 ORACLE = {}
@@ -200,3 +201,106 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = C.table(spark, sf_dir, "pages")
     out = html_lstm.extract(pages, html_lstm.train(pages), keep=["page_id", "url"])
     return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain documents: every id bears loss."""
+    out = vector_packing.pack(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("row.doc_id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def _crc32(doc_id) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The documents of the run query: where the contract plants a period, the words from one on repeat."""
+    h, g = F.col("h"), F.floor(F.col("h") / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1)))  # null elsewhere
+    out = docs.select("doc_id", "text", _crc32(F.col("doc_id")).alias("h")).withColumn("w", words)
+    out = out.select("doc_id", "text", "w", F.size("w").alias("n"), g.alias("g"))
+    out = out.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    out = out.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = (F.col("n") - F.col("a")) / F.col("p")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(times).cast("int")))
+    whole = F.slice(F.concat(F.slice("w", 1, F.col("a")), tail), 1, F.col("n"))
+    return out.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.scan(with_periods(C.table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # longest first, then smallest start and period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("x"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    out = out.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(text, 256).alias("runs_sha256"),
+                     F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("b.x")
+    return out.select("doc_id", "n_runs", F.col("b.start").alias("start"), length.alias("length"), F.col("b.period").alias("period"),
+                      F.floor(1000 * length / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle_manifest.manifest(C.table(spark, sf_dir, "documents"), LEAF, tampered={"text": F.translate("text", UPPER, LOWER)},
+                                   where=_crc32(F.col("doc_id")) % 5 == 0)
+    return out.select("row.doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof_text(F.col("segments")), 256).alias("proof_sha256"),
+                      F.col("folded").alias("folded_root"), "verified")
+
+
+def _crc32_sql(value: str) -> str:
+    """The CRC-32 of a text of ASCII characters: a reduction over its bytes, in it one over the bits of each."""
+    byte = f"list_transform(string_split({value}, ''), lambda c: CAST(ord(c) AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(s, b), CAST(range(8) AS BIGINT[])), lambda k, _: xor(k >> 1, CAST(3988292384 AS BIGINT) * (k & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte}), lambda s, b: {bits}), CAST(4294967295 AS BIGINT))"
+
+
+def _leaf_sql(text: str) -> str:
+    cols = [text if c == "text" else f"CAST({c} AS VARCHAR)" for c in LEAF]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in cols) + ")"
+
+
+def _siblings_sql(nodes: str) -> str:
+    run = "OVER (PARTITION BY tree, level, idx // 16 ORDER BY idx ROWS BETWEEN"
+    return f"""SELECT tree, level, idx,
+    coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {nodes} WHERE n > 1"""
+
+
+_UP = "SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))"
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other
+  FROM documents),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM doc),
+low(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, pos, n, leaf FROM ranked UNION ALL {_UP} FROM low WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+top(tree, level, idx, n, digest) AS (
+  SELECT -1, 0, tree, count(*) OVER (), digest FROM low WHERE n = 1 UNION ALL {_UP} FROM top WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+sib AS ({_siblings_sql("low")}),
+topsib AS ({_siblings_sql("top")}),
+steps AS (
+  SELECT rid, 0 AS part, s.level, l, r FROM ranked d JOIN sib s ON s.tree = d.tree AND s.idx = d.pos >> (4 * s.level)
+  UNION ALL SELECT rid, 1, s.level, l, r FROM ranked d JOIN topsib s ON s.idx = d.tree >> (4 * s.level)),
+path AS (
+  SELECT rid, sha256(string_agg(l || r, '' ORDER BY part, level)) AS proof,
+         list({{'l': l, 'r': r, 'h': ''}} ORDER BY part, level) AS steps FROM steps GROUP BY rid),
+folded AS (
+  SELECT d.*, coalesce(proof, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': '', 'r': '', 'h': coalesce(other, leaf)}}, coalesce(steps, [])),
+                     lambda a, s: {{'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}}).h AS folded_root
+  FROM ranked d LEFT JOIN path USING (rid))
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM folded f JOIN low s ON s.tree = f.tree AND s.n = 1 JOIN top t ON t.n = 1
+"""
