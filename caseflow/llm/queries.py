@@ -95,16 +95,8 @@ def packing_rows(docs: DataFrame) -> DataFrame:
 
 @query
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its SQL judges by ``mixed_case``, so ``n_live`` and the bare tokens here leave out values of one case; ``op1_secret_live`` has them."""
-    return _secret_rows(secret_owners.scan(C.table(spark, sf_dir, "documents"), keep=["doc_id"], random=secret_owners.mixed_case))
+    out = secret_owners.scan(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
 
-
-@query
-def op1_secret_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _secret_rows(secret_owners.scan(C.table(spark, sf_dir, "documents"), keep=["doc_id"]))
-
-
-def _secret_rows(out: DataFrame) -> DataFrame:
     def count(i):
         return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
 
@@ -127,6 +119,8 @@ _CANDIDATES = ",\n".join(
         r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
         "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_-]{20,}"]))
 
+_DISTINCT = "len(list_distinct(string_split({}, '')))"
+
 ORACLE["op1_secret_scans"] = f"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 {_CANDIDATES},
@@ -138,11 +132,19 @@ found AS (
 valued AS (
   SELECT *, a + length(s) AS b,
          CASE kind WHEN 0 THEN regexp_extract(s, '[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END AS v FROM found),
-random AS (
-  SELECT *, len(list_distinct(string_split(v, ''))) >= {secret_owners.MIN_DISTINCT} AND regexp_matches(v, '[0-9]')
-         AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AS rnd
+kept AS (
+  SELECT *, regexp_replace(v, '[^A-Za-z0-9]', '', 'g') AS core, regexp_replace(regexp_replace(v, '[0-9]+', '0', 'g'), '[A-Za-z]+', 'a', 'g') AS runs
   FROM valued WHERE (kind = 0 AND length(v) >= {secret_owners.ASSIGN_MIN}) OR (kind = 1 AND length(v) >= {secret_owners.ACCESS_MIN})
          OR (kind = 2 AND length(v) >= {secret_owners.HEX_MIN}) OR kind = 3),
+random AS (
+  SELECT *, CASE
+      WHEN length(v) >= {secret_owners.ACCESS_MIN} AND regexp_full_match(v, 'AKIA[A-Z0-9]+') THEN {_DISTINCT.format("v[5:]")} >= {secret_owners.ACCESS_DISTINCT}
+      WHEN {_DISTINCT.format("v")} >= {secret_owners.MIN_DISTINCT} AND regexp_matches(v, '[0-9]')
+           AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') THEN true
+      WHEN core <> lower(core) AND core <> upper(core) THEN false
+      ELSE {_DISTINCT.format("core")} >= CASE WHEN regexp_full_match(core, '[0-9a-f]+|[0-9A-F]+') THEN {secret_owners.HEX_DISTINCT} ELSE {secret_owners.MIN_DISTINCT} END
+           AND (2 * length(runs) - length(replace(runs, 'a0', '')) - length(replace(runs, '0a', ''))) / 2 >= greatest(2, length(core) / {secret_owners.PER_TURN})
+    END AS rnd FROM kept),
 cand AS (
   SELECT * FROM random r WHERE kind < 3 OR (rnd AND NOT EXISTS (
     SELECT 1 FROM random o WHERE o.rid = r.rid AND o.kind < 3 AND o.a < r.b AND r.a < o.b))),

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +69,11 @@ def looks_random(value: str) -> bool:
 
 
 def mixed_case(value: str) -> bool:
-    """The rule in the SQL of ``op1_secret_scans``; no value of one case passes it."""
     return (len(set(value)) >= MIN_DISTINCT and any("0" <= c <= "9" for c in value)
             and any("a" <= c <= "z" for c in value) and any("A" <= c <= "Z" for c in value))
 
 
-def find(text: str, runs: bool = True, random=looks_random) -> list[tuple[int, int, int, str]]:
+def find(text: str, runs: bool = True) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of all candidates by start, then kind.  ``runs``
     false: the text is known to have no run of ``ACCESS_MIN`` token characters."""
     out = []
@@ -88,13 +88,13 @@ def find(text: str, runs: bool = True, random=looks_random) -> list[tuple[int, i
             out += [(a + m.start(), 2, a + m.end(), m[0]) for m in HEX.finditer(text[a:b]) if m.end() - m.start() >= HEX_MIN]
         known = sorted((a, b) for a, _, b, _ in out)
         for a, b in opaque:
-            if random(text[a:b]) and not any(s < b and a < e for s, e in known):
+            if looks_random(text[a:b]) and not any(s < b and a < e for s, e in known):
                 out.append((a, 3, b, text[a:b]))
     out.sort()
     return out
 
 
-def _scan(texts: pa.Array, random=looks_random) -> list:
+def _scan(texts: pa.Array) -> list:
     buf, offs = C.text_buffer(texts)
     starts, ends, woffs = C.word_spans(buf, offs, _RUN)
     long_run = np.zeros(len(texts), bool)
@@ -102,35 +102,45 @@ def _scan(texts: pa.Array, random=looks_random) -> list:
     long_run[doc] = True
     count, flat = np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts.to_pylist()):
-        got = find(t, bool(long_run[i]), random) if t else []
+        got = find(t, bool(long_run[i])) if t else []
         count[i] = len(got)
         flat += got
     rows = pa.StructArray.from_arrays(
         [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()),
          pa.array([x[2] for x in flat], pa.int64()),
          pa.array([hashlib.sha256(x[3].encode()).digest() for x in flat], pa.binary()),
-         pa.array([random(x[3]) or x[1] == 2 for x in flat], pa.bool_())],
+         pa.array([looks_random(x[3]) or x[1] == 2 for x in flat], pa.bool_())],
         ["start", "kind", "end", "hash", "random"])
     return [C.lists(rows, count)]
 
 
-def secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
-            keep: list[str] | None = None, random=looks_random) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: all documents (``rid``, ``row``), and those with spans
-    (``rid``, ``spans``: array of ``SPAN`` by start, then kind; ``repos`` and ``owners``
-    are the numbers of distinct repositories and owners that carry the span's value).
-    ``random`` tells of a value whether it looks random."""
+def candidates(docs: DataFrame, text_col: str, repo_col: str, owner_col: str, keep: list[str] | None) -> DataFrame:
+    """Written table of all documents: ``rid``, ``row``, ``repo``, ``owner``, ``found`` (candidate spans with the value's hash)."""
     cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     src = docs.select(F.struct(F.struct(*cols).alias("row"), F.col(f"`{repo_col}`").cast("string").alias("repo"),
                                F.col(f"`{owner_col}`").cast("string").alias("owner")).alias("row"),
                       F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = C.annotate(src, "found array<struct<start:long,kind:int,end:long,hash:binary,random:boolean>>",
-                      lambda texts: _scan(texts, random))
-    rows = C.written(rows.select(F.monotonically_increasing_id().alias("rid"), "row.*", "found"), "secret-candidates")
+    rows = C.annotate(src, "found array<struct<start:long,kind:int,end:long,hash:binary,random:boolean>>", _scan)
+    return C.written(rows.select(F.monotonically_increasing_id().alias("rid"), "row.*", "found"), "secret-candidates")
+
+
+def frequencies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written table (``hash``, ``repos``, ``owners``) of all candidate values, and the candidates, one a row."""
     cand = rows.where(F.size("found") > 0).select("rid", "repo", "owner", F.explode("found").alias("f")).select("rid", "repo", "owner", "f.*")
     # distinct (value, repository, owner) first: a value copied everywhere is one row per place before it is counted
     places = cand.select("hash", "repo", "owner").distinct()
     freq = places.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
+    # written, so that both sides of a join with it are plain shuffles, and that of a hot value is split
+    return C.written(freq, "secret-frequencies"), cand
+
+
+def secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
+            keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: all documents (``rid``, ``row``), and those with spans
+    (``rid``, ``spans``: array of ``SPAN`` by start, then kind; ``repos`` and ``owners``
+    are the numbers of distinct repositories and owners that carry the span's value)."""
+    rows = candidates(docs, text_col, repo_col, owner_col, keep)
+    freq, cand = frequencies(rows)
     spans = cand.join(freq, "hash").select(
         "rid", "start", "kind", "end", ((F.col("owners") == 1) & F.col("random")).alias("live"),
         (F.col("owners") >= EXAMPLE_OWNERS).alias("example"), "repos", "owners")
@@ -162,22 +172,23 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **op
     """``docs`` with every reported span of ``text_col`` replaced by ``mark`` (overlapping spans by one)."""
     rows, found = secrets(docs, text_col=text_col, **options)
     found = _small(found)
-    text = F.col(f"row.`{text_col}`").alias("text")
+    text = F.col(f"row.`{text_col}`").cast("string").alias("text")
 
-    def cut(batches):
-        for b in batches:
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for whole, found_in in batches:
             texts = []
-            for t, spans in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+            for t, spans in zip(whole.to_pylist(), found_in.to_pylist()):
                 parts, at = [], 0
                 for s in spans:
                     if s["end"] > at:
                         parts += [t[at:s["start"]], mark] if s["start"] >= at else []
                         at = s["end"]
                 texts.append("".join([*parts, t[at:]]) if spans else t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+            yield pa.array(texts, pa.string())
 
-    hit = rows.join(found, "rid").select("row", "spans", text)
+    masked = F.arrow_udf(cut, "string")
+    hit = rows.join(found, "rid").select("row", masked(text, "spans").alias("text"))
     done = rows.join(found.select("rid"), "rid", "left_anti").select("row", text)
-    done = done.unionByName(hit.mapInArrow(cut, done.schema))
+    done = done.unionByName(hit)
     fields = [F.col(f"row.`{c}`") if c != text_col else F.col("text").alias(text_col) for c in docs.columns]
     return done.select(*fields)

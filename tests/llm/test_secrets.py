@@ -2,9 +2,9 @@
 
 import re
 
-from pyspark.sql import functions as F
-
+from caseflow.llm import queries as Q
 from caseflow.llm import secret_owners as S
+from tests.conftest import SF001
 from tests.llm import cases
 
 HEX = "0123456789abcdef" * 3
@@ -91,3 +91,75 @@ def test_values_of_one_case_and_one_owner_are_live(spark):
     assert not any(s.live for i in range(len(PLAIN)) for s in out[200 + i])
     clean = {r.doc_id: r.text for r in S.redact(docs).collect()}
     assert {clean[i] for i in range(len(ONE_CASE))} == {"[SECRET] and [SECRET]"}
+
+
+def plain_random(v):
+    """The rule in other words: count characters and changes of class by hand."""
+    if len(v) >= 16 and re.fullmatch("AKIA[A-Z0-9]+", v):
+        return len({*v[4:]}) >= 8
+    low, up, num = (any(c in a for c in v) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+    if low and up:
+        return num and len({*v}) >= 10
+    core = [c for c in v if c.isalnum()]
+    turns = sum(a.isalnum() and b.isalnum() and a.isdigit() != b.isdigit() for a, b in zip(v, v[1:]))
+    need = 8 if core and all(c in "0123456789abcdef" for c in core) or core and all(c in "0123456789ABCDEF" for c in core) else 10
+    return len({*core}) >= need and turns >= 2 and 8 * turns >= len(core)
+
+
+def plain_rows(docs):
+    """(doc_id, spans, n_live, n_example) of all documents, by looking at everything."""
+    names = ["assign", "access", "hex", "owned"]
+    found = []
+    for _, text, owner in docs:
+        text = text or ""
+        got = []
+        for a, k, b in base(text):
+            v = text[a:b]
+            got.append((a, k, b, re.search(r"[A-Za-z0-9+/_.=-]+\Z", re.split(r"[:=]\x20*[\"']?", v, maxsplit=1)[1])[0] if k == 0 else v))
+        bare = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text)]
+        got += [x for x in bare if plain_random(x[3]) and not any(a < x[2] and x[0] < b for a, _, b, _ in got)]
+        found.append(sorted(got))
+    owners = {}
+    for (_, _, owner), got in zip(docs, found):
+        for *_, v in got:
+            owners.setdefault(v, set()).add(owner)
+    owners = {v: len(s - {None}) for v, s in owners.items()}
+    out = []
+    for (i, _, _), got in zip(docs, found):
+        live = [owners[v] == 1 and (k == 2 or plain_random(v)) for _, k, _, v in got]
+        kept = [(x, on) for x, on in zip(got, live) if x[1] < 3 or on]
+        out.append((i, ",".join(f"{names[k]}:{a}:{b}" for (a, k, b, _), _ in kept), sum(on for _, on in kept), sum(owners[x[3]] >= 5 for x, _ in kept)))
+    return sorted(out, key=str)
+
+
+def test_query_equals_plain_version(spark, tmp_path):
+    values = [*ONE_CASE, *PLAIN, LIVE, HEX, LIVE + "=", "A1b2C3d4E5", "ABCDEF0123456789ABCDEF", "zz99zz99zz99zz99zz99zz"]
+    rows = [(r.doc_id, r.text, "en", r.source) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    rows += [(9000 + 50 * i + k, f"{v} x api_key: '{v}' {v}{v}", "en", f"t{k}") for i, v in enumerate(values) for k in range([1, 2, 6][i % 3])]
+    rows += cases.TEXTS
+    cases.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["op1_secret_scans"](spark, str(tmp_path)).select("doc_id", "spans", "n_live", "n_example").collect()
+    want = plain_rows([(i, t, s) for i, t, _, s in rows])
+    assert sorted(map(tuple, got), key=str) == want
+    assert any("owned" in w[1] for w in want) and any(w[3] for w in want)
+
+
+def test_a_copied_value_is_split_over_tasks(spark):
+    """A third of all rows hold one value: the join with its counts is split, not run in one task."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(i, f"password={LIVE if i % 3 else LIVE + str(i)}", "en", f"s{i % 7}") for i in range(6000)]
+        docs = cases.documents(spark, rows).repartition(16)
+        freq, cand = S.frequencies(S.candidates(docs, "text", "doc_id", "source", ["doc_id"]))
+        joined = cand.join(freq, "hash")
+        assert joined.count() == 6000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
