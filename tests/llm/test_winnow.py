@@ -95,3 +95,39 @@ def test_items_digest_of_the_query(spark):
     from caseflow.llm import queries as Q
     out = Q.op3_decontamination(spark, "/root/testdata/sf0.001").where("not contaminated").first()
     assert out.items_sha256 == hashlib.sha256(b"").hexdigest() and out.n_items == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1, 6])
+def test_equal_hashes_of_different_words_hit_nothing(spark, rng, monkeypatch, bits):
+    """Word hashes cut down to a few values: the words decide, for whole windows and short items."""
+    real = winnow._gram_at
+    monkeypatch.setattr(winnow, "_gram_at", lambda h, at, n: real(h, at, n) & winnow.np.uint64((1 << bits) - 1))
+    vocab = ["a", "b", "c", "d"]
+    items = [(i, " ".join(vocab[int(k)] for k in rng.integers(0, 4, int(rng.integers(1, 20))))) for i in range(12)]
+    texts = [" ".join(vocab[int(k)] for k in rng.integers(0, 4, int(rng.integers(0, 40)))) for _ in range(30)]
+    docs = [(i, t + " " + items[i % 12][1]) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shorts = list(range(1, 10))
+    # the prints are made here, since a worker does not see the change
+    def table(rows, whole):
+        arr = winnow.pa.array([t for _, t in rows])
+        got = winnow._prints(arr, shorts, None, whole)[1].to_pylist()
+        return [(i, p["fp"], p["span"], p["at"], p["pre"], p["ctx"]) for (i, _), ps in zip(rows, got) for p in ps]
+    schema = "id long, fp long, span int, at long, pre int, ctx array<string>"
+    mine = spark.createDataFrame(table(docs, False), schema)
+    other = spark.createDataFrame(table(items, True), schema).selectExpr("fp", "span", "pre", "ctx", "cast(id as string) as item").distinct()
+    found = winnow.extended(mine.select(*winnow.PRINT).distinct(), other)
+    back = mine.join(found, winnow.PRINT).collect()
+    hit, ids = {}, {}
+    for r in back:
+        core = 5 if r.span == 10 else r.span
+        hit.setdefault(r.id, set()).update(range(r["at"] - r.before, r["at"] + core + r.behind))
+        ids.setdefault(r.id, set()).add(r.item)
+    want = brute(docs, items)
+    assert sorted(((i, len(words(t)), len(hit.get(i, ())), sorted(ids.get(i, ())), i in hit) for i, t in docs), key=str) == want
+
+
+def test_a_text_keeps_few_fingerprints(rng):
+    h = rng.integers(0, 1 << 62, 10_000).astype(winnow.np.uint64)
+    at, _ = winnow._selected(h, winnow.np.zeros(10_000, int))
+    assert 0.2 * 10_000 < len(at) < 0.4 * 10_000 and winnow.np.diff(at).max() <= 6
