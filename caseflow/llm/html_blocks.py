@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 #: Fixed sets of element names (HTML standard).
 RAW = {"script", "style", "iframe", "textarea"}
@@ -34,7 +34,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "html", "body", "article", "section", "div", "template"}
 
-#: A path holds at most so many of the outermost and of the innermost open elements.
+#: A deeper path holds so many of the outermost and of the innermost open elements, and between them each other open name once.
 OUTER, INNER = 8, 16
 
 _TOKEN = re.compile(
@@ -57,19 +57,32 @@ def _name(tag: str, attrs: str) -> str:
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of every leaf with text, in page order."""
-    out, stack, names, parts, held = [], [], [], [], Counter()
+    out, stack, names, parts = [], [], [], []
+    # depths at which each element is open, and how often each name of a path is
+    held, seen = defaultdict(list), Counter()
     links = link_chars = 0
     # of the open ``SIDE`` elements: depth, name, and what is held of the block around; ``place``: where a block goes that has one inside
     side, place = [], None
     page = page or ""
 
+    def where():
+        if len(names) <= OUTER + INNER:
+            return tuple(names)
+        ends = {*names[:OUTER], *names[-INNER:]}
+        return (*names[:OUTER], *[x for x in seen if x not in ends], *names[-INNER:])
+
+    def push(tag, attrs):
+        held[tag].append(len(stack))
+        stack.append(tag)
+        names.append(_name(tag, attrs))
+        seen[names[-1]] += 1
+
     def flush():
         nonlocal link_chars, place
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = tuple(names) if len(names) <= OUTER + INNER else (*names[:OUTER], *names[-INNER:])
-                out.insert(len(out) if place is None else place, (path, text, min(link_chars, len(text))))
+                out.insert(len(out) if place is None else place, (where(), text, min(link_chars, len(text))))
             parts.clear()
         link_chars, place = 0, None
 
@@ -84,8 +97,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         cut(n)
 
     def cut(n):
-        for name in stack[n:]:
-            held[name] -= 1
+        for tag, name in zip(stack[n:], names[n:]):
+            held[tag].pop()
+            seen[name] -= 1
+            if not seen[name]:
+                del seen[name]
         del stack[n:]
         del names[n:]
 
@@ -117,10 +133,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 continue
             flush()
             if held[close]:
-                n = len(stack) - 1
-                while stack[n] != close:
-                    n -= 1
-                pop(n)
+                pop(held[close][-1])
                 links = links if close in SIDE else 0
             continue
         if not tag:
@@ -146,26 +159,18 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if not attrs.endswith("/"):
                 side.append((len(stack), tag, parts, link_chars, len(out) if place is None and parts else place))
                 parts, link_chars, place = [], 0, None
-                stack.append(tag)
-                held[tag] += 1
-                names.append(_name(tag, attrs))
+                push(tag, attrs)
             continue
         flush()
         if tag in VOID or graphic and attrs.endswith("/"):
             continue
         if stack and stack[-1] == "p":
             pop(len(stack) - 1)
-        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - INNER), -1):
-            if tag not in ENDS:
-                break
-            if stack[i] in ENDS[tag]:
-                pop(i)
-                break
-            if stack[i] in SCOPE:
-                break
-        stack.append(tag)
-        held[tag] += 1
-        names.append(_name(tag, attrs))
+        if tag in ENDS:
+            near = max((held[x][-1] for x in ENDS[tag] if held[x]), default=-1)
+            if near > max((held[x][-1] for x in SCOPE if held[x]), default=-1):
+                pop(near)
+        push(tag, attrs)
     flush()
     pop(0)
     flush()

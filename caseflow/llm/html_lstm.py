@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from caseflow.llm import common as C
 from caseflow.llm.html_blocks import blocks
 
-#: Bounds of the training sample: pages, and characters of a page (longer ones are not sampled).
+#: Bounds of the training sample: pages, characters of a page (longer ones are not sampled),
+#: and characters of a block's text that varied pages take into inserted boilerplate.
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 40_000
+SNIPPET_CHARS = 400
 PATH_SIZE, PATH_DIM = 4096, 24
 WORD_SIZE, WORD_DIM = 4096, 8
 NUMBERS = 9
@@ -317,18 +319,20 @@ def vary(page: str, texts: list[str], rng: np.random.Generator) -> str:
     return head + before + opened + inner + closed + after + tail
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Labeller | None:
-    """Fit on at most ``sample_pages`` pages of at most ``SAMPLE_CHARS`` characters, each as it is and three times varied."""
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES,
+          sample_chars: int = SAMPLE_CHARS, snippet_chars: int = SNIPPET_CHARS) -> Labeller | None:
+    """Fit on at most ``sample_pages`` pages of at most ``sample_chars`` characters, each as it is and
+    three times varied with inserted texts of at most ``snippet_chars`` characters."""
     text = F.col(f"`{html_col}`").cast("string")
     rows = pages.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"), text.alias("html"))
-    rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    rows = rows.where(F.col("html").isNotNull() & (F.length("html") <= sample_chars))
     # the smallest hashes first (eight bytes a row), then only those pages
     first = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     got = rows.where(F.col("h") <= (first[-1] if first else 0)).groupBy("h").agg(F.min("html").alias("html"))
     got = [r.html for r in got.orderBy("h").collect()] if first else []
     rng = np.random.default_rng(12)
     plain = [blocks(p) for p in got]
-    texts = [b[1][:400] for p in plain for b in p if len(b[1]) > 20] or ["text"]
+    texts = [b[1][:snippet_chars] for p in plain for b in p if len(b[1]) > 20] or ["text"]
     enc, labels = [], []
     for page, own in zip(got, plain):
         for leaf in [own, *(blocks(vary(page, texts, rng)) for _ in range(3))]:

@@ -100,9 +100,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, alpha: float = 2
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text",
-          id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Weights:
-    """Fit on at most ``sample_rows`` labelled rows that are not held out; only their feature indices reach the driver."""
-    rows = C.training_rows(docs, labels, label_col, sample_rows, text_col, id_col, SAMPLE_CHARS)
+          id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Weights:
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, with texts of at most
+    ``sample_chars`` characters; only their feature indices reach the driver."""
+    rows = C.training_rows(docs, labels, label_col, sample_rows, text_col, id_col, sample_chars)
 
     def distinct(texts):
         idx, of = features(texts)

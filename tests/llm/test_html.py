@@ -130,3 +130,22 @@ def test_another_page_form_and_defined_cases(spark, model):
     assert got[5].n_chars > 29_000 * 25
     assert {r.text for r in X.extract(df, None).collect()} == {""}
     assert X.train(df.limit(0)) is None and X.extract(df.limit(0), model).count() == 0
+
+
+def test_a_deep_path_keeps_the_name_of_every_container():
+    """A comment list between many plain containers, and list items far above the next one."""
+    page = "<div>" * 10 + '<div class="comments">' + "<div>" * 20 + "<p>a comment that is deep down" + "</div>" * 31 + "<p>after"
+    leaf = blocks(page)
+    assert [b[1] for b in leaf] == ["a comment that is deep down", "after"]
+    assert any("comments" in x.split(".") for x in leaf[0][0]) and not any("comments" in x for x in leaf[1][0])
+    assert X.weak_label(leaf[0][0], False) == 0
+    item = "<ul><li>one" + "<x-a>" * 40 + "deep<li>two</ul>"
+    assert [b[0][-1] for b in blocks(item)] == ["li", "x-a", "li"] and len(blocks(item)[2][0]) == 2
+    assert len(blocks("<div>" * 5000 + "<p>x" * 2000)) == 2000
+
+
+def test_training_bounds_are_parameters(spark):
+    page = "<html><body><nav><a href='/'>home</a></nav><article><p>" + "some plain words of text " * 40 + "</p></article></body></html>"
+    pages = spark.createDataFrame([(1, page), (2, page)], "page_id long, html string")
+    assert X.train(pages, sample_chars=100) is None
+    assert X.train(pages, sample_chars=5000, snippet_chars=10) is not None
