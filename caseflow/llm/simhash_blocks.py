@@ -167,10 +167,11 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain shuffles, and that of a node with very many links is split
+        low = C.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = C.written(e, "large-star")  # every u now hangs under a v < u
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = C.written(e.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         down = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         e = C.written(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
