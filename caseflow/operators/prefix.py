@@ -19,13 +19,14 @@ from caseflow.session import shared_table
 ROWS_PER_RANGE = 1 << 20
 
 
-def ranged(df: DataFrame, order: Sequence[Column], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], rows_per_range: int = ROWS_PER_RANGE, stored: bool = False) -> DataFrame:
     """``df`` with ``_rid``: consecutive ranges of about ``rows_per_range`` rows in ``order``.
 
     The number of ranges follows the counted rows.  Rows that compare equal share
     a range, so ``order`` should end in something unique.  The result is read
-    from a written table: the bounds are sampled once, not once per use."""
-    whole = shared_table(df, "unranged")
+    from a written table: the bounds are sampled once, not once per use.  ``stored``:
+    ``df`` is read from a written table already."""
+    whole = df if stored else shared_table(df, "unranged")
     n = -(-whole.count() // max(1, rows_per_range))
     if n <= 1:
         return whole.withColumn("_rid", F.lit(0))
@@ -38,13 +39,13 @@ def nulls_last(cols: Sequence[str]) -> list[Column]:
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE,
-                 inclusive: bool = False, suffix: str = "_before", by: Sequence[str] = ()) -> DataFrame:
+                 inclusive: bool = False, suffix: str = "_before", by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """For each row, the sum of each ``value_col`` over all rows earlier in
     ``order_col`` order (``inclusive`` adds the row itself), within equal ``by``
     columns.  ``order_col`` should be unique within ``by``; NULLs come last."""
     by = list(by)
     keys = nulls_last([*by, order_col])
-    rows = ranged(df, keys, rows_per_range)
+    rows = ranged(df, keys, rows_per_range, stored)
     totals = rows.groupBy(*by, "_rid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     # one row per range (and group in it)
     wb = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from caseflow.session import shared_table
 
 from caseflow.plans import evaluate as EV
 from caseflow.plans import ml as M
+from caseflow.plans import pruning as P
 from caseflow.plans.naive_bayes import ml_naive_bayes
 from caseflow.plans.neighbours import ml_knn
 from caseflow.plans.catalog import BILL_FEATURES_SQL, q_bill_features, r6, register
@@ -43,7 +44,16 @@ FROM bf JOIN (
 
 @register("ml_stratified_split", with_ctes(STRATIFIED_SQL, **_BF), ctes=False)
 def q_ml_stratified_split(spark, d):
-    return M.ml_stratified_labels(q_bill_features(spark, d).select(*MODEL_COLS), 0.85, 42)
+    return M.ml_stratified_labels(model_table(spark, d), 0.85, 42)
+
+
+@register("ml_stratified_folds", with_ctes("""
+SELECT bf.bill_id, no_days, party, ac_count, state, bf.status, CAST((r.pos - 1) % 10 AS INT) AS fold
+FROM bf JOIN (
+  SELECT bill_id, status, row_number() OVER (PARTITION BY status ORDER BY md5(CAST(bill_id AS VARCHAR) || '|11'), CAST(bill_id AS VARCHAR)) AS pos
+  FROM (SELECT DISTINCT bill_id, status FROM bf) keys) r ON r.bill_id = bf.bill_id AND r.status = bf.status""", **_BF), ctes=False)
+def q_ml_stratified_folds(spark, d):
+    return M.ml_stratified_folds(model_table(spark, d), 10, 11)
 
 
 @register("ml_bernoulli_split", _split_sql(0.66, 7), ctes=False)
@@ -267,7 +277,13 @@ def q_ml_cv(spark, d):
 @register("ml_cp_table")
 def q_ml_cp_table(spark, d):
     train, _ = _train_test(spark, d)
-    return M.ml_cp_table(train)
+    return P.ml_cp_table(train)
+
+
+@register("ml_pruned_tree")
+def q_ml_pruned_tree(spark, d):
+    """Hold-out predictions of the tree pruned to the cross-validated complexity."""
+    return _predictions(spark, d, P.ml_pruned_tree)
 
 
 FITS = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}

@@ -59,24 +59,40 @@ def ml_split(df: DataFrame, p: float, seed: int = 42, key_cols: Sequence[str] =
     return df.withColumn(col, F.when(h < F.lit(hash_threshold(p)), F.lit("train")).otherwise(F.lit("test")))
 
 
-def ml_stratified_labels(df: DataFrame, p: float = 0.85, seed: int = 42, key: str = "bill_id", label: str = LABEL,
-                         col: str = "split") -> DataFrame:
-    """Split within each class: of the n distinct keys of a class, the ceil(p n) with the
-    smallest key hash are ``train``, so even a rare class has its share on both sides.
+def _class_ranks(df: DataFrame, seed: int, key: str, label: str) -> DataFrame:
+    """(``_k``, ``_y``, ``_at``, ``_n``): the distinct keys of each class, their place in the order of a key hash, and their number.
 
-    All rows of a key and class stay together.  Ranks come from a distributed
-    running count over (class, hash); NULL keys or classes are groups like others."""
+    Places come from a distributed running count over (class, hash); NULL keys or classes are groups like others."""
     keys = df.select(F.col(key).alias("_k"), F.col(label).alias("_y")).distinct()
     place = F.concat(F.md5(F.concat(F.coalesce(F.col("_k").cast("string"), F.lit("")), F.lit(f"|{seed}"))),
                      F.lit("|"), F.coalesce(F.col("_k").cast("string"), F.lit("")))
-    ranked = running_sums(keys.select("_k", "_y", place.alias("_h"), F.lit(1).cast("long").alias("_one")), "_h", ["_one"], by=["_y"])
+    keys = shared_table(keys.select("_k", "_y", place.alias("_h"), F.lit(1).cast("long").alias("_one")), "class-keys")
+    ranked = running_sums(keys, "_h", ["_one"], by=["_y"], stored=True)
     size = keys.groupBy(F.col("_y").alias("_cy")).agg(F.count("*").alias("_n"))  # one row per class
-    ranked = ranked.join(size, F.col("_y").eqNullSafe(F.col("_cy")))
-    side = ranked.select("_k", "_y", F.when(F.col("_one_before") < F.ceil(F.col("_n") * F.lit(float(p))), F.lit("train"))
-                         .otherwise(F.lit("test")).alias(col))
+    return ranked.join(size, F.col("_y").eqNullSafe(F.col("_cy"))).select("_k", "_y", F.col("_one_before").alias("_at"), "_n")
+
+
+def _with_class_column(df: DataFrame, ranks: DataFrame, value, key: str, label: str, col: str) -> DataFrame:
+    """``df`` with a column made of its rows' class ranks: all rows of a key and class agree."""
+    side = ranks.select("_k", "_y", value.alias(col))
     return df.join(side, df[key].eqNullSafe(side["_k"]) & df[label].eqNullSafe(side["_y"])).select(*df.columns, col)
 
 
+def ml_stratified_labels(df: DataFrame, p: float = 0.85, seed: int = 42, key: str = "bill_id", label: str = LABEL,
+                         col: str = "split") -> DataFrame:
+    """Split within each class: of the n distinct keys of a class, the ceil(p n) with the
+    smallest key hash are ``train``, so even a rare class has its share on both sides."""
+    side = F.when(F.col("_at") < F.ceil(F.col("_n") * F.lit(float(p))), F.lit("train")).otherwise(F.lit("test"))
+    return _with_class_column(df, _class_ranks(df, seed, key, label), side, key, label, col)
+
+
+def ml_stratified_folds(df: DataFrame, k: int = 10, seed: int = 11, key: str = "bill_id", label: str = LABEL,
+                        col: str = "fold") -> DataFrame:
+    """Folds drawn within each class: its distinct keys, in the order of a key hash, are dealt to
+    folds 0 to k - 1 in turn, so the folds of a class differ by one key at most."""
+    return _with_class_column(df, _class_ranks(df, seed, key, label), (F.col("_at") % k).cast("int"), key, label, col)
+
+
 def ml_stratified_split(df: DataFrame, p: float = 0.85, seed: int = 42, key: str = "bill_id",
                         label: str = LABEL) -> tuple[DataFrame, DataFrame]:
     s = shared_table(ml_stratified_labels(df, p, seed, key, label), "split")
@@ -272,19 +288,19 @@ def ml_cv(df: DataFrame, k: int = 10, repeats: int = 5, depths: Sequence[int] =
           seed: int = 11, parallelism: int = 4) -> DataFrame:
     """Repeated k-fold cross-validation of the decision tree over a depth grid
     (the reference's complexity-parameter table): one row per (repeat, depth)
-    with mean AUC over the folds.  Folds are hashes of the bill key."""
+    with mean AUC over the folds.  Folds are drawn within each class."""
     spark = df.sparkSession
     # encoders are fitted once (as a formula interface encodes before resampling);
     # only the tree is refitted per fold, on a materialised encoded table
     enc = Pipeline(stages=ml_encode()).fit(df)
-    encoded = enc.transform(df).select("bill_id", "features", "label")
+    encoded = shared_table(enc.transform(df).select("bill_id", LABEL, "features", "label"), "encoded")
     tree = DecisionTreeClassifier(seed=1, maxBins=64)
     grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label",
                                        metricName="areaUnderROC")
     rows = []
     for r in range(repeats):
-        data = reliable_checkpoint(fold_column(encoded, k, seed + r))
+        data = shared_table(ml_stratified_folds(encoded, k, seed + r).select("features", "label", "fold"), "folds")
         cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
                             parallelism=parallelism, numFolds=k)
         model = cv.fit(data)
@@ -293,23 +309,6 @@ def ml_cv(df: DataFrame, k: int = 10, repeats: int = 5, depths: Sequence[int] =
     return spark.createDataFrame(rows, "repeat int, max_depth int, auc double")
 
 
-def ml_cp_table(df: DataFrame, gains: Sequence[float] = (0.0, 0.001, 0.01, 0.05), max_depth: int = 8, k: int = 5,
-                seed: int = 11, parallelism: int = 4) -> DataFrame:
-    """The pruning table: for each complexity value (least information gain of a split) the
-    leaves of the tree on all rows and the cross-validated error (1 - AUC) with its spread."""
-    enc = Pipeline(stages=ml_encode()).fit(df)
-    data = shared_table(fold_column(enc.transform(df).select("bill_id", "features", "label"), k, seed), "encoded")
-    tree = DecisionTreeClassifier(seed=1, maxBins=64, maxDepth=max_depth)
-    grid = ParamGridBuilder().addGrid(tree.minInfoGain, list(gains)).build()
-    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=parallelism, numFolds=k).fit(data)
-    rows = []
-    for pm, mean, sd in zip(grid, cv.avgMetrics, cv.stdMetrics):
-        leaves = (tree.copy(pm).fit(data).numNodes + 1) // 2
-        rows.append((float(pm[tree.minInfoGain]), int(leaves), 1 - float(mean), float(sd)))
-    return df.sparkSession.createDataFrame(rows, "complexity double, leaves int, cv_error double, cv_sd double")
-
-
 # --- prediction ----------------------------------------------------------------------
 
 LABELS = ("Passed", "REFERRED")  # label index order (alphabetical)
@@ -352,7 +351,7 @@ def ml_center_scale(df: DataFrame, cols: Sequence[str] = NUM_COLS) -> DataFrame:
 def ml_oof(df: DataFrame, fits: dict, k: int = 5, seed: int = 5) -> DataFrame:
     """``df`` (written once) with ``fold`` and out-of-fold P(Passed) columns, one per entry
     (name -> fit function) of ``fits``: fit on k-1 folds, score the held-out fold, union."""
-    data = shared_table(fold_column(df, k, seed), "folds")
+    data = shared_table(ml_stratified_folds(df, k, seed), "folds")
     out = None
     for f in range(k):
         rest = data.where(F.col("fold") != f)
