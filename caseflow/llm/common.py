@@ -19,6 +19,9 @@ from caseflow.session import shared_table
 
 #: Text bytes that a scan turns into numpy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of texts that Spark sends to Python at a time; one longer text is a batch of its own.
+BATCH_BYTES = 1 << 23
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,25 +49,32 @@ def packed(df: DataFrame, text_col: str, keep: list[str] | None = None) -> DataF
     return df.select(F.struct(*cols).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` instead of Spark's 64 MB, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def annotate(src: DataFrame, fields: str, fn: Callable, per_task: bool = False) -> DataFrame:
     """Scan ``packed`` rows in Arrow batches; ``fn(texts)`` gets the text array of
     a chunk and returns one array per field of the DDL string ``fields``.  With
     ``per_task`` each task calls ``fn()`` once for the function to use (state of
-    the task).  The result has ``row`` and the fields."""
+    the task).  The result has ``row`` and the fields.
+
+    Only the texts go to Python, in batches bounded by bytes, and only the fields
+    come back; ``row`` stays with Spark.  The scan counts as nondeterministic, so that
+    it runs once per row whatever filters follow."""
+    bound_batches(src.sparkSession)
     extra = T.StructType.fromDDL(fields)
-    schema = T.StructType([src.schema["row"], *extra.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = fn() if per_task else fn
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for lo, hi in chunk_bounds(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                out = judge(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *out], names=["row", *extra.names])
-
-    return src.mapInArrow(run, schema)
+        for texts in batches:
+            for lo, hi in chunk_bounds(texts):
+                yield pa.StructArray.from_arrays(judge(texts.slice(lo, hi - lo)), extra.names)
+
+    found = F.arrow_udf(run, extra).asNondeterministic()
+    return src.select("row", found("text").alias("found")).select("row", "found.*")
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

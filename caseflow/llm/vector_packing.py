@@ -227,6 +227,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str | None, prompts: bool):
 
 def _source(docs: DataFrame, text_col: str, prompt_col: str | None, keep: list[str] | None) -> DataFrame:
     """``row`` (kept columns; by default all but the texts), ``text`` and perhaps ``prompt``."""
+    C.bound_batches(docs.sparkSession)
     texts = [text_col] + ([prompt_col] if prompt_col else [])
     cols = [F.col(f"`{c}`") for c in (keep if keep is not None else [c for c in docs.columns if c not in texts])]
     return docs.select(F.struct(*cols).alias("row"),
