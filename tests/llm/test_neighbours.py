@@ -76,3 +76,20 @@ def test_few_rows_and_empty_tables(spark):
     one = df.where("vec_id = 0")
     assert M.nearest(one, one).count() == 0
     assert M.nearest(df, none).count() == 0
+
+
+def test_components_of_any_size(spark, rng):
+    """Cosines of vectors whose squares overflow or vanish, equal to those of the same directions."""
+    x = rng.normal(size=(60, 8))
+    size = np.array([1.0, 1e200, 1e-200, 1e300, 1e-300])[np.arange(60) % 5]
+    big = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, size))], "vec_id long, embedding array<double>")
+    got = M.nearest(big, big.where("vec_id % 5 < 5 and vec_id < 20"), 5).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 100
+    for r in got:
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12
+    found = 0
+    for q in range(20):
+        near = sorted((-round(float(unit[q] @ unit[i]), 12), i) for i in range(60) if i != q)[:5]
+        found += len({i for _, i in near} & {r.vec_id for r in got if r.query_id == q})
+    assert found >= 85
