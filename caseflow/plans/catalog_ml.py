@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.session import shared_table
 
 from caseflow.plans import evaluate as EV
+from caseflow.plans import gain_ratio as G
 from caseflow.plans import ml as M
 from caseflow.plans import pruning as P
 from caseflow.plans.naive_bayes import ml_naive_bayes
@@ -127,6 +128,40 @@ def q_ml_confusion_stats(spark, d):
     return r6(out, *out.columns[4:])
 
 
+_CELLS = """SELECT CAST(count(*) FILTER ((predicted = 'Passed') = (status = 'Passed')) AS DOUBLE) AS hits, CAST(count(*) AS DOUBLE) AS n,
+  CAST(greatest(count(*) FILTER (status = 'Passed'), count(*) FILTER (status <> 'Passed')) AS DOUBLE) AS most,
+  CAST(count(*) FILTER (predicted = 'Passed' AND status <> 'Passed') AS DOUBLE) AS fp, CAST(count(*) FILTER (predicted <> 'Passed' AND status = 'Passed') AS DOUBLE) AS fn FROM sc"""
+
+
+def _tail_sql(p: str, first: str, last: str) -> str:
+    """Probability of first to last hits in n trials, as the sum of its terms."""
+    return f"""(SELECT coalesce(sum(exp(lgamma(c.n + 1) - lgamma(i + 1) - lgamma(c.n - i + 1) + i * ln({p}) + (c.n - i) * ln(1 - ({p})))), 0)
+    FROM (SELECT unnest(range(CAST({first} AS BIGINT), CAST({last} AS BIGINT) + 1)) AS i) r)"""
+
+
+#: The normal tail by its series of positive terms: 1 - 2 phi(z) (z + z^3 / 3 + z^5 / 15 + ...).
+_NORMAL_SQL = """CASE WHEN z > 12 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(400),
+  lambda i: exp(-z * z / 2 + (2 * i + 1) * ln(greatest(z, 1e-300)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))))) END"""
+
+
+@register("ml_confusion_tests", with_ctes(f"""
+SELECT round(hits / n, 6) AS accuracy, round((SELECT lo FROM bis WHERE side = 'low' AND step = 32), 6) AS accuracy_low,
+       round((SELECT lo FROM bis WHERE side = 'high' AND step = 32), 6) AS accuracy_high, round(most / n, 6) AS no_information_rate,
+       round({_tail_sql("c.most / c.n", "c.hits", "c.n")}, 6) AS p_above_nir, round({_NORMAL_SQL}, 6) AS p_mcnemar
+FROM (SELECT *, greatest(abs(fp - fn) - 1, 0) / sqrt(nullif(fp + fn, 0)) AS z FROM cells) c""", **_SC, cells=_CELLS, **{
+    "bis(side, step, lo, hi)": f"""
+SELECT side, 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM (VALUES ('low'), ('high')) s(side)
+UNION ALL
+SELECT side, step + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (
+  SELECT b.*, (lo + hi) / 2 AS mid, CASE side
+      WHEN 'low' THEN {_tail_sql("(b.lo + b.hi) / 2", "c.hits", "c.n")} < 0.025
+      ELSE {_tail_sql("(b.lo + b.hi) / 2", "0", "c.hits")} > 0.025 END AS below
+  FROM bis b, cells c WHERE step < 32) x"""}).replace("WITH", "WITH RECURSIVE", 1), ctes=False)
+def q_ml_confusion_tests(spark, d):
+    out = EV.ml_confusion_tests(scored(spark, d))
+    return r6(out, *out.columns)
+
+
 @register("ml_rmse", with_ctes("SELECT round(sqrt(avg(pow(p - CASE status WHEN 'Passed' THEN 1 ELSE 0 END, 2))), 6) AS rmse FROM sc", **_SC), ctes=False)
 def q_ml_rmse(spark, d):
     return r6(EV.ml_rmse(scored(spark, d).withColumn("y", (F.col("actual") == "Passed").cast("double")), "p", "y"), "rmse")
@@ -154,6 +189,25 @@ def q_ml_resamples(spark, d):
     return r6(out, "min", "q1", "median", "mean", "q3", "max")
 
 
+#: Student's quantile for five folds (four degrees of freedom, 95 %): fixed value.
+_T4 = 2.7764451051977987
+
+
+@register("ml_resample_intervals", with_ctes(f"""
+SELECT model, metric, round(m, 6) AS mean, round(m - h, 6) AS low, round(m + h, 6) AS high FROM (
+  SELECT model, metric, avg(value) AS m, {_T4} * stddev_samp(value) / sqrt(count(*)) AS h FROM (
+    SELECT model, fold, unnest(['accuracy', 'kappa']) AS metric, unnest([acc, (acc - pe) / (1 - pe)]) AS value FROM (
+      SELECT model, fold, avg(CASE WHEN (s >= 0.5) = (status = 'Passed') THEN 1.0 ELSE 0.0 END) AS acc,
+             avg(CAST(s >= 0.5 AS INT)) * avg(CAST(status = 'Passed' AS INT))
+             + (1 - avg(CAST(s >= 0.5 AS INT))) * (1 - avg(CAST(status = 'Passed' AS INT))) AS pe
+      FROM (SELECT 'p' AS model, fold, status, CAST(p AS DOUBLE) AS s FROM sc UNION ALL SELECT 'q', fold, status, CAST(q AS DOUBLE) FROM sc) l GROUP BY ALL) k) v
+  GROUP BY ALL) g""", **_SC), ctes=False)
+def q_ml_resample_intervals(spark, d):
+    """Student intervals of the fold metrics."""
+    folds = EV.fold_metrics(shared_table(scored(spark, d), "scored"), ["p", "q"], F.col("actual") == "Passed").where("metric <> 'auc'")
+    return r6(EV.ml_resample_intervals(folds), "mean", "low", "high")
+
+
 @register("ml_rank_models", with_ctes("SELECT * FROM (" + _auc_sql("ac_count") + " UNION ALL " + _auc_sql("no_days") + ") a ORDER BY auc DESC, model", **_BF), ctes=False)
 def q_ml_rank_models(spark, d):
     bf = q_bill_features(spark, d)
@@ -225,7 +279,57 @@ def q_ml_predict(spark, d):
 
 @register("ml_entropy_tree")
 def q_ml_entropy_tree(spark, d):
-    return _predictions(spark, d, M.ml_entropy_tree)
+    """Hold-out predictions of the gain-ratio tree, pruned."""
+    return _predictions(spark, d, G.ml_gain_ratio_tree)
+
+
+def _bits(*counts: str) -> str:
+    n = " + ".join(counts)
+    return "-(" + " + ".join(f"CASE WHEN {c} > 0 THEN ({c}) / ({n}) * log2(({c}) / ({n})) ELSE 0 END" for c in counts) + ")"
+
+
+def _gain_ratio_ctes(k: int, rows: str) -> dict[str, str]:
+    """CTEs up to ``s{k}``: the chosen split of every path of ``rows`` (path and the columns of the model table)."""
+    counts = "CAST(count(*) FILTER (status = 'Passed') AS DOUBLE) AS c0, CAST(count(*) FILTER (status <> 'Passed') AS DOUBLE) AS c1"
+    nums = " UNION ALL ".join(f"SELECT path, '{c}' AS attribute, CAST({c} AS DOUBLE) AS v, {counts} FROM nd{k} GROUP BY path, {c}" for c in M.NUM_COLS)
+    cats = " UNION ALL ".join(f"SELECT path, '{c}' AS attribute, {c} AS level, {counts} FROM nd{k} GROUP BY path, {c}" for c in M.CAT_COLS)
+    return {
+        f"nd{k}": rows,
+        f"num{k}": f"""
+SELECT *, t0 - b0 AS a0, t1 - b1 AS a1, t0 + t1 AS n FROM (
+  SELECT *, sum(c0) OVER w AS b0, sum(c1) OVER w AS b1, sum(c0) OVER p AS t0, sum(c1) OVER p AS t1, max(v) OVER p AS top, count(*) OVER p - 1 AS cuts
+  FROM ({nums}) u WHERE v IS NOT NULL WINDOW p AS (PARTITION BY path, attribute), w AS (PARTITION BY path, attribute ORDER BY v)) x""",
+        f"cut{k}": f"""
+SELECT *, row_number() OVER (PARTITION BY path, attribute ORDER BY round(gain, 9) DESC, v) AS pos FROM (
+  SELECT path, attribute, v, {_bits("b0 + b1", "a0 + a1")} AS info,
+         {_bits("t0", "t1")} - (b0 + b1) / n * ({_bits("b0", "b1")}) - (a0 + a1) / n * ({_bits("a0", "a1")}) - log2(greatest(cuts, 1)) / n AS gain
+  FROM num{k} WHERE v < top AND b0 + b1 >= 2 AND a0 + a1 >= 2) y""",
+        f"cat{k}": f"""
+SELECT path, attribute, count(*) AS branches, {_bits("sum(c0)", "sum(c1)")} - sum((c0 + c1) * ({_bits("c0", "c1")})) / sum(c0 + c1) AS gain,
+       log2(sum(c0 + c1)) - sum((c0 + c1) * log2(c0 + c1)) / sum(c0 + c1) AS info
+FROM ({cats}) u WHERE level IS NOT NULL GROUP BY path, attribute HAVING count(*) FILTER (c0 + c1 >= 2) >= 2""",
+        f"s{k}": f"""
+SELECT path, attribute, threshold, CAST(branches AS INT) AS branches, gain, gain / info AS ratio, (SELECT count(*) FROM nd{k} r WHERE r.path = z.path) AS cases FROM (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY gain >= mean - 1e-9 DESC, round(gain / info, 9) DESC, attribute) AS pos FROM (
+    SELECT *, avg(gain) OVER (PARTITION BY path) AS mean FROM (
+      SELECT path, attribute, v AS threshold, 2 AS branches, gain, info FROM cut{k} WHERE pos = 1
+      UNION ALL SELECT path, attribute, NULL, branches, gain, info FROM cat{k}) o
+    WHERE gain > 1e-9 AND info > 0) m) z
+WHERE pos = 1"""}
+
+
+_CHILD = "CASE s.attribute " + " ".join(
+    f"WHEN '{c}' THEN '{c}' || CASE WHEN {c} <= s.threshold THEN '<=' ELSE '>' END || CAST(CAST(s.threshold AS BIGINT) AS VARCHAR)" for c in M.NUM_COLS) + " " + " ".join(
+    f"WHEN '{c}' THEN '{c}=' || {c}" for c in M.CAT_COLS) + " END"
+
+
+@register("ml_gain_ratio_splits", with_ctes("""
+SELECT path, attribute, threshold, branches, round(gain, 6) AS gain, round(ratio, 6) AS ratio, cases FROM s0
+UNION ALL SELECT path, attribute, threshold, branches, round(gain, 6), round(ratio, 6), cases FROM s1""", **_BF,
+    **_gain_ratio_ctes(0, "SELECT '' AS path, * FROM bf"), **_gain_ratio_ctes(1, f"SELECT {_CHILD} AS path, bf.* FROM bf, s0 s")), ctes=False)
+def q_ml_gain_ratio_splits(spark, d):
+    """The splits of the first two levels, unpruned."""
+    return r6(G.splits_table(G.grow(model_table(spark, d), max_depth=2), spark), "gain", "ratio")
 
 
 @register("ml_gbm")

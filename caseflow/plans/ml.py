@@ -5,8 +5,9 @@ status).  Splits are deterministic hashes of the bill key, so every sponsor
 row of one bill lands on the same side and the split is identical in any
 engine.  Learners are MLlib estimators in a ``Pipeline``; where the
 reference used a learner MLlib lacks, the nearest MLlib formulation is used
-and named as such (entropy tree for C5.0, weighted-tree boosting for
-AdaBoost, random Fourier features + linear SVM for the radial SVM).
+and named as such (weighted-tree boosting for AdaBoost, random Fourier
+features + linear SVM for the radial SVM).  Gain-ratio trees, pruning and other
+learners that MLlib lacks have modules of their own beside this one.
 """
 
 from __future__ import annotations
@@ -149,11 +150,6 @@ def ml_tree(train: DataFrame, max_depth: int = 5, min_info_gain: float = 0.0,
                                               impurity=impurity, seed=seed, maxBins=64))
 
 
-def ml_entropy_tree(train: DataFrame, max_depth: int = 5) -> PipelineModel:
-    """C5.0 re-aimed: an information-gain (entropy) decision tree."""
-    return ml_tree(train, max_depth=max_depth, impurity="entropy")
-
-
 def ml_gbm(train: DataFrame, max_iter: int = 20, max_depth: int = 5, step: float = 0.1) -> PipelineModel:
     return _fit(train, GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=1, maxBins=64))
 
