@@ -15,6 +15,7 @@ from caseflow.plans.catalog import (BILL_FEATURES_SQL, BINDING_CTES, CHAMBER, M_
                                     REJECT, STATE, TIE_SQL, TIMELINE_BILL, YEAR, T,
                                     TRANSITIONS_FILTERED_SQL, _lead_sql, _topk_sql, best_sql, monthly_sql,
                                     outcome_sql, q_bill_features, q_topk_monthly, r6, register)
+from caseflow.session import shared_table
 from caseflow.sources.tables import scan_all, TEST_PASS_MARKERS, TEST_REFERRAL_TYPE, TEST_TIEBREAK, TEST_TYPES
 
 TB = list(TEST_TIEBREAK)
@@ -39,19 +40,20 @@ def q_sql_params(spark, d):
     """Parameterised SQL with typed named parameters and DataFrame arguments (no
     temp views, no pasted strings); the steps come from the operator that splits heavy bills."""
     t = T(spark, d)
+    picked = spark.sql("""
+SELECT b.id, count(*) AS w
+FROM {bills} b JOIN {sponsors} s ON s.bill_id = b.id JOIN {members} m ON m.bioguideid = s.sponsor_id
+WHERE m.party = :party AND m.state = :state AND b.originchamber = :chamber
+GROUP BY b.id""", args={"party": PARTY, "state": STATE, "chamber": CHAMBER}, bills=t.bills, sponsors=t.sponsors, members=t.members)
+    # written: rows joined to a plain table are split where a bill is heavy, rows joined to an aggregate are not
+    picked = shared_table(picked, "picked-bills")
     steps = W.lead_step(t.actions_lean.select("bill_id", "action_date", "type", *TB), tiebreak=TB)
     return spark.sql("""
-WITH picked AS (
-  SELECT b.id, count(*) AS w
-  FROM {bills} b JOIN {sponsors} s ON s.bill_id = b.id JOIN {members} m ON m.bioguideid = s.sponsor_id
-  WHERE m.party = :party AND m.state = :state AND b.originchamber = :chamber
-  GROUP BY b.id),
-gaps AS (
+WITH gaps AS (
   SELECT type, next_type, w, datediff(next_row, action_date) AS days
-  FROM {steps} JOIN picked ON id = bill_id WHERE next_type IS NOT NULL)
+  FROM {steps} JOIN {picked} ON id = bill_id WHERE next_type IS NOT NULL)
 SELECT type, next_type, round(sum(days * w) / sum(if(days IS NULL, NULL, w)), 6) AS no_days
-FROM gaps GROUP BY type, next_type""", args={"party": PARTY, "state": STATE, "chamber": CHAMBER},
-                     steps=steps, bills=t.bills, sponsors=t.sponsors, members=t.members)
+FROM gaps GROUP BY type, next_type""", steps=steps, picked=picked)
 
 
 @register("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",

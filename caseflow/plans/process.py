@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.exprs import (f_date_format, f_extract_day, f_micros, like_any)
-from caseflow.session import shared_table
+from caseflow.operators.prefix import ROWS_PER_RANGE
 from caseflow.operators.windows import heavy_keys, lead_step, order_struct, sort_exprs
+from caseflow.session import shared_table
 
 # Fixed values of the reference: the outcome markers and the ten action types.
 DEFAULT_PASS_MARKERS = ("%status%", "%BecameLaw%")
@@ -64,14 +65,17 @@ def bill_outcomes(actions: DataFrame, markers: Sequence[str] = DEFAULT_PASS_MARK
         return agg.where(F.col("_last").isNotNull()).select(
             bill, "ac_count",
             F.when(F.pmod(F.col("_last"), F.lit(2)) == 1, F.lit(yes)).otherwise(F.lit(no)).alias("status"))
-    # general markers: build the joined string of the latest-date types exactly
-    counts = actions.groupBy(bill).agg(F.count(F.lit(1)).alias("ac_count"),
-                                       F.max(date).alias("_max"))
-    last = (actions.join(counts.select(bill, "_max"), bill)
-            .where(F.col(date) == F.col("_max"))
-            .groupBy(bill).agg(F.expr(f"listagg(`{type_col}`, ' ') WITHIN GROUP (ORDER BY `{type_col}`)")
-                               .alias("_joined")))
-    return counts.where(F.col("_max").isNotNull()).join(last, bill).select(
+    # general markers: the joined string of the latest-date types.  Equal types follow each other in it, and
+    # of a run only as many copies can matter as the longest marker has characters, plus one that only a
+    # wildcard covers; so types are counted first and a bill's string is as short as its distinct types.
+    counts = shared_table(actions.groupBy(bill).agg(F.count(F.lit(1)).alias("ac_count"), F.max(date).alias("_max")), "latest-dates")
+    most = max((len(m.upper()) for m in markers), default=0) + 1
+    runs = (actions.join(counts.select(bill, "_max"), bill)
+            .where((F.col(date) == F.col("_max")) & F.col(type_col).isNotNull())
+            .groupBy(bill, type_col).agg(F.least(F.count(F.lit(1)), F.lit(most)).cast("int").alias("_copies")))
+    last = runs.groupBy(bill).agg(F.array_sort(F.collect_list(F.struct(F.col(type_col).alias("t"), "_copies"))).alias("_runs")).select(
+        bill, F.array_join(F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["t"], r["_copies"]))), " ").alias("_joined"))
+    return counts.where(F.col("_max").isNotNull()).join(last, bill, "left").select(
         bill, "ac_count",
         F.when(F.coalesce(like_any("_joined", markers), F.lit(False)), F.lit(yes))
         .otherwise(F.lit(no)).alias("status"))
@@ -118,7 +122,7 @@ def _bill_weights(bills: DataFrame) -> DataFrame:
     return bills.groupBy(F.col("id").alias("bill_id")).agg(F.count(F.lit(1)).alias("_w"))
 
 
-def _steps(actions: DataFrame, weights: DataFrame, tiebreak: Sequence[str], skew: str) -> DataFrame:
+def _steps(actions: DataFrame, weights: DataFrame, tiebreak: Sequence[str], skew: str, max_rows: int = ROWS_PER_RANGE) -> DataFrame:
     """Directly-follows steps of the bills in ``weights``: (type, next_type, days, w).
 
     Bills are pruned before the window (whole bills pass or fail), the window
@@ -127,10 +131,14 @@ def _steps(actions: DataFrame, weights: DataFrame, tiebreak: Sequence[str], skew
     """
     cols = ["bill_id", "action_date", "type", *tiebreak]
     # heavy bills are counted on the bill key column alone, before any join
-    hot = heavy_keys(actions, "bill_id") if skew == "auto" else None
+    hot = heavy_keys(actions, "bill_id", max_rows) if skew == "auto" else None
+    if hot is not None and not hot.isEmpty():
+        # a join with an aggregate would hold a heavy bill in one task; with a written table both
+        # sides are plain shuffles, which the skew join splits
+        weights = shared_table(weights, "bill-weights")
     a = actions.select(*cols).join(weights, "bill_id")
     s = lead_step(a, "bill_id", ["action_date"], tiebreak, ["action_date", "type"],
-                  ["next_row", "next_type"], skew=skew, hot_keys=hot)
+                  ["next_row", "next_type"], skew=skew, max_rows=max_rows, hot_keys=hot)
     return s.where(F.col("next_type").isNotNull()).select(
         "type", "next_type", F.datediff("next_row", "action_date").cast("bigint").alias("days"), "_w")
 
@@ -142,9 +150,10 @@ def _wavg(v, w="_w"):
 
 
 def transitions(actions: DataFrame, bills: DataFrame, tiebreak: Sequence[str] = (),
-                skew: str = "auto") -> DataFrame:
-    """Mean days from one action to the next, per (type, next_type)."""
-    st = _steps(actions, _bill_weights(bills), tiebreak, skew)
+                skew: str = "auto", max_rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """Mean days from one action to the next, per (type, next_type).  Bills of more than
+    ``max_rows`` actions are split over tasks."""
+    st = _steps(actions, _bill_weights(bills), tiebreak, skew, max_rows)
     return st.groupBy("type", "next_type").agg(_wavg("days").alias("no_days"))
 
 

@@ -117,3 +117,48 @@ def test_month_window_edges(spark):
     t = tables(spark)
     assert filter_year_months(t.actions, "action_date", 2015, 0, 1).count() == 5  # January, NULL date excluded
     assert filter_year_months(t.actions, "action_date", 2015, 7, 6).count() == 0
+
+
+def test_markers_over_long_runs_equal_the_whole_string(spark):
+    """Runs of equal types are cut to what the markers can tell apart; the whole joined string decides the same."""
+    import datetime as dt
+    import random
+    import re
+    rnd = random.Random(3)
+    types = ["A", "AB", "", "B x", None]
+    bills = {}
+    for b in range(60):
+        bills[f"B{b}"] = [t for t in types for _ in range(rnd.choice([0, 0, 1, 2, 5, 40]))] or [None]
+    df = spark.createDataFrame([(b, dt.date(2020, 1, 1), t) for b, ts in bills.items() for t in ts], "bill_id string, action_date date, type string").repartition(3)
+
+    def like(s, pattern):
+        rx = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern.upper())
+        return re.fullmatch(rx, s.upper(), re.S) is not None
+
+    for marker in ["%a a a%", "a a", "%a ab%", "a%b x", "%b x b x b x", "_ a%", "%  %", "a a a a a", "%a%b%a%", ""]:
+        want = sorted((b, "Passed" if any(t is not None for t in ts) and like(" ".join(sorted(t for t in ts if t is not None)), marker) else "REFERRED")
+                      for b, ts in bills.items())
+        assert rows(P.bill_outcomes(df, (marker,)), "bill_id", "status") == want, marker
+
+
+def test_a_heavy_bill_is_split_over_tasks(spark):
+    """One bill with 70 % of all actions: its join with the weights is split, and the steps stay exact."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    acts = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 500)).alias("bill_id"),
+                                      F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 997).cast("int")).alias("action_date"),
+                                      F.concat(F.lit("t"), F.col("id") % 5).alias("type"), F.col("id").alias("seq")).repartition(8)
+    bills = acts.select(F.col("bill_id").alias("id")).distinct()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = P.transitions(acts, bills, ["seq"], max_rows=2000)
+        got = rows(out, "type", "next_type", "no_days")
+        assert "skew=true" in out._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = rows(P.transitions(acts, bills, ["seq"], skew="none"), "type", "next_type", "no_days")
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
