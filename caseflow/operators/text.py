@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.prefix import ROWS_PER_RANGE, running_sums
-from caseflow.session import ensure_checkpoint_dir, reliable_checkpoint, shared_table
+from caseflow.session import ensure_checkpoint_dir, note_shared, reliable_checkpoint, shared_table
 
 SEQ_LENGTH = 76          # window length of the reference's corpus preparation
 # characters per block (plus the halo). Kept small on purpose: substring on a
@@ -218,6 +218,7 @@ def _model_table(argmax: DataFrame, rows_per_bucket: int) -> tuple[DataFrame, in
     bucketed = whole.select(F.pmod(F.xxhash64("ctx"), F.lit(n)).alias("b"), "ctx", "next_char")
     bucketed.repartition("b").write.partitionBy("b").parquet(path)
     schema = bucketed.select("ctx", "next_char", "b").schema
+    note_shared(path)
     return whole.sparkSession.read.schema(schema).parquet(path), n
 
 
@@ -241,10 +242,13 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
     for i in range(steps):
         g = (g.withColumn("ctx", F.expr(f"substring(text, -{n}, {n})"))
              .withColumn("b", F.pmod(F.xxhash64("ctx"), F.lit(n_buckets))))
-        live = [r[0] for r in g.where(~F.col("done")).select("b").distinct().collect()]  # <= #seeds
-        if not live:
-            break
-        g = g.join(table.where(F.col("b").isin(live)), ["b", "ctx"], "left")
+        part = table
+        if n_buckets > 1:
+            live = [r[0] for r in g.where(~F.col("done")).select("b").distinct().collect()]  # <= #seeds
+            if not live:
+                break
+            part = table.where(F.col("b").isin(live))
+        g = g.join(part, ["b", "ctx"], "left")
         stop = F.col("done") | F.col("_nx").isNull()
         g = g.select("pos",
                      F.when(stop, F.col("text")).otherwise(F.concat("text", "_nx")).alias("text"),
@@ -255,7 +259,7 @@ def t_generate(seeds: DataFrame, argmax: DataFrame, n: int, steps: int,
             for c in cached:
                 c.unpersist()
             cached = []
-        else:
+        elif n_buckets > 1:  # read twice: by the next step and by its search for buckets
             g = g.cache()
             cached.append(g)
     return g.select("pos", "generated")

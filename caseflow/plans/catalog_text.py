@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.operators import backoff as B
 from caseflow.operators import text as TX
 from caseflow.plans.catalog import register
 from caseflow.sources.tables import raw_table
@@ -118,6 +119,94 @@ def q_t_generate(spark, d):
     return TX.t_generate(seeds, q_t_argmax(spark, d), NGRAM, STEPS)
 
 
+def _held(col: str = "p_partkey") -> str:
+    """One line in eight is held out, by a hash of its key."""
+    return f"substr(md5(CAST({col} AS VARCHAR) || '|9'), 1, 1) < '2'"
+
+
+_B_CORPUS = "c AS (SELECT string_agg(lower(coalesce(p_name, '')) || chr(10), '' ORDER BY p_partkey) AS s FROM part {where})"
+
+
+def _backoff_ctes(least: int) -> str:
+    """Counts, totals, discounts and probabilities per context length, from the windows ``w4``."""
+    out = [f'r{NGRAM} AS (SELECT "window" AS ctx, next_char AS ch, count(*) AS raw, count(*) AS c FROM w4 GROUP BY ALL)']
+    out += [f"r{k} AS (SELECT substr(ctx, 2) AS ctx, ch, sum(raw) AS raw, count(*) AS c FROM r{k + 1} GROUP BY ALL)" for k in range(NGRAM - 1, -1, -1)]
+    for k in range(NGRAM + 1):
+        out.append(f"""d{k} AS (SELECT greatest({B.LEAST_DISCOUNT}, least({B.MOST_DISCOUNT}, coalesce(count(*) FILTER (c = 1) / nullif(
+  CAST(count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2) AS DOUBLE), 0), 0))) AS d, count(*) + 1 AS v FROM r{k})""")
+        out.append(f"""t{k} AS (SELECT ctx, CAST(sum(c) AS DOUBLE) AS total, d * count(*) / sum(c) AS g FROM r{k}, d{k} GROUP BY ctx, d
+  {f"HAVING sum(raw) >= {least}" if k else ""})""")
+        lower = f"q.p FROM r{k} r JOIN t{k} t USING (ctx) JOIN p{k - 1} q ON q.ctx = substr(r.ctx, 2) AND q.ch = r.ch, d{k}" if k else f"1.0 / v FROM r{k} r JOIN t{k} t USING (ctx), d{k}"
+        out.append(f"p{k} AS (SELECT r.ctx, r.ch, (c - d) / total + g * {lower.replace(' FROM', ' AS p FROM', 1)})")
+    return ", ".join(out)
+
+
+def _train_test(spark, d):
+    c = corpus(spark, d)
+    held = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("|9"))), 1, 1) < "2"
+    return c.where(~held), c.where(held)
+
+
+@register("t_backoff_probs", f"WITH {_B_CORPUS.format(where='')}, {_win_sql('w4', NGRAM)}, {_backoff_ctes(2)} "
+          + " UNION ALL ".join(f"SELECT {k} AS len, ctx, ch AS next_char, round(p, 6) AS p FROM p{k}" for k in range(NGRAM + 1)), ctes=False)
+def q_t_backoff_probs(spark, d):
+    """Every kept (context, next character) of all lengths with its probability; contexts seen once are pruned."""
+    model = B.t_backoff_model(corpus(spark, d), NGRAM, min_count=2)
+    out = None
+    for k, p in enumerate(model.probs):
+        one = p.select(F.lit(k).alias("len"), "ctx", "next_char", F.round("p", 6).alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _entropy_ctes() -> str:
+    out = [_B_CORPUS.replace("c AS", "ct AS", 1).format(where=f"WHERE {_held()}"),
+           _win_sql("wt", NGRAM).replace("FROM c)", "FROM ct)"),
+           f'x{NGRAM} AS (SELECT "window" AS ctx, next_char AS ch, count(*) AS cnt, CAST(1 AS DOUBLE) AS w FROM wt GROUP BY ALL)']
+    for k in range(NGRAM, -1, -1):
+        out.append(f"h{k} AS (SELECT cnt, w * p AS p FROM x{k} x JOIN p{k} p ON p.ctx = x.ctx AND p.ch = x.ch)")
+        out.append(f"""x{k - 1 if k else 'u'} AS (SELECT substr(x.ctx, 2) AS ctx, x.ch, cnt, w * coalesce(g, 1) AS w FROM x{k} x LEFT JOIN t{k} t ON t.ctx = x.ctx
+  WHERE NOT EXISTS (SELECT 1 FROM p{k} p WHERE p.ctx = x.ctx AND p.ch = x.ch))""")
+    return ", ".join(out)
+
+
+@register("t_backoff_entropy", f"WITH {_B_CORPUS.format(where=f'WHERE NOT ({_held()})')}, {_win_sql('w4', NGRAM)}, {_backoff_ctes(1)}, {_entropy_ctes()} "
+          "SELECT CAST(sum(cnt) AS BIGINT) AS n_chars, round(-sum(cnt * ln(p)) / sum(cnt), 6) AS cross_entropy FROM ("
+          + " UNION ALL ".join(f"SELECT cnt, p FROM h{k}" for k in range(NGRAM + 1)) + " UNION ALL SELECT cnt, w / v FROM xu, d0) a", ctes=False)
+def q_t_backoff_entropy(spark, d):
+    """Cross-entropy (nats a character) on the lines held out, of a model of the others."""
+    train, test = _train_test(spark, d)
+    out = B.t_cross_entropy(test, B.t_backoff_model(train, NGRAM))
+    return out.select("n_chars", F.round("cross_entropy", 6).alias("cross_entropy"))
+
+
+def _argmax_ctes() -> str:
+    out = []
+    for k in range(NGRAM + 1):
+        best = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(p, 12) DESC, ch) AS pos FROM p{k}) o WHERE pos = 1"
+        if k:
+            other = "round(t.g * q.p, 12) > round(b.p, 12)"
+            best = (f"SELECT b.ctx, CASE WHEN {other} THEN q.ch ELSE b.ch END AS ch, CASE WHEN {other} THEN t.g * q.p ELSE b.p END AS p "
+                    f"FROM ({best}) b JOIN t{k} t ON t.ctx = b.ctx JOIN a{k - 1} q ON q.ctx = substr(b.ctx, 2)")
+        out.append(f"a{k} AS ({best})")
+    return ", ".join(out)
+
+
+@register("t_backoff_generate", f"""
+WITH RECURSIVE {_B_CORPUS.format(where='')}, {_win_sql('w', SEQ)}, {_SEEDS}, {_win_sql('w4', NGRAM)}, {_backoff_ctes(2)}, {_argmax_ctes()},
+am AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {k} AS len, ctx, ch FROM a{k}" for k in range(NGRAM + 1))}),
+gen(pos, step, text, generated) AS (
+  SELECT pos, 0, "window", '' FROM seeds
+  UNION ALL
+  SELECT pos, step + 1, text || ch, generated || ch FROM (
+    SELECT g.pos, g.step, g.text, g.generated, arg_max(a.ch, a.len) AS ch FROM gen g JOIN am a ON a.ctx = right(g.text, a.len) AND length(g.text) >= a.len
+    WHERE g.step < {STEPS} GROUP BY g.pos, g.step, g.text, g.generated) n)
+SELECT pos, arg_max(generated, step) AS generated FROM gen GROUP BY pos""", ctes=False)
+def q_t_backoff_generate(spark, d):
+    model = B.t_backoff_model(corpus(spark, d), NGRAM, min_count=2)
+    return B.t_backoff_generate(q_t_seed_pick(spark, d), B.t_backoff_argmax(model), NGRAM, STEPS)
+
+
 def documents(spark, d):
     return raw_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.plans import ml as M
-from caseflow.session import ensure_checkpoint_dir, shared_table
+from caseflow.session import ensure_checkpoint_dir, note_shared, shared_table
 
 
 @dataclass
@@ -52,6 +52,7 @@ def read_tree(spark: SparkSession, model) -> Tree:
     """The table of a fitted MLlib tree, from its saved form in the shared folder."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
     model.write().save(path)
+    note_shared(path)
     rows = spark.read.parquet(f"{path}/data").select("id", "leftChild", "rightChild", "impurityStats").orderBy("id").collect()
     return Tree([r.leftChild for r in rows], [r.rightChild for r in rows], [list(r.impurityStats) for r in rows])
 

@@ -107,13 +107,18 @@ def reliable_checkpoint(df):
 _shared: list[str] = []
 
 
+def note_shared(path: str) -> None:
+    """A folder written for this process only: ``drop_shared_tables`` removes it with the others."""
+    _shared.append(path)
+
+
 def shared_table(df, name: str):
     """``df`` written once as Parquet in the shared checkpoint folder and read back:
     cuts the lineage, fixes sampled and generated values, survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _shared.append(path)
+    note_shared(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
