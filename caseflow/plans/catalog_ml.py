@@ -9,6 +9,7 @@ from caseflow.session import shared_table
 
 from caseflow.plans import evaluate as EV
 from caseflow.plans import gain_ratio as G
+from caseflow.plans import linear as L
 from caseflow.plans import ml as M
 from caseflow.plans import pruning as P
 from caseflow.plans.naive_bayes import ml_naive_bayes
@@ -349,12 +350,20 @@ def q_ml_logit(spark, d):
 
 @register("ml_elastic_net")
 def q_ml_elastic_net(spark, d):
-    return _predictions(spark, d, M.ml_elastic_net)
+    return _predictions(spark, d, L.ml_elastic_net)
+
+
+@register("ml_elastic_net_path")
+def q_ml_elastic_net_path(spark, d):
+    """Penalties of the path with the features in and the deviance explained."""
+    train, _ = _train_test(spark, d)
+    return L.ml_elastic_net_path(train).table(spark)
 
 
 @register("ml_mlp")
 def q_ml_mlp(spark, d):
-    return _predictions(spark, d, M.ml_mlp)
+    """Hold-out predictions of the network with weight decay."""
+    return _predictions(spark, d, L.ml_network)
 
 
 @register("ml_svm")

@@ -20,8 +20,7 @@ import pandas as pd
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+                                       LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -164,23 +163,6 @@ def ml_logit(train: DataFrame, reg: float = 0.0, elastic_net: float = 0.0) -> Pi
                 scale=True)
 
 
-def ml_elastic_net(train: DataFrame, reg: float = 0.01, alpha: float = 0.5) -> PipelineModel:
-    return ml_logit(train, reg, alpha)
-
-
-def ml_mlp(train: DataFrame, hidden: Sequence[int] = (8,), max_iter: int = 200) -> PipelineModel:
-    """Multilayer perceptron on centred/scaled features (MLlib has no weight decay term)."""
-    n_in = _n_features(train)
-    return _fit(train, MultilayerPerceptronClassifier(layers=[n_in, *hidden, 2], maxIter=max_iter, seed=1),
-                scale=True)
-
-
-def _n_features(train: DataFrame) -> int:
-    """Width of the assembled feature vector (fits the encoder stages only)."""
-    enc = Pipeline(stages=ml_encode()).fit(train)
-    return len(enc.transform(train.limit(1)).first()["features"])
-
-
 class RandomFourierFeatures:
     """Radial-kernel approximation: z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma).
 
