@@ -368,17 +368,14 @@ def q_ml_mlp(spark, d):
 
 @register("ml_svm")
 def q_ml_svm(spark, d):
-    train, test = _train_test(spark, d)
-    m = M.ml_svm(train)
-    p = m.transform(test)
-    lab = F.when(F.col("prediction") == 0.0, F.lit("Passed")).otherwise(F.lit("REFERRED"))
-    return p.select("bill_id", lab.alias("predicted"), F.col("status").alias("actual"))
+    """Hold-out predictions with probabilities."""
+    return _predictions(spark, d, M.ml_svm)
 
 
 @register("ml_adaboost")
 def q_ml_adaboost(spark, d):
     train, test = _train_test(spark, d)
-    return M.adaboost_predict(M.ml_adaboost(train, rounds=5), test, ["bill_id", "status"])
+    return M.adaboost_predict(M.ml_adaboost(train), test, ["bill_id", "status"])
 
 
 @register("ml_cv")
@@ -399,13 +396,23 @@ def q_ml_pruned_tree(spark, d):
     return _predictions(spark, d, P.ml_pruned_tree)
 
 
-FITS = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest}
+def _naive_bayes(train):
+    return ml_naive_bayes(train, M.NUM_COLS, M.CAT_COLS, M.LABEL, M.POSITIVE)
+
+
+#: The learners whose probabilities are compared and combined.
+FITS = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest, "boosted": M.ml_gbm, "svm": M.ml_svm,
+        "naive_bayes": _naive_bayes, "nearest": M.ml_nearest, "network": L.ml_network, "elastic_net": L.ml_elastic_net}
+
+
+#: The learners of the queries that fit every fold but do not rank all: the three quickest.
+QUICK = {n: FITS[n] for n in ("tree", "logit", "forest")}
 
 
 @register("ml_oof")
 def q_ml_oof(spark, d):
     train, _ = _train_test(spark, d)
-    return M.ml_oof(train, FITS)
+    return M.ml_oof(train, QUICK)
 
 
 @register("ml_predict_proba")
@@ -426,15 +433,15 @@ def q_ml_greedy_ensemble(spark, d):
 def q_ml_stack(spark, d):
     """Hold-out rows with every model's P(Passed) and the greedy and stacked ensembles, fitted on the training rows."""
     train, test = _train_test(spark, d)
-    return M.ml_ensembles(train, test, FITS)
+    return M.ml_ensembles(train, test, QUICK)
 
 
 @register("ml_holdout_auc")
 def q_ml_holdout_auc(spark, d):
     """AUC of every single model and ensemble on the hold-out rows."""
     train, test = _train_test(spark, d)
-    out = shared_table(M.ml_ensembles(train, test, {n: FITS[n] for n in ("tree", "logit")}), "holdout")
-    return EV.rank_models(EV.ml_col_auc(out, ["tree", "logit", "greedy", "stacked"], F.col("status") == "Passed"))
+    out = shared_table(M.ml_ensembles(train, test, FITS), "holdout")
+    return EV.rank_models(EV.ml_col_auc(out, [*FITS, "greedy", "stacked"], F.col("status") == "Passed"))
 
 
 @register("ml_nb_counts", with_ctes("""

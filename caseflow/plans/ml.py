@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.operators.prefix import running_sums
+from caseflow.plans.calibration import fit_sigmoid, kernel_width, sigmoid
+from caseflow.plans.neighbours import ml_knn
 from caseflow.session import reliable_checkpoint, shared_table
 
 NUM_COLS = ("no_days", "ac_count")
@@ -176,7 +179,6 @@ class RandomFourierFeatures:
         self.dim_out = dim_out
 
     def transform(self, df: DataFrame, col: str = "features", out: str = "rff") -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
         W, b, scale = self.W, self.b, math.sqrt(2.0 / self.dim_out)
 
         @F.pandas_udf("array<double>")
@@ -189,29 +191,46 @@ class RandomFourierFeatures:
 
 
 class SvmRadialModel:
-    """Encoder + scaler -> random Fourier features -> linear SVM."""
+    """Encoder + scaler -> random Fourier features -> linear SVM -> sigmoid of the decision value."""
 
-    def __init__(self, enc: PipelineModel, rff: RandomFourierFeatures, svm):
-        self.enc, self.rff, self.svm = enc, rff, svm
+    def __init__(self, enc: PipelineModel, rff: RandomFourierFeatures, svm, curve: tuple[float, float]):
+        self.enc, self.rff, self.svm, self.curve = enc, rff, svm, curve
 
     def transform(self, df: DataFrame) -> DataFrame:
-        z = self.rff.transform(self.enc.transform(df), "features", "rff")
-        return self.svm.transform(z)
+        z = self.svm.transform(self.rff.transform(self.enc.transform(df), "features", "rff"))
+        p = sigmoid(vector_to_array("rawPrediction")[0], *self.curve)  # of label 0, the positive class
+        return z.withColumn("probability", array_to_vector(F.array(p, 1 - p)))
 
 
-def ml_svm(train: DataFrame, dim_out: int = 64, gamma: float = 0.5, reg: float = 0.01) -> SvmRadialModel:
-    """Radial SVM re-aimed: random Fourier features + ``LinearSVC``."""
+def ml_svm(train: DataFrame, dim_out: int = 64, gamma: float | None = None, reg: float = 0.01) -> SvmRadialModel:
+    """Radial SVM re-aimed: random Fourier features + ``LinearSVC``, with class probabilities.
+    The kernel width comes from sampled distances if none is given."""
     stages = ml_encode()
     stages[-1].setOutputCol("raw_features")
     stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
     enc = Pipeline(stages=stages).fit(train)
     encoded = enc.transform(train)
     d = len(encoded.select("features").first()["features"])
-    rff = RandomFourierFeatures(d, dim_out, gamma)
+    rff = RandomFourierFeatures(d, dim_out, kernel_width(encoded) if gamma is None else gamma)
     # the projected table is scanned once per solver iteration: materialise it once
     z = reliable_checkpoint(rff.transform(encoded).select("rff", "label"))
     svm = LinearSVC(featuresCol="rff", regParam=reg, maxIter=100).fit(z)
-    return SvmRadialModel(enc, rff, svm)
+    values = svm.transform(z).select(vector_to_array("rawPrediction")[0].alias("t"), (F.col("label") == 0).cast("int").alias("y"))
+    return SvmRadialModel(enc, rff, svm, fit_sigmoid(shared_table(values, "decision-values"), "t", "y"))
+
+
+class NearestModel:
+    """Training rows to be looked up; ``score`` adds the share of the positive class."""
+
+    def __init__(self, train: DataFrame, k: int):
+        self.train, self.k = train, k
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return ml_knn(self.train, df, NUM_COLS, LABEL, POSITIVE, self.k)
+
+
+def ml_nearest(train: DataFrame, k: int = 5) -> NearestModel:
+    return NearestModel(train, k)
 
 
 def ml_adaboost(train: DataFrame, rounds: int = 10, max_depth: int = 2,
@@ -307,11 +326,15 @@ def ml_predict(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def ml_predict_proba(models: dict, df: DataFrame) -> DataFrame:
     """``df`` with one P(Passed) column per model: the models transform one DataFrame one
-    after another, each keeping only its own column (no join, no row key)."""
+    after another, each keeping only its own column (no row key; only models that look
+    values up join, with their own tables)."""
     cur = df
     for name, m in models.items():
         keep = cur.columns
-        cur = m.transform(cur).select(*keep, vector_to_array("probability")[0].alias(name))
+        if hasattr(m, "score"):  # adds the probability itself
+            cur = m.score(cur).select(*keep, F.col("p_positive").alias(name))
+        else:
+            cur = m.transform(cur).select(*keep, vector_to_array("probability")[0].alias(name))
     return cur
 
 
@@ -326,6 +349,12 @@ def ml_center_scale(df: DataFrame, cols: Sequence[str] = NUM_COLS) -> DataFrame:
 
 # --- out-of-fold predictions, ensembles ----------------------------------------------
 
+def _fit_all(fits: dict, data: DataFrame, parallelism: int = 4) -> dict:
+    """All models of (name -> fit function), several at a time: their jobs are many and small."""
+    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+        return dict(zip(fits, pool.map(lambda fit: fit(data), fits.values())))
+
+
 def ml_oof(df: DataFrame, fits: dict, k: int = 5, seed: int = 5) -> DataFrame:
     """``df`` (written once) with ``fold`` and out-of-fold P(Passed) columns, one per entry
     (name -> fit function) of ``fits``: fit on k-1 folds, score the held-out fold, union."""
@@ -333,7 +362,7 @@ def ml_oof(df: DataFrame, fits: dict, k: int = 5, seed: int = 5) -> DataFrame:
     out = None
     for f in range(k):
         rest = data.where(F.col("fold") != f)
-        part = ml_predict_proba({n: fit(rest) for n, fit in fits.items()}, data.where(F.col("fold") == f))
+        part = ml_predict_proba(_fit_all(fits, rest), data.where(F.col("fold") == f))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -400,6 +429,6 @@ def ml_ensembles(train: DataFrame, test: DataFrame, fits: dict, k: int = 5, iter
     names = list(fits)
     weights = ml_greedy_ensemble(oof, names, "y", iters)[: len(names)]
     stack = ml_stack(oof, names, "y")
-    scored = ml_blend(ml_predict_proba({n: fit(train) for n, fit in fits.items()}, test), dict(zip(names, weights)))
+    scored = ml_blend(ml_predict_proba(_fit_all(fits, train), test), dict(zip(names, weights)))
     keep = scored.columns
     return stack.transform(scored).select(*keep, vector_to_array("stack_probability")[1].alias("stacked"))

@@ -104,6 +104,31 @@ def test_knn_matches_brute_force(spark):
     assert ml_knn(tr.limit(0), te, ["a", "b"], "y", "Passed").where("p_positive is not null").isEmpty()
 
 
+def test_knn_in_a_dense_spot(spark):
+    """Distinct points by the ten thousand within a thousandth of the range, some far ones: leaves stay
+    within their bound, and the neighbours are those of a plain search."""
+    import numpy as np
+    from caseflow.plans import neighbours as N
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 1e-4, (20_000, 2)), rng.uniform(-50, 50, (200, 2))])
+    y = rng.random(len(x)) < 0.3
+    train = spark.createDataFrame([(float(a), float(b), "P" if c else "N") for (a, b), c in zip(x, y)], "a double, b double, y string").repartition(4)
+    ask = np.vstack([rng.normal(0, 1e-4, (40, 2)), rng.uniform(-60, 60, (40, 2)), x[:5], [[0.0, 2e-3], [1e3, 0.0]]])
+    test = spark.createDataFrame([(float(a), float(b)) for a, b in ask], "a double, b double")
+    s = x.std(0, ddof=1)
+    got = {(r.a, r.b): r.p_positive for r in N.ml_knn(train, test, ["a", "b"], "y", "P", 5, digits=12, leaf_points=64).collect()}
+    for p in ask:
+        dist = np.round((((x - p) / s) ** 2).sum(1), 12)
+        near = dist <= np.sort(dist)[4]
+        assert abs(got[tuple(p)] - y[near].mean()) < 1e-12
+    points = train.select(F.col("a").alias("_v0"), F.col("b").alias("_v1"), F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_p"))
+    low = [float(v) for v in x.min(0) / s]
+    levels, leaves = N.partition_tree(points, ["_v0", "_v1"], [float(v) for v in s], low, float((x.max(0) / s - low).max()), 64)
+    assert leaves.count() == len(x) and leaves.groupBy("level", "c0", "c1").count().where("count > 64").isEmpty() and len(levels) > 4
+    reached = N.reached_leaves(test.select(F.col("a").alias("_v0"), F.col("b").alias("_v1")), ["_v0", "_v1"], levels, [float(v) for v in s], 5, 2e-12)
+    assert reached.groupBy("_v0", "_v1").count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_greedy_weights_equal_a_plain_search(spark):
     import numpy as np
     rng = np.random.default_rng(4)
