@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.session import shared_table
 
+from caseflow.plans import bagging as BG
 from caseflow.plans import evaluate as EV
 from caseflow.plans import gain_ratio as G
 from caseflow.plans import linear as L
@@ -343,6 +344,31 @@ def q_ml_random_forest(spark, d):
     return _predictions(spark, d, M.ml_random_forest)
 
 
+def _copies_sql(tree: int) -> str:
+    h = f"substr(md5(coalesce(CAST(bill_id AS VARCHAR), '') || '|{tree}|1'), 1, 8)"
+    return "(" + " + ".join(f"CAST({h} >= '{b}' AS INT)" for b in BG.POISSON) + ")"
+
+
+@register("ml_bags", with_ctes("SELECT bill_id, " + " + ".join(f"CAST({_copies_sql(t)} > 0 AS INT)" for t in range(10)) + " AS in_bag, "
+                               + " + ".join(_copies_sql(t) for t in range(10)) + " AS copies FROM (SELECT DISTINCT bill_id FROM bf) k", **_BF), ctes=False)
+def q_ml_bags(spark, d):
+    """Bag membership of every bill in ten trees."""
+    return BG.ml_bags(q_bill_features(spark, d), 10)
+
+
+@register("ml_oob_error")
+def q_ml_oob_error(spark, d):
+    """Out-of-bag error by number of trees."""
+    train, _ = _train_test(spark, d)
+    return BG.ml_oob_error(BG.ml_bagging(train), train)
+
+
+@register("ml_permutation_importance")
+def q_ml_permutation_importance(spark, d):
+    train, _ = _train_test(spark, d)
+    return BG.ml_permutation_importance(BG.ml_bagging(train), train)
+
+
 @register("ml_logit")
 def q_ml_logit(spark, d):
     return _predictions(spark, d, M.ml_logit)
