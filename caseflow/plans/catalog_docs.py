@@ -4,16 +4,22 @@ the SQL twins read the flat tables they came from."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.plans.catalog import register
-from caseflow.sources import docs
+from caseflow.session import ensure_checkpoint_dir, note_shared
+from caseflow.sources import docs, feed
 from caseflow.sources.tables import raw_table
 
+#: Documents of one feed file of ``json_feed``.
+FEED_BILLS = 4096
 
-def nested_bills(spark, d) -> DataFrame:
-    """One document per order: its lines are the actions (dates as text in two forms, the
+
+def bill_texts(spark, d) -> DataFrame:
+    """One JSON document per order: its lines are the actions (dates as text in two forms, the
     seventh line's unreadable), its priority and status the titles, its customer the sponsor."""
     o, c, n = (raw_table(spark, d, t) for t in ("orders", "customer", "nation"))
     line = raw_table(spark, d, "lineitem")
@@ -29,7 +35,7 @@ def nested_bills(spark, d) -> DataFrame:
     doc = (o.join(actions, o.o_orderkey == actions.l_orderkey, "left").join(c, o.o_custkey == c.c_custkey)
            .join(F.broadcast(n), c.c_nationkey == n.n_nationkey))  # 25 nations
     key = F.col("o_orderkey")
-    doc = doc.select(F.to_json(F.struct(
+    return doc.select(F.to_json(F.struct(
         key.alias("id"), F.concat(F.lit("H.R. "), key).alias("display_number"), F.col("o_orderstatus").alias("current_status"),
         F.col("o_orderdate").cast("date").cast("string").alias("introduced_date"), F.col("major_actions"),
         F.array(F.array(F.lit("short"), F.lit(None), F.col("o_orderpriority")), F.array(F.lit("official"), F.lit("introduced"), F.col("o_orderstatus"))).alias("titles"),
@@ -38,7 +44,21 @@ def nested_bills(spark, d) -> DataFrame:
                  F.when(F.col("c_custkey") % 2 == 0, F.lit("1960-02-03")).otherwise(F.lit("not known")).alias("birthday")).alias("sponsor"),
         F.struct(F.col("c_mktsegment").alias("party"), F.col("n_name").alias("state"),
                  F.col("o_orderdate").cast("date").cast("string").alias("startdate")).alias("sponsor_role"))).alias("j"))
-    return doc.select(F.from_json("j", docs.BILL).alias("o")).select("o.*")
+
+
+def nested_bills(spark, d) -> DataFrame:
+    return bill_texts(spark, d).select(F.from_json("j", docs.BILL).alias("o")).select("o.*")
+
+
+def written_feeds(spark, d) -> str:
+    """The folder of feed files ``{"meta": ..., "objects": [...]}`` with about ``FEED_BILLS`` documents each."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
+    n = -(-raw_table(spark, d, "orders").count() // FEED_BILLS) or 1
+    feeds = bill_texts(spark, d).groupBy(F.pmod(F.xxhash64("j"), F.lit(n)).alias("f")).agg(F.concat(
+        F.lit('{"meta": {"number": '), F.count("j"), F.lit('},\n"objects": ['), F.array_join(F.collect_list("j"), ",\n"), F.lit("]}")).alias("value"))
+    feeds.select("value").write.text(path)
+    note_shared(path)
+    return path
 
 
 @register("json_bills", """
@@ -50,6 +70,18 @@ def q_json_bills(spark, d):
                                          F.size(F.coalesce("major_actions", F.array().cast("array<array<string>>"))).alias("n_actions"))
 
 
+@register("json_feed", """
+SELECT o_orderkey AS id, 'HR' || o_orderkey AS bill_id, o_orderstatus AS current_status, c_name AS sponsor, c_mktsegment AS party,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS related_id, CAST(count(l_linenumber) AS INTEGER) AS n_actions
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""", ctes=False)
+def q_json_feed(spark, d):
+    """Feed files read back in pieces, each file by many tasks."""
+    b = feed.json_feed(spark, written_feeds(spark, d))
+    return b.select("id", docs.bill_key().alias("bill_id"), "current_status", F.col("sponsor.name").alias("sponsor"),
+                    F.col("sponsor_role.party").alias("party"), F.get("related_bills", F.lit(0))["bill"].alias("related_id"),
+                    F.size(F.coalesce("major_actions", F.array().cast("array<array<string>>"))).alias("n_actions"))
+
+
 @register("json_actions", """
 SELECT 'HR' || l_orderkey AS bill_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS seq,
        CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS action_date, CAST(l_linenumber AS VARCHAR) AS code,

@@ -3,8 +3,8 @@
 The feed is ``{"objects": [bill, ...]}``; each bill carries nested arrays
 (major actions, titles, related bills) and structs (sponsor, sponsor role).
 The schema is declared, never inferred (several fields are always null, and
-inference over them is unstable).  At scale use many files or JSON lines
-(``json_bill_lines``): a multi-line JSON file is read by one task.
+inference over them is unstable).  ``json_bills`` reads a file with one task; for
+big files use ``feed.json_feed`` or JSON lines (``json_bill_lines``).
 """
 
 from __future__ import annotations
