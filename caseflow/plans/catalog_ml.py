@@ -10,6 +10,7 @@ from caseflow.session import shared_table
 from caseflow.plans import bagging as BG
 from caseflow.plans import evaluate as EV
 from caseflow.plans import gain_ratio as G
+from caseflow.plans import inference_boost as B
 from caseflow.plans import linear as L
 from caseflow.plans import ml as M
 from caseflow.plans import pruning as P
@@ -404,6 +405,32 @@ def q_ml_adaboost(spark, d):
     return M.adaboost_predict(M.ml_adaboost(train), test, ["bill_id", "status"])
 
 
+def _eta_sql(col: str) -> str:
+    """Sum-of-squares form of the association of a category with the class."""
+    return f"""
+SELECT '{col}' AS variable, CAST(greatest(count(DISTINCT {col}) - 1, 0) AS INT) AS df,
+       coalesce(round((count(*) - 1) * sum(pow(level_mean - total_mean, 2)) / nullif(sum(pow(y - total_mean, 2)), 0), 6), 0.0) AS statistic
+FROM (SELECT {col}, y, avg(y) OVER (PARTITION BY {col}) AS level_mean, avg(y) OVER () AS total_mean FROM lab WHERE {col} IS NOT NULL) v"""
+
+
+def _correlation_sql(col: str) -> str:
+    return f"""
+SELECT '{col}' AS variable, 1 AS df, round((count({col}) - 1) * pow(corr(CAST({col} AS DOUBLE), y), 2), 6) AS statistic FROM lab"""
+
+
+@register("ml_association", with_ctes(" UNION ALL ".join(
+    [_correlation_sql(c) for c in M.NUM_COLS] + [_eta_sql(c) for c in M.CAT_COLS]),
+    bf=BILL_FEATURES_SQL, lab="SELECT *, CASE WHEN status = 'Passed' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM bf WHERE status IS NOT NULL"), ctes=False)
+def q_ml_association(spark, d):
+    """How strongly every variable is associated with the outcome: the first test of the boosted stumps."""
+    return r6(B.ml_association(model_table(spark, d)), "statistic")
+
+
+@register("ml_inference_boost")
+def q_ml_inference_boost(spark, d):
+    return _predictions(spark, d, B.ml_inference_boost)
+
+
 @register("ml_cv")
 def q_ml_cv(spark, d):
     train, _ = _train_test(spark, d)
@@ -428,7 +455,8 @@ def _naive_bayes(train):
 
 #: The learners whose probabilities are compared and combined.
 FITS = {"tree": M.ml_tree, "logit": M.ml_logit, "forest": M.ml_random_forest, "boosted": M.ml_gbm, "svm": M.ml_svm,
-        "naive_bayes": _naive_bayes, "nearest": M.ml_nearest, "network": L.ml_network, "elastic_net": L.ml_elastic_net}
+        "naive_bayes": _naive_bayes, "nearest": M.ml_nearest, "network": L.ml_network, "elastic_net": L.ml_elastic_net,
+        "inference_boost": lambda train: B.ml_inference_boost(train, steps=30, rate=0.3)}  # six fits in one query
 
 
 #: The learners of the queries that fit every fold but do not rank all: the three quickest.
