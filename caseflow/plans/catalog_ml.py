@@ -475,12 +475,26 @@ def q_ml_predict_proba(spark, d):
     return M.ml_predict_proba({n: fit(train) for n, fit in FITS.items()}, test)
 
 
-@register("ml_greedy_ensemble")
+def _mean_sse(a: str, b: str) -> str:
+    """Squared error of (a p + b q) / (a + b) from the sums of products."""
+    return f"(yy - 2 * ({a} * py + {b} * qy) / ({a} + {b}) + ({a} * {a} * pp + 2 * {a} * {b} * pq + {b} * {b} * qq) / (({a} + {b}) * ({a} + {b})))"
+
+
+@register("ml_greedy_ensemble", with_ctes(f"""
+SELECT m.model, round(CASE m.model WHEN 'p' THEN a / (a + b) WHEN 'q' THEN b / (a + b) ELSE sqrt(greatest({_mean_sse('a', 'b')}, 0) / n) END, 6) AS value
+FROM (WITH RECURSIVE steps(i, a, b) AS (
+        SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+        UNION ALL
+        SELECT i + 1, CASE WHEN takes_q THEN a ELSE a + 1 END, CASE WHEN takes_q THEN b + 1 ELSE b END
+        FROM (SELECT i, a, b, {_mean_sse('a', '(b + 1)')} < {_mean_sse('(a + 1)', 'b')} - 1e-15 AS takes_q FROM steps, products WHERE i < 1000) o)
+      SELECT a, b FROM steps WHERE i = 1000) last_step, products, (VALUES ('p'), ('q'), ('rmse')) m(model)""", **_SC, products="""
+SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy, sum(y * y) AS yy, count(*) AS n
+FROM (SELECT p, q, CASE status WHEN 'Passed' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM sc) v"""), ctes=False)
 def q_ml_greedy_ensemble(spark, d):
     """Greedy weights over the two fixed scores of the evaluation queries."""
     y = scored(spark, d).withColumn("y", (F.col("actual") == "Passed").cast("double"))
     w = M.ml_greedy_ensemble(y, ["p", "q"], "y", iters=1000)
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(["p", "q", "rmse"], w)], "model string, value double")
+    return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(["p", "q", "rmse"], w)], "model string, value double")
 
 
 @register("ml_stack")
