@@ -23,6 +23,10 @@ SEQ_LENGTH = 76          # window length of the reference's corpus preparation
 # UTF-8 string walks from its start, so cutting windows costs O(block) each.
 DEFAULT_BLOCK = 1 << 10
 
+#: Characters whose windows one task makes. Blocks are small beside their windows, so
+#: a partitioning by bytes would leave them to a few tasks.
+CHARS_PER_TASK = 1 << 20
+
 
 def corpus_lines(df: DataFrame, text_col: str = "text", order_col: str = "id") -> DataFrame:
     """(order, line, len): each text lower-cased with its newline kept; NULL text is an empty line."""
@@ -33,13 +37,17 @@ def corpus_lines(df: DataFrame, text_col: str = "text", order_col: str = "id") -
 
 def corpus_offsets(lines: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``off``: the global character offset of each line in ``ord`` order
-    (a distributed running sum of the line lengths; ``ord`` must be unique)."""
-    out = running_sums(lines, "ord", ["len"], rows_per_range, suffix="_off")
-    return out.select("ord", "line", "len", F.col("len_off").cast("bigint").alias("off"))
+    (a distributed running sum of the line lengths; ``ord`` must be unique).
+
+    Only order and length are sorted and summed; the lines take their offsets by a row number."""
+    rows = shared_table(lines.withColumn("_row", F.monotonically_increasing_id()), "corpus-lines")
+    sums = running_sums(rows.select("_row", "ord", "len"), "ord", ["len"], rows_per_range, suffix="_off", stored=True)
+    return rows.join(sums.select("_row", F.col("len_off").cast("bigint").alias("off")), "_row").select("ord", "line", "len", "off")
 
 
-def corpus_blocks(offsets: DataFrame, seq: int, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """(block, text): block b holds corpus characters [b*block, (b+1)*block + seq), seq <= block.
+def corpus_blocks(offsets: DataFrame, seq: int, block: int = DEFAULT_BLOCK, tasks: int = 1) -> DataFrame:
+    """(block, text): block b holds corpus characters [b*block, (b+1)*block + seq), seq <= block;
+    dealt to ``tasks`` partitions (1: as Spark finds by bytes).
 
     Each line is cut once, at the block borders (one pass over its characters);
     the first ``seq`` characters of a block go to the block before it as well, so
@@ -58,6 +66,8 @@ def corpus_blocks(offsets: DataFrame, seq: int, block: int = DEFAULT_BLOCK) -> D
     before = F.when((F.col("block") > 0) & (halo > 0), F.struct(
         (F.col("block") - 1).alias("block"), F.col("s"), F.substring("piece", F.lit(1), halo.cast("int")).alias("piece")))
     pieces = cut.select(F.explode(F.array_compact(F.array(own, before))).alias("x")).select("x.*")
+    if tasks > 1:
+        pieces = pieces.repartition(tasks, "block")
     return pieces.groupBy("block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "piece"))),
                                  lambda x: x.getField("piece")), "").alias("text"))
@@ -71,9 +81,10 @@ def _window_blocks(df: DataFrame, text_col: str, order_col: str, seq: int, block
     """Blocks with ``n_here``, the number of windows that start in each, and the block size used."""
     lines = corpus_lines(df, text_col, order_col)
     block = max(block, seq)
-    total = lines.select(F.sum("len")).scalar()
-    blocks = corpus_blocks(corpus_offsets(lines, rows_per_range), seq, block)
-    n_here = F.least(F.lit(block).cast("bigint"), total - F.lit(seq) - F.col("block") * block)
+    offsets = corpus_offsets(lines, rows_per_range)
+    total = offsets.agg(F.sum("len")).first()[0] or 0
+    blocks = corpus_blocks(offsets, seq, block, -(-total // CHARS_PER_TASK))
+    n_here = F.least(F.lit(block).cast("bigint"), F.lit(total - seq).cast("bigint") - F.col("block") * block)
     return blocks.withColumn("n_here", n_here).where(F.col("n_here") > 0), block
 
 
@@ -83,11 +94,18 @@ def t_windows(df: DataFrame, text_col: str = "text", order_col: str = "id", seq:
     it, stride 1, crossing line boundaries: (pos, window, next_char), with
     ``n_chars - seq`` rows.  Lines with a NULL order come last."""
     blocks, block = _window_blocks(df, text_col, order_col, seq, block, rows_per_range)
-    starts = blocks.select("block", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_here") - 1)).alias("k"))
+    starts = blocks.select("block", F.posexplode(_grams(seq)).alias("k", "gram"))
     return starts.select(
-        (F.col("block") * block + F.col("k")).cast("bigint").alias("pos"),
-        F.expr(f"substring(text, cast(k + 1 as int), {seq})").alias("window"),
-        F.expr(f"substring(text, cast(k + {seq + 1} as int), 1)").alias("next_char"))
+        (F.col("block") * block + F.col("k")).cast("bigint").alias("pos"), *_window_and_next(seq))
+
+
+def _grams(seq: int):
+    """Every run of ``seq`` + 1 characters of ``text``, in order, by one walk over it."""
+    return F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{seq + 1}}}))."), F.lit(1))
+
+
+def _window_and_next(seq: int) -> list:
+    return [F.substring("gram", 1, seq).alias("window"), F.substring("gram", seq + 1, 1).alias("next_char")]
 
 
 def t_chars(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -113,7 +131,7 @@ def t_corpus_stats(df: DataFrame, text_col: str = "text", seq: int = SEQ_LENGTH)
 
 
 def _code_point(ch):
-    return F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int")
+    return F.ascii(F.nullif(ch, F.lit("")))  # of any character, not of ASCII only
 
 
 def vocab_arrays(vocab: DataFrame) -> tuple:
@@ -187,8 +205,10 @@ def t_one_hot(encoded: DataFrame, vocab_size: int, col: str = "y") -> DataFrame:
 def t_next_char_counts(df: DataFrame, n: int, text_col: str = "text", order_col: str = "id",
                        block: int = DEFAULT_BLOCK) -> DataFrame:
     """Counts of (n-character context -> next character) over the corpus."""
-    w = t_windows(df, text_col, order_col, n, block)
-    return w.groupBy(F.col("window").alias("ctx"), "next_char").agg(F.count(F.lit(1)).alias("cnt"))
+    blocks, _ = _window_blocks(df, text_col, order_col, n, block, ROWS_PER_RANGE)
+    grams = blocks.select(F.explode(_grams(n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+    window, next_char = _window_and_next(n)
+    return grams.select(window.alias("ctx"), next_char, "cnt")
 
 
 def t_argmax(counts: DataFrame) -> DataFrame:

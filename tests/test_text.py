@@ -61,3 +61,27 @@ def test_long_lines_null_order_and_wide_characters(spark):
     unknown = spark.createDataFrame([(0, "aQ", "Q")], "pos long, window string, next_char string")
     r = TX.t_encode(unknown, vocab, normalise=False).first()
     assert r.x == [chars.index("a"), None] and r.y is None
+
+
+def test_windows_of_few_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(TX, "CHARS_PER_TASK", 500)
+    lines = spark.createDataFrame([(i, f"Zeile {i} \U0001f600 énd") for i in range(150)], "id long, text string")
+    want = "".join(f"zeile {i} \U0001f600 énd\n" for i in range(150))
+    blocks, _ = TX._window_blocks(lines, "text", "id", 2, 64, 1 << 20)
+    assert blocks.rdd.getNumPartitions() == -(-len(want) // 500)
+    got = {r.pos: r.window + r.next_char for r in TX.t_windows(lines, seq=2, block=64).collect()}
+    assert got == {i: want[i:i + 3] for i in range(len(want) - 2)}
+    vocab = sorted(set(want))
+    codes = TX.t_encode_corpus(lines, TX.t_char_vocab(lines), seq=2, block=64, normalise=False).select("pos", "y").collect()
+    assert {r.pos: vocab[r.y] for r in codes} == {i: want[i + 2] for i in range(len(want) - 2)}
+
+
+def test_offsets_sort_no_texts(spark):
+    lines = TX.corpus_lines(spark.createDataFrame([(i, "x" * i) for i in range(50)], "id long, text string"))
+    out = TX.corpus_offsets(lines, rows_per_range=7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [r.off for r in out.orderBy("ord").collect()] == [i * (i + 1) // 2 for i in range(50)]
+    at = next(i for i, x in enumerate(plan) if "Window [" in x)
+    depth = len(plan[at]) - len(plan[at].lstrip(" :+-"))
+    below = [x for x in plan[at + 1:] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert below and not any("line#" in x.split("Relation")[0] for x in below)
