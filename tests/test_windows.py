@@ -74,3 +74,17 @@ def test_split_path_on_test_tables(spark):
     x = lead_step(a, skew="none", **args).select("bill_id", "line_no", "part_id", "committee", "next_row", "next_type")
     y = lead_step(a, skew="all", max_rows=900, **args).select(x.columns)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_many_small_ranges_sample_few_rows(spark, monkeypatch):
+    from caseflow.operators import prefix
+    monkeypatch.setattr(prefix, "SAMPLED_RANGES", 4)
+    df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("v"))
+    out = prefix.ranged(df, prefix.nulls_last(["v"]), 20)
+    files = out.select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 4  # a partition for each sampled range, a hundred without the cut by position
+    r = out.groupBy("_rid").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).orderBy("_rid").collect()
+    assert sum(x.n for x in r) == 2000 and all(x.n <= 20 for x in r)
+    assert all(a.hi < b.lo for a, b in zip(r, r[1:]))
+    sums = prefix.running_sums(df.withColumn("one", F.lit(1).cast("long")), "v", ["one"], 20).collect()
+    assert len(sums) == 2000 and all(x.one_before == x.v for x in sums)
