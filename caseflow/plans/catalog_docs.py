@@ -23,17 +23,21 @@ def bill_texts(spark, d) -> DataFrame:
     seventh line's unreadable), its priority and status the titles, its customer the sponsor."""
     o, c, n = (raw_table(spark, d, t) for t in ("orders", "customer", "nation"))
     line = raw_table(spark, d, "lineitem")
-    day = F.col("l_shipdate").cast("date")
-    text = (F.when(F.col("l_linenumber") == 7, F.lit("unknown day"))
-            .when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("datetime.datetime("), F.year(day), F.lit(", "), F.month(day), F.lit(", "),
-                                                            F.dayofmonth(day), F.lit(", 0, 0)")))
-            .otherwise(day.cast("string")))
-    state = F.when(F.col("l_returnflag") == "N", F.lit("<action/>")).otherwise(F.concat(F.lit('<action state="'), "l_returnflag", F.lit('"/>')))
-    entry = F.array(text, F.col("l_linenumber").cast("string"), F.col("l_linestatus"), state)
-    actions = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", entry.alias("e")))), lambda x: x["e"]).alias("major_actions"))
-    doc = (o.join(actions, o.o_orderkey == actions.l_orderkey, "left").join(c, o.o_custkey == c.c_custkey)
-           .join(F.broadcast(n), c.c_nationkey == n.n_nationkey))  # 25 nations
+    def entry(x):
+        day, number = x["l_shipdate"].cast("date"), x["l_linenumber"]
+        text = (F.when(number == 7, F.lit("unknown day"))
+                .when(number % 2 == 1, F.concat(F.lit("datetime.datetime("), F.year(day), F.lit(", "), F.month(day), F.lit(", "),
+                                                F.dayofmonth(day), F.lit(", 0, 0)")))
+                .otherwise(day.cast("string")))
+        flag = x["l_returnflag"]
+        state = F.when(flag == "N", F.lit("<action/>")).otherwise(F.concat(F.lit('<action state="'), flag, F.lit('"/>')))
+        return F.array(text, number.cast("string"), x["l_linestatus"], state)
+
+    # lines travel as columns and become text when an order has them all; the sponsor joins the short rows first
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus")))
+    actions = line.groupBy("l_orderkey").agg(lines.alias("lines"))
+    doc = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # 25 nations
+    doc = doc.join(actions, F.col("o_orderkey") == actions.l_orderkey, "left").withColumn("major_actions", F.transform("lines", entry))
     key = F.col("o_orderkey")
     return doc.select(F.to_json(F.struct(
         key.alias("id"), F.concat(F.lit("H.R. "), key).alias("display_number"), F.col("o_orderstatus").alias("current_status"),

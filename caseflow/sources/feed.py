@@ -109,13 +109,25 @@ def json_objects(spark: SparkSession, path: str, key: str = "objects") -> DataFr
     so_far = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = _with_blocks(known, totals).select(
         "file", "block", "n", "text", "opens", "ends", (F.col("block_e") + _sum_before(ends, inside)).alias("place"),
+        ((F.col("block") > 0) & (_sum_before(ends, inside) == 0)).alias("first"),
         F.coalesce(F.last("change", ignorenulls=True).over(so_far), F.col("block_c")).alias("in_array"))
     own = F.when(F.col("opens"), F.regexp_replace("text", rf'(?s)\A.*?(?<!\\)"{key}"\s*:\s*\[', "")).otherwise(F.col("text"))
-    # the group is one object's text
-    whole = rows.where("in_array").groupBy("file", "place").agg(
-        F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("block", "n", own.alias("t")))).alias("parts"))
-    text = F.concat(F.array_join(F.transform("parts", lambda x: x["t"]), "}"), F.lit("}"))
-    return whole.where("ends").select("file", "place", F.regexp_replace(text, r"\A[^{]*+", "").alias("text"))
+    # the group is one object's text. All but the objects that cross a block border come together
+    # where the windows have left their pieces, so the texts are shuffled once more for those only
+    rows = rows.where("in_array")
+
+    def joined(parts):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["t"]), "}")
+
+    runs = rows.groupBy("file", "block", "place").agg(
+        F.max("ends").alias("ends"), F.min("first").alias("first"), joined(F.struct("n", own.alias("t"))).alias("t"))
+    # a run may go on from the block before if it starts its block, or into the next if it has no end
+    crosses = F.col("first") | ~F.col("ends")
+    border = runs.where(crosses).groupBy("file", "place").agg(
+        F.max("ends").alias("ends"), joined(F.struct("block", "t")).alias("t"))
+    whole = runs.where(~crosses).select("file", "place", "t").unionByName(border.where("ends").select("file", "place", "t"))
+    text = F.regexp_replace(F.concat("t", F.lit("}")), r"\A[^{]*+", "")
+    return whole.select("file", "place", text.alias("text"))
 
 
 def json_feed(spark: SparkSession, path: str, schema: StructType = BILL) -> DataFrame:

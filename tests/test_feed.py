@@ -85,3 +85,11 @@ def test_empty_cut_off_and_mixed_feeds(spark, tmp_path):
     (tmp_path / "cut.json").write_text('{"objects": [{"id": 1}, {"id": 2, "title": "never en')
     assert _texts(feed.json_objects(spark, str(tmp_path))) == {"nested.json": [{"objects": [], "a": {"objects": [{}]}}, {"id": 4}],
                                                               "mixed.json": [{"id": 1}, {"id": 2}], "cut.json": [{"id": 1}]}
+
+
+def test_texts_are_shuffled_again_only_at_block_borders(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"objects": [{"a": 1}, {"a": 2}]}')
+    plan = feed.json_objects(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [file#") >= 3 and plan.count("block#") and "Union" in plan
+    exchanges = [x for x in feed.json_objects(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(file" in x and "place#" in x]
+    assert len(exchanges) == 1  # the border objects alone
