@@ -141,7 +141,7 @@ class PrunedTree:
 
 
 def _learner(max_depth: int) -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(seed=1, maxBins=64, maxDepth=max_depth)
+    return DecisionTreeClassifier(seed=1, maxBins=64, maxDepth=max_depth, weightCol=M.WEIGHT)
 
 
 def cross_validated_errors(data: DataFrame, betas: Sequence[float], max_depth: int, k: int, parallelism: int = 4) -> list[int]:
@@ -153,11 +153,11 @@ def cross_validated_errors(data: DataFrame, betas: Sequence[float], max_depth: i
         tree = read_tree(spark, model)
         leaf_from = pruning_sequence(tree)[1]
         held = model.setLeafCol("_leaf").transform(data.where(F.col("fold") == f))
-        seen = held.groupBy("_leaf", "label").count().collect()  # at most leaves x classes
+        seen = held.groupBy("_leaf", "label").agg(F.sum(M.WEIGHT).cast("long").alias("n")).collect()  # at most leaves x classes
         wrong = []
         for beta in betas:
             end = ends(tree, leaf_from, beta * max(1, tree.errors(0)))
-            wrong.append(sum(r["count"] for r in seen if tree.label(end[int(r["_leaf"])]) != int(r["label"])))
+            wrong.append(sum(r["n"] for r in seen if tree.label(end[int(r["_leaf"])]) != int(r["label"])))
         return wrong
 
     with ThreadPool(parallelism) as pool:
@@ -165,9 +165,10 @@ def cross_validated_errors(data: DataFrame, betas: Sequence[float], max_depth: i
 
 
 def _fitted(df: DataFrame, cp: float, max_depth: int, k: int, seed: int, parallelism: int):
-    enc = Pipeline(stages=M.ml_encode(one_hot=False)).fit(df)
-    data = M.ml_stratified_folds(enc.transform(df).select("bill_id", M.LABEL, "features", "label"), k, seed)
-    data = shared_table(data.select("features", "label", "fold"), "encoded")
+    cols = [*M.NUM_COLS, *M.CAT_COLS, M.LABEL]
+    folds = M.counted(M.ml_stratified_folds(df.select("bill_id", *cols), k, seed), [*cols, "fold"])
+    enc = Pipeline(stages=M.ml_encode(one_hot=False)).fit(folds)
+    data = shared_table(enc.transform(folds).select("features", "label", "fold", M.WEIGHT), "encoded")
     model = _learner(max_depth).fit(data)
     tree = read_tree(df.sparkSession, model)
     rows = cp_rows(tree, cp)
@@ -197,6 +198,7 @@ def ml_pruned_tree(train: DataFrame, cp: float | None = None, max_depth: int = 8
     if cp is None:
         enc, model, tree, table = _fitted(train, 0.0, max_depth, k, seed, parallelism)
         return PrunedTree(enc, model, tree, best_cp(table, one_se))
-    enc = Pipeline(stages=M.ml_encode(one_hot=False)).fit(train)
-    model = _learner(max_depth).fit(enc.transform(train).select("features", "label"))
+    rows = M.distinct_rows(train)
+    enc = Pipeline(stages=M.ml_encode(one_hot=False)).fit(rows)
+    model = _learner(max_depth).fit(enc.transform(rows).select("features", "label", M.WEIGHT))
     return PrunedTree(enc, model, read_tree(train.sparkSession, model), cp)

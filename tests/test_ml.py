@@ -153,3 +153,20 @@ def test_models_score_records_without_a_label_and_ensembles_beat_chance(spark):
     assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
     auc = {r.model: r.auc for r in EV.ml_col_auc(held, ["tree", "logit", "greedy", "stacked"], F.col("status") == "Passed").collect()}
     assert min(auc.values()) > 0.8
+
+
+def test_learners_meet_distinct_rows_once(spark, monkeypatch):
+    """Five copies of a table under other bill numbers give the fits of the table, from as many rows."""
+    monkeypatch.setattr(M, "DISTINCT_ROWS", 200)
+    monkeypatch.setattr(M, "COUNTED_FROM", 1000)
+    rows = [(i, i * 37 % 61, "RD"[i % 2], i * 11 % 13, f"S{i % 5}", "Passed" if i * 37 % 61 > 30 and i % 7 else "REFERRED") for i in range(600)]
+    one = spark.createDataFrame(rows, "bill_id long, no_days int, party string, ac_count long, state string, status string")
+    many = spark.range(5).crossJoin(one).withColumn("bill_id", F.col("bill_id") + F.col("id") * 600).drop("id")
+    fit_rows = M.distinct_rows(many)
+    assert fit_rows.count() == one.drop("bill_id").distinct().count() and fit_rows.agg(F.sum(M.WEIGHT)).first()[0] == 3000
+    assert len(fit_rows.inputFiles()) > 1 and M.distinct_rows(many) is fit_rows
+    for fit in (M.ml_tree, M.ml_logit):
+        a, b = ({r.bill_id: r["probability"][0] for r in fit(t).transform(one).collect()} for t in (one, many))
+        assert max(abs(a[k] - b[k]) for k in a) < 1e-6
+    a, b = (dict(M.adaboost_predict(M.ml_adaboost(t, rounds=3), one, ["bill_id"]).collect()) for t in (one, many))
+    assert a == b
